@@ -66,8 +66,13 @@ NA_TOKENS = [
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
     "nan", "null",
 ]
-# threshold sweep 0.10, 0.15, ..., 0.85
-SWEEP_THRESHOLDS = [round(0.10 + 0.05 * i, 2) for i in range(16)]
+# Threshold sweep: the 16 values numpy's arange(0.1, 0.9, 0.05) yields, i.e.
+# start + i * (float(start + step) - start) in double precision (0.1,
+# 0.15000000000000002, 0.20000000000000004, ...). Scores are compared with
+# these unrounded values; reports show them rounded to 2 digits, and the
+# final pass at the best threshold uses the rounded value.
+_SWEEP_STEP = (0.1 + 0.05) - 0.1
+SWEEP_THRESHOLDS = [0.1 + i * _SWEEP_STEP for i in range(16)]
 
 
 @dataclass(frozen=True)

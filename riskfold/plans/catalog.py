@@ -33,12 +33,13 @@ def _rounded_spark(fn, cols):
 def _rounded_sql(sql: str, cols) -> str:
     if not cols:
         return sql
-    # the statement starts with a WITH prefix; wrap only its final SELECT
-    head, sep, tail = sql.rpartition("\nSELECT ")
+    from ..sources.fixtures import BODY_MARK
+    # the statement starts with a WITH prefix; wrap only its final query
+    head, sep, tail = sql.rpartition(BODY_MARK)
     if not sep:
-        raise ValueError("oracle SQL must end in a top-level SELECT on its own line")
+        raise ValueError("oracle SQL must be built on duckdb_prefix()")
     rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
-    return f"{head}\nSELECT * REPLACE ({rep}) FROM (SELECT {tail}) _q"
+    return f"{head}{sep}SELECT * REPLACE ({rep}) FROM ({tail}) _q"
 
 
 def spark_queries() -> dict:

@@ -101,4 +101,8 @@ def duckdb_prefix(extra: str = "") -> str:
     ]
     if extra:
         ctes.append(extra)
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return "WITH " + ",\n".join(ctes) + "\n" + BODY_MARK
+
+
+# the final statement of an oracle follows this line
+BODY_MARK = "-- result\n"
