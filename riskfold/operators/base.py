@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .selection import ordered_cut
+from .selection import ordered_cuts
 
 log = logging.getLogger(__name__)
 
@@ -96,7 +96,7 @@ def time_split(df: DataFrame, time_col: str = "TransactionDT",
     """Exact ordered split by ``(time, id)`` without a global sort.
 
     The rows at the two cut ranks are found by distributed selection
-    (``ordered_cut``); the split is then a row-local comparison with the
+    (``ordered_cuts``); the split is then a row-local comparison with the
     two cut keys, so no task ever holds more than its own partition.
     """
     t, i = F.col(time_col), F.col(id_col)
@@ -110,8 +110,7 @@ def time_split(df: DataFrame, time_col: str = "TransactionDT",
     r1, r2 = cut_ranks(n, ratios)
     if r1 <= 0 or r2 <= r1 or r2 >= n:
         raise ValueError(f"a split would be empty (n={n}, cuts={r1},{r2})")
-    t1, i1 = ordered_cut(df, time_col, id_col, r1 - 1)
-    t2, i2 = ordered_cut(df, time_col, id_col, r2 - 1)
+    (t1, i1), (t2, i2) = ordered_cuts(df, time_col, id_col, [r1 - 1, r2 - 1])
 
     def le(tc, ic):
         return (t < F.lit(tc)) | ((t == F.lit(tc)) & (i <= F.lit(ic)))

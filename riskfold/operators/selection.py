@@ -62,7 +62,7 @@ def _bucket(x: Column, iv: Column, intervals: list[tuple], buckets: int) -> Colu
 
 
 def order_statistics(df: DataFrame, col: str, ranks: list[int],
-                     buckets: int = 2048, final_rows: int = 200_000,
+                     buckets: int = 1024, final_rows: int = 4096,
                      max_passes: int = 64) -> list[tuple]:
     """Values at 0-based ``ranks`` of non-null ``col`` in ascending order.
 
@@ -170,11 +170,19 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     return out
 
 
+def ordered_cuts(df: DataFrame, order_col: str, tie_col: str, ranks: list[int]) -> list[tuple]:
+    """The ``(order, tie)`` keys of the rows at 0-based ``ranks`` when rows
+    are sorted by ``(order_col, tie_col)``: selection on the order column
+    (all ranks in the same passes), then on the tie column among the rows
+    sharing each selected order value."""
+    firsts = order_statistics(df, order_col, ranks)
+    out = []
+    for r, (t, below) in zip(ranks, firsts):
+        ties = df.where(F.col(order_col) == F.lit(t))
+        (tid, _), = order_statistics(ties, tie_col, [r - below])
+        out.append((t, tid))
+    return out
+
+
 def ordered_cut(df: DataFrame, order_col: str, tie_col: str, rank: int) -> tuple:
-    """The ``(order, tie)`` key of the row at 0-based ``rank`` when rows are
-    sorted by ``(order_col, tie_col)``: selection on the order column, then on
-    the tie column among the rows sharing that order value."""
-    (t, below), = order_statistics(df, order_col, [rank])
-    ties = df.where(F.col(order_col) == F.lit(t))
-    (tid, _), = order_statistics(ties, tie_col, [rank - below])
-    return t, tid
+    return ordered_cuts(df, order_col, tie_col, [rank])[0]
