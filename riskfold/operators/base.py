@@ -90,18 +90,14 @@ def cut_ranks(n: int, ratios=(0.70, 0.15, 0.15)) -> tuple[int, int]:
     return int(n * train_r), int(n * (train_r + val_r))
 
 
-def time_split(df: DataFrame, time_col: str = "TransactionDT",
-               id_col: str = "TransactionID", ratios=(0.70, 0.15, 0.15),
-               split_col: str = "split") -> DataFrame:
-    """Exact ordered split by ``(time, id)`` without a global sort.
-
-    The rows at the two cut ranks are found by distributed selection
-    (``ordered_cuts``); the split is then a row-local comparison with the
-    two cut keys, so no task ever holds more than its own partition.
-    """
-    t, i = F.col(time_col), F.col(id_col)
-    stats = df.agg(F.count(F.lit(1)).alias("n"),
-                   F.count(t).alias("nt")).first()
+def split_cuts(df: DataFrame, time_col: str = "TransactionDT",
+               id_col: str = "TransactionID", ratios=(0.70, 0.15, 0.15)) -> tuple:
+    """The ``(time, id)`` keys of the last train row and the last val row in
+    ``(time, id)`` order, found by distributed selection (``ordered_cuts``)
+    without a global sort. They are parameters: the same cut applies to
+    rows arriving later (streams)."""
+    t = F.col(time_col)
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.count(t).alias("nt")).first()
     n = stats["n"]
     if n == 0:
         raise ValueError("time_split on an empty table")
@@ -110,7 +106,14 @@ def time_split(df: DataFrame, time_col: str = "TransactionDT",
     r1, r2 = cut_ranks(n, ratios)
     if r1 <= 0 or r2 <= r1 or r2 >= n:
         raise ValueError(f"a split would be empty (n={n}, cuts={r1},{r2})")
-    (t1, i1), (t2, i2) = ordered_cuts(df, time_col, id_col, [r1 - 1, r2 - 1])
+    return tuple(ordered_cuts(df, time_col, id_col, [r1 - 1, r2 - 1]))
+
+
+def assign_split(df: DataFrame, cuts: tuple, time_col: str = "TransactionDT",
+                 id_col: str = "TransactionID", split_col: str = "split") -> DataFrame:
+    """Row-local split from the cut keys (no shuffle; stream-safe)."""
+    (t1, i1), (t2, i2) = cuts
+    t, i = F.col(time_col), F.col(id_col)
 
     def le(tc, ic):
         return (t < F.lit(tc)) | ((t == F.lit(tc)) & (i <= F.lit(ic)))
@@ -119,6 +122,17 @@ def time_split(df: DataFrame, time_col: str = "TransactionDT",
                          .when(le(t2, i2), "val").otherwise("test"))
 
 
+def time_split(df: DataFrame, time_col: str = "TransactionDT",
+               id_col: str = "TransactionID", ratios=(0.70, 0.15, 0.15),
+               split_col: str = "split") -> DataFrame:
+    """Exact ordered split by ``(time, id)``: train gets the first
+    int(n*0.70) rows, val the next up to int(n*0.85), test the rest. Cut
+    keys come from distributed selection, the split is a row-local
+    comparison, so no task ever holds more than its own partition."""
+    return assign_split(df, split_cuts(df, time_col, id_col, ratios), time_col, id_col,
+                        split_col)
+
+
 # ---- A12 ------------------------------------------------------------------------
 def split_summary(df: DataFrame, time_col: str = "TransactionDT",
                   target: str = "isFraud", drift_warn: float = 0.015,

@@ -13,7 +13,7 @@ log = logging.getLogger(__name__)
 
 
 def build_base(txn: DataFrame, identity: DataFrame,
-               cfg: BaseConfig = BaseConfig()) -> DataFrame:
+               cfg: BaseConfig = BaseConfig(), with_plan: bool = False):
     """One DataFrame with a ``split`` column (train/val/test).
 
     Two schema decisions need data (null shares, parse shares) and the split
@@ -26,5 +26,29 @@ def build_base(txn: DataFrame, identity: DataFrame,
     if dropped:
         log.info("dropping high-null columns: %s", dropped)
     deduped = ops.persist(ops.drop_duplicates(merged.drop(*dropped)))
+    numeric = ops.numeric_like_columns(deduped, cfg.numeric_threshold)
     fixed = ops.fix_dtypes(deduped, cfg.numeric_threshold)
-    return ops.time_split(fixed, cfg.time_col, cfg.id_col, cfg.ratios)
+    cuts = ops.split_cuts(fixed, cfg.time_col, cfg.id_col, cfg.ratios)
+    base = ops.assign_split(fixed, cuts, cfg.time_col, cfg.id_col)
+    if with_plan:
+        # the data-dependent decisions, replayable on new rows (streams)
+        return base, BasePlan(dropped, numeric, cuts, cfg)
+    return base
+
+
+class BasePlan:
+    """Decisions the base build took from data: dropped columns, columns
+    coerced to numbers, split cut keys."""
+
+    def __init__(self, dropped, numeric, cuts, cfg):
+        self.dropped, self.numeric, self.cuts, self.cfg = dropped, numeric, cuts, cfg
+
+    def replay(self, txn: DataFrame, identity: DataFrame) -> DataFrame:
+        """Apply the same decisions to new rows (no action; stream-safe;
+        deduplication is left to the source's exactly-once delivery)."""
+        from pyspark.sql import functions as F
+        merged = ops.merge_identity(txn, identity, self.cfg.id_col).drop(*self.dropped)
+        if self.numeric:
+            merged = merged.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)")
+                                         for c in self.numeric})
+        return ops.assign_split(merged, self.cuts, self.cfg.time_col, self.cfg.id_col)

@@ -160,6 +160,18 @@ reg("enriched_features", _enriched,
     with_params("SELECT * FROM enriched"), ENRICHED_FLOATS)
 
 
+def _stream_features(spark, sf):
+    from ..streaming.apply_stream import stream_features
+    fxt = fixture(spark, sf)
+    fxt.base  # builds the replayable base plan
+    return stream_features(spark, sf, fxt.base_plan, fxt.params)
+
+
+# The same features produced by a Structured Streaming query; same oracle
+reg("stream_features", _stream_features,
+    with_params("SELECT * FROM enriched"), ENRICHED_FLOATS)
+
+
 def _unseen(spark, sf):
     from . import features_job as fj
     fxt = fixture(spark, sf)

@@ -40,7 +40,8 @@ class Fixture:
     @property
     def base(self) -> DataFrame:
         if self._base is None:
-            self._base = build_base(self.txn, self.idt, FIXTURE_BASE)
+            self._base, self.base_plan = build_base(self.txn, self.idt, FIXTURE_BASE,
+                                                    with_plan=True)
         return self._base
 
     @property
