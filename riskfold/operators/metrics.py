@@ -175,15 +175,14 @@ def eval_report(scores: DataFrame, y: str = "y", p: str = "p",
     def div(a, b):
         return a / b if b else 0.0
 
-    def r5(v):
-        return None if v is None else round(float(v), 5)
-
-    row = (r5(auc), r5(ap), r5(div(2 * tp, 2 * tp + fp + fn)), r5(div(tp, tp + fp)),
-           r5(div(tp, tp + fn)), t, tp, fp, tn, fn, int(base["n"]), r5(base["r"]))
-    return scores.sparkSession.createDataFrame([row], (
+    row = (auc, ap, div(2 * tp, 2 * tp + fp + fn), div(tp, tp + fp), div(tp, tp + fn), t,
+           tp, fp, tn, fn, int(base["n"]), base["r"])
+    raw = scores.sparkSession.createDataFrame([row], (
         "auc_roc double, auprc double, f1 double, precision double, recall double, "
         "threshold_used double, tp long, fp long, tn long, fn long, val_rows long, "
         "fraud_rate_val double"))
+    five = ["auc_roc", "auprc", "f1", "precision", "recall", "fraud_rate_val"]
+    return raw.withColumns({c: F.round(c, 5) for c in five})
 
 
 def class_weight(df: DataFrame, target: str = "isFraud") -> DataFrame:

@@ -25,7 +25,9 @@ def _rounded_spark(fn, cols):
     def run(spark, sf_dir):
         df = fn(spark, sf_dir)
         if cols:
-            df = df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+            # floor(x * 1e6 + 0.5) / 1e6: the same IEEE steps in both engines
+            df = df.withColumns({c: (F.floor(F.col(c) * F.lit(1e6) + F.lit(0.5))
+                                     .cast("double") / F.lit(1e6)) for c in cols})
         return df
     return run
 
@@ -38,7 +40,7 @@ def _rounded_sql(sql: str, cols) -> str:
     head, sep, tail = sql.rpartition(BODY_MARK)
     if not sep:
         raise ValueError("oracle SQL must be built on duckdb_prefix()")
-    rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    rep = ", ".join(f"CAST(floor({c} * 1e6 + 0.5) AS DOUBLE) / 1e6 AS {c}" for c in cols)
     return f"{head}{sep}SELECT * REPLACE ({rep}) FROM ({tail}) _q"
 
 
