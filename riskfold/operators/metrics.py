@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SWEEP_THRESHOLDS
+from ..session import cut_lineage
 from .prefix import running_totals
 
 
@@ -167,8 +168,15 @@ def eval_report(scores: DataFrame, y: str = "y", p: str = "p",
     t = float(best["threshold"])
     cm = confusion_matrix(scores, t, y, p).first()
     tp, fp, tn, fn = (int(cm[k] or 0) for k in ("tp", "fp", "tn", "fn"))
-    auc = auc_roc(scores, y, p).first()["auc_roc"]
-    ap = average_precision(scores, y, p).first()["average_precision"]
+    # AUC and AP from one pass over the (checkpointed) per-score groups
+    g = cut_lineage(score_groups(scores, y, p))
+    ranks = g.agg(
+        F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)).alias("a"),
+        F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("b"),
+        F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    P, N = ranks["P"] or 0, ranks["N"] or 0
+    auc = ranks["a"] / (P * N) if P and N else None
+    ap = ranks["b"] / P if P else None
     base = scores.agg(F.count(F.lit(1)).alias("n"),
                       F.avg(F.col(y).cast("double")).alias("r")).first()
 

@@ -238,21 +238,21 @@ _KEYS = ["card1", "addr1", "P_emaildomain"]
 
 
 def _key_profile(spark, sf):
+    """One lazy plan: per key, groups (NULL group included) are aggregated
+    once more into a single profile row; the rows are unioned."""
     b = _base(spark, sf)
     out = None
     for k in _KEYS:
-        per = b.where(F.col(k).isNotNull()).groupBy(k).agg(F.avg(Y).alias("r"))
-        one = per.agg(F.count(F.lit(1)).alias("n_unique"), F.min("r").alias("min_rate"),
-                      F.max("r").alias("max_rate"),
-                      F.count(F.when(F.col("r") > 0.1, 1)).alias("n_groups_over_10pct"))
-        nr = b.agg(F.avg(F.col(k).isNull().cast("double")).alias("null_rate"))
-        row = (one.first(), nr.first())
-        df = spark.createDataFrame(
-            [(k, row[0]["n_unique"], row[1]["null_rate"], row[0]["min_rate"],
-              row[0]["max_rate"], row[0]["n_groups_over_10pct"])],
-            "key string, n_unique long, null_rate double, min_rate double, max_rate double, "
-            "n_groups_over_10pct long")
-        out = df if out is None else out.unionByName(df)
+        per = b.groupBy(k).agg(F.count(F.lit(1)).alias("n"), F.avg(Y).alias("r"))
+        seen = F.col(k).isNotNull()
+        row = per.agg(
+            F.count(F.col(k)).alias("n_unique"),
+            (F.sum(F.when(~seen, F.col("n")).otherwise(0)) / F.sum("n")).alias("null_rate"),
+            F.min(F.when(seen, F.col("r"))).alias("min_rate"),
+            F.max(F.when(seen, F.col("r"))).alias("max_rate"),
+            F.count(F.when(seen & (F.col("r") > 0.1), 1)).alias("n_groups_over_10pct"),
+        ).select(F.lit(k).alias("key"), "*")
+        out = row if out is None else out.unionByName(row)
     return out
 
 

@@ -72,12 +72,14 @@ def fit_pair(train: DataFrame, other: str, target: str = TARGET) -> DataFrame:
     return train.groupBy(CARD, other).agg(F.avg(target).alias("fraud_rate"))
 
 
-def decile_edges(train: DataFrame, cfg: FeatureConfig, amt_col: str = AMT_COL) -> list[float]:
+def decile_edges(train: DataFrame, cfg: FeatureConfig, amt_col: str = AMT_COL,
+                 qs: list[float] | None = None) -> list[float]:
     """Quantile edges (linear interpolation), duplicates dropped, outer
     edges replaced by -inf/+inf. Fewer than two edges: no interval."""
     q = cfg.n_deciles
-    qs = exact_quantiles(train, amt_col, [i / q for i in range(q + 1)],
-                         cfg.quantile_accuracy)
+    if qs is None:
+        qs = exact_quantiles(train, amt_col, [i / q for i in range(q + 1)],
+                             cfg.quantile_accuracy)
     if qs[0] is None:
         return []
     edges = sorted(set(qs))
@@ -94,8 +96,11 @@ def fit(base: DataFrame, cfg: FeatureConfig = FeatureConfig(),
     cols = train.columns
     p.id_present = {c: c in cols for c in ("id_01", "id_13", "id_16")}
     if AMT_COL in cols:
-        p.median_amt = exact_quantiles(train, AMT_COL, [0.5], cfg.quantile_accuracy)[0]
-        p.edges = decile_edges(train, cfg)
+        # median and decile edges from the same selection passes
+        probs = [i / cfg.n_deciles for i in range(cfg.n_deciles + 1)]
+        qs = exact_quantiles(train, AMT_COL, probs + [0.5], cfg.quantile_accuracy)
+        p.median_amt = qs[-1]
+        p.edges = decile_edges(train, cfg, qs=qs[:-1])
     if target in cols:
         p.global_rate = train.agg(F.avg(target)).first()[0]
     if CARD in cols and AMT_COL in cols:
