@@ -75,8 +75,10 @@ def numeric_like_columns(df: DataFrame, threshold: float = 0.90) -> list[str]:
     return [c for c in strings if row[c] is not None and row[c] > threshold]
 
 
-def fix_dtypes(df: DataFrame, threshold: float = 0.90) -> DataFrame:
-    cols = numeric_like_columns(df, threshold)
+def fix_dtypes(df: DataFrame, threshold: float = 0.90,
+               cols: list[str] | None = None) -> DataFrame:
+    """Coerce numeric-like string columns (``cols`` if already decided)."""
+    cols = numeric_like_columns(df, threshold) if cols is None else cols
     if not cols:
         return df
     return df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in cols})

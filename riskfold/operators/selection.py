@@ -176,10 +176,28 @@ def ordered_cuts(df: DataFrame, order_col: str, tie_col: str, ranks: list[int])
     (all ranks in the same passes), then on the tie column among the rows
     sharing each selected order value."""
     firsts = order_statistics(df, order_col, ranks)
+    values = sorted({t for t, _ in firsts})
+    o, tie = F.col(order_col), F.col(tie_col)
+    sizes = {r[0]: r[1] for r in df.where(o.isin(*values)).groupBy(o)
+             .agg(F.count(F.lit(1))).collect()}
+    small = [v for v in values if sizes.get(v, 0) <= 4096]
+    # rows sharing a small tie group: their (order, tie) keys, one job
+    keys = {}
+    if small:
+        for r in (df.where(o.isin(*small)).groupBy(o.alias("o"), tie.alias("t"))
+                  .agg(F.count(F.lit(1)).alias("c")).orderBy("o", "t").collect()):
+            keys.setdefault(r["o"], []).append((r["t"], r["c"]))
     out = []
     for r, (t, below) in zip(ranks, firsts):
-        ties = df.where(F.col(order_col) == F.lit(t))
-        (tid, _), = order_statistics(ties, tie_col, [r - below])
+        k = r - below
+        if t in keys:
+            acc = 0
+            for tid, c in keys[t]:
+                if acc <= k < acc + c:
+                    break
+                acc += c
+        else:
+            (tid, _), = order_statistics(df.where(o == F.lit(t)), tie_col, [k])
         out.append((t, tid))
     return out
 

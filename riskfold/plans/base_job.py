@@ -27,7 +27,7 @@ def build_base(txn: DataFrame, identity: DataFrame,
         log.info("dropping high-null columns: %s", dropped)
     deduped = ops.persist(ops.drop_duplicates(merged.drop(*dropped)))
     numeric = ops.numeric_like_columns(deduped, cfg.numeric_threshold)
-    fixed = ops.fix_dtypes(deduped, cfg.numeric_threshold)
+    fixed = ops.fix_dtypes(deduped, cfg.numeric_threshold, numeric)
     cuts = ops.split_cuts(fixed, cfg.time_col, cfg.id_col, cfg.ratios)
     base = ops.assign_split(fixed, cuts, cfg.time_col, cfg.id_col)
     if with_plan:
