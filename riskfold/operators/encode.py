@@ -57,7 +57,8 @@ def cast_flags(df: DataFrame, flags=BINARY_FLAGS) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("int") for c in flags if c in df.columns})
 
 
-def fit_label_index(train: DataFrame, cats: list[str]) -> DataFrame:
+def fit_label_index(train: DataFrame, cats: list[str], max_group: int = 2_000_000,
+                    seed: int = 42) -> DataFrame:
     """(column, value, code) with codes 0..k-1 in code-point order of
     the distinct training values of each column."""
     if not cats:
@@ -67,10 +68,52 @@ def fit_label_index(train: DataFrame, cats: list[str]) -> DataFrame:
     vocab = parts[0]
     for p in parts[1:]:
         vocab = vocab.unionByName(p)
-    vocab = vocab.distinct()
-    # binary collation = code-point order for UTF-8
-    w = Window.partitionBy("column").orderBy(F.col("value").cast("binary"))
-    return vocab.withColumn("code", (F.row_number().over(w) - 1).cast("long"))
+    return dense_codes(vocab.distinct(), "column", "value", max_group, seed)
+
+
+def dense_codes(vocab: DataFrame, part: str, value: str, max_group: int = 2_000_000,
+                seed: int = 42) -> DataFrame:
+    """0-based rank of each distinct ``value`` within its ``part`` in
+    code-point (UTF-8 byte) order.
+
+    Groups up to ``max_group`` values are ranked by a window partitioned by
+    the group. Larger groups are cut into value ranges at bounds taken from a
+    bounded sample; per-range counts (one row per range) give offsets and a
+    window partitioned by (group, range) ranks inside each range, so no task
+    holds a whole large vocabulary."""
+    key = F.col(value).cast("binary")
+    sizes = {r[part]: r["n"] for r in vocab.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+             .collect()}
+    big = {g: n for g, n in sizes.items() if n > max_group}
+    if not big:
+        w = Window.partitionBy(part).orderBy(key)
+        return vocab.withColumn("code", (F.row_number().over(w) - 1).cast("long"))
+    rng = F.lit(0)
+    for g, n in big.items():
+        ranges = -(-n // max_group)
+        frac = min(1.0, 20.0 * ranges / n)
+        sample = sorted(r[0].encode("utf-8") for r in vocab.where(F.col(part) == g)
+                        .sample(fraction=frac, seed=seed).select(value).collect())
+        bounds = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)
+                         if sample})
+        idx = F.lit(0)
+        for b in bounds:
+            idx = idx + (key > F.lit(bytearray(b))).cast("int")
+        rng = F.when(F.col(part) == g, idx).otherwise(rng)
+    ranged = vocab.withColumn("_rng", rng)
+    totals = sorted((r[part], r["_rng"], r["n"]) for r in
+                    ranged.groupBy(part, "_rng").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, acc, last = [], 0, None
+    for g, b, n in totals:
+        if g != last:
+            acc, last = 0, g
+        offsets.append((g, b, acc))
+        acc += n
+    off = vocab.sparkSession.createDataFrame(offsets, f"{part} string, _rng int, _off long")
+    w = Window.partitionBy(part, "_rng").orderBy(key)
+    return (ranged.join(F.broadcast(off), [part, "_rng"])
+            .withColumn("code", (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
+            .drop("_rng", "_off"))
 
 
 def label_encode(df: DataFrame, mapping: DataFrame, cats: list[str],

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..config import BaseConfig
 from ..operators import base as ops
+from ..session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -17,19 +18,26 @@ def build_base(txn: DataFrame, identity: DataFrame,
     """One DataFrame with a ``split`` column (train/val/test).
 
     Two schema decisions need data (null shares, parse shares) and the split
-    needs its cut keys; these are the only actions. The deduplicated frame is
-    persisted once so those passes do not repeat the shuffle.
+    needs its cut keys; these are the only actions (they read a persisted
+    copy of the deduplicated frame). The result is written once to the shared
+    checkpoint folder, partitioned by ``split``: lineage is cut, split
+    filters become partition pruning, and scans read only used columns.
     """
     merged = ops.merge_identity(txn, identity, cfg.id_col)
     protect = (cfg.id_col, cfg.time_col, cfg.target)
     dropped = ops.high_null_columns(merged, cfg.null_threshold, protect)
     if dropped:
         log.info("dropping high-null columns: %s", dropped)
+    # the deduplicated frame feeds the parse-share and cut passes
     deduped = ops.persist(ops.drop_duplicates(merged.drop(*dropped)))
     numeric = ops.numeric_like_columns(deduped, cfg.numeric_threshold)
     fixed = ops.fix_dtypes(deduped, cfg.numeric_threshold, numeric)
     cuts = ops.split_cuts(fixed, cfg.time_col, cfg.id_col, cfg.ratios)
-    base = ops.assign_split(fixed, cuts, cfg.time_col, cfg.id_col)
+    # one write, partitioned by split: split filters prune partitions and
+    # later scans read only the columns they use
+    base = materialize(ops.assign_split(fixed, cuts, cfg.time_col, cfg.id_col), "base",
+                       partition_by="split")
+    deduped.unpersist()
     if with_plan:
         # the data-dependent decisions, replayable on new rows (streams)
         return base, BasePlan(dropped, numeric, cuts, cfg)

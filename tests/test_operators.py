@@ -112,3 +112,18 @@ def test_one_class_labels(spark):
     assert M.auc_roc(sc).first()[0] is None
     r = M.prf_at_threshold(sc, 0.3).first()
     assert (r["precision"], r["recall"], r["f1"]) == (0.0, 0.0, 0.0)
+
+
+def test_dense_codes_large_group_path(spark):
+    from riskfold.operators.encode import dense_codes
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("abcXYZé_0") for _ in range(rnd.randint(1, 6)))
+                    for _ in range(3000)})
+    rows = [("big", w) for w in words] + [("small", w) for w in words[:50]]
+    vocab = spark.createDataFrame(rows, "column string, value string")
+    got = dense_codes(vocab, "column", "value", max_group=400).collect()
+    expect_big = {w: i for i, w in enumerate(sorted(words, key=lambda x: x.encode()))}
+    expect_small = {w: i for i, w in enumerate(sorted(words[:50], key=lambda x: x.encode()))}
+    for r in got:
+        exp = expect_big if r["column"] == "big" else expect_small
+        assert r["code"] == exp[r["value"]]
