@@ -117,17 +117,24 @@ def dense_codes(vocab: DataFrame, part: str, value: str, max_group: int = 2_000_
 
 
 def label_encode(df: DataFrame, mapping: DataFrame, cats: list[str],
-                 unknown: str = CAT_UNKNOWN, check: bool = True) -> DataFrame:
+                 unknown: str = CAT_UNKNOWN, check: bool = True,
+                 broadcast_limit: int = 64 * 1024 * 1024) -> DataFrame:
     """Value -> code; a value unseen in training maps to the code of
     ``unknown``; if that code does not exist and misses occur, raise."""
     mapping = mapping.persist()
     unk = {r["column"]: r["code"] for r in
            mapping.where(F.col("value") == unknown).select("column", "code").collect()}
+    # vocabulary sizes (one row per column) decide which mappings are broadcast
+    sizes = {r["column"]: (r["n"], r["w"] or 0) for r in mapping.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("w")).collect()}
     out = df
     for c in cats:
         m = mapping.where(F.col("column") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_code_{c}"))
-        out = out.join(F.broadcast(m), F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
+        n, w = sizes.get(c, (0, 0))
+        if n * 24 + w <= broadcast_limit:
+            m = F.broadcast(m)
+        out = out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
         default = F.lit(unk.get(c)).cast("long")
         out = out.withColumn(c, F.coalesce(F.col(f"_code_{c}"), default)).drop(
             f"_v_{c}", f"_code_{c}")

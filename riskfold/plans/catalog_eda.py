@@ -507,3 +507,32 @@ def _profile_sql() -> str:
 
 
 reg("profile_table", _profile, _profile_sql(), ["mean", "std", "min", "max", "top_fraud_rate"])
+
+
+# ---- E19 / E20 extra outputs: value counts and describe of the row degrees --------------
+def _deg_rows(spark, sf, key, other, name):
+    b = P.distinct_degree(_base(spark, sf), key, other, name)
+    return b.where(F.col(name).isNotNull()).withColumn(name, F.col(name).cast("double"))
+
+
+def _deg_sql(key, other, name):
+    return (f"dg AS (SELECT CAST(d.{name} AS DOUBLE) AS v FROM base b JOIN (SELECT {key}, "
+            f"count(DISTINCT {other}) AS {name} FROM base WHERE {key} IS NOT NULL GROUP BY {key}) d "
+            f"ON b.{key} = d.{key})")
+
+
+reg("eda_card_email_degree_top10", lambda s, sf: (
+    _deg_rows(s, sf, "card1", "P_emaildomain", "card_email_degree")
+    .groupBy("card_email_degree").agg(F.count(F.lit(1)).alias("n"))
+    .orderBy(F.col("n").desc(), "card_email_degree").limit(10)),
+    ctes(_deg_sql("card1", "P_emaildomain", "card_email_degree"),
+         "SELECT v AS card_email_degree, count(*) AS n FROM dg GROUP BY v "
+         "ORDER BY n DESC, v LIMIT 10"), ["card_email_degree"])
+reg("eda_card_email_degree_describe", lambda s, sf: P.describe(
+    _deg_rows(s, sf, "card1", "P_emaildomain", "card_email_degree"), "card_email_degree"),
+    ctes(_deg_sql("card1", "P_emaildomain", "card_email_degree"), _sql_describe("v", "dg")),
+    _DESC_FLOATS)
+reg("eda_email_card_degree_describe", lambda s, sf: P.describe(
+    _deg_rows(s, sf, "P_emaildomain", "card1", "email_card_degree"), "email_card_degree"),
+    ctes(_deg_sql("P_emaildomain", "card1", "email_card_degree"), _sql_describe("v", "dg")),
+    _DESC_FLOATS)
