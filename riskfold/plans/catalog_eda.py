@@ -238,22 +238,20 @@ _KEYS = ["card1", "addr1", "P_emaildomain"]
 
 
 def _key_profile(spark, sf):
-    """One lazy plan: per key, groups (NULL group included) are aggregated
-    once more into a single profile row; the rows are unioned."""
+    """One scan: the keys are stacked as (key, value-as-text) pairs, grouped
+    once per (key, value) with map-side combining (the NULL group included),
+    then reduced to one profile row per key."""
     b = _base(spark, sf)
-    out = None
-    for k in _KEYS:
-        per = b.groupBy(k).agg(F.count(F.lit(1)).alias("n"), F.avg(Y).alias("r"))
-        seen = F.col(k).isNotNull()
-        row = per.agg(
-            F.count(F.col(k)).alias("n_unique"),
-            (F.sum(F.when(~seen, F.col("n")).otherwise(0)) / F.sum("n")).alias("null_rate"),
-            F.min(F.when(seen, F.col("r"))).alias("min_rate"),
-            F.max(F.when(seen, F.col("r"))).alias("max_rate"),
-            F.count(F.when(seen & (F.col("r") > 0.1), 1)).alias("n_groups_over_10pct"),
-        ).select(F.lit(k).alias("key"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    pairs = ", ".join(f"'{k}', CAST(`{k}` AS STRING)" for k in _KEYS)
+    st = b.selectExpr(f"stack({len(_KEYS)}, {pairs}) AS (key, value)", f"`{Y}` AS _y")
+    per = st.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("r"))
+    seen = F.col("value").isNotNull()
+    return per.groupBy("key").agg(
+        F.count(F.col("value")).alias("n_unique"),
+        (F.sum(F.when(~seen, F.col("n")).otherwise(0)) / F.sum("n")).alias("null_rate"),
+        F.min(F.when(seen, F.col("r"))).alias("min_rate"),
+        F.max(F.when(seen, F.col("r"))).alias("max_rate"),
+        F.count(F.when(seen & (F.col("r") > 0.1), 1)).alias("n_groups_over_10pct"))
 
 
 reg("eda_key_profile", _key_profile, plain(" UNION ALL ".join(
