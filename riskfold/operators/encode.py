@@ -21,6 +21,14 @@ def drop_id(df: DataFrame, col: str = "TransactionID") -> DataFrame:
     return df.drop(col)
 
 
+def split_xy(df: DataFrame, target: str = TARGET, exclude=("split",)) -> tuple[list[str], str]:
+    """Feature columns (everything but target and split) and the target;
+    one frame is kept, only the column lists are separated."""
+    if target not in df.columns:
+        raise ValueError(f"target {target!r} not in the frame")
+    return [c for c in df.columns if c != target and c not in exclude], target
+
+
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.NumericType) and f.name not in exclude]

@@ -84,7 +84,8 @@ def run_v2(spark: SparkSession, enriched_path: str, out_dir: str, mode: str = "a
     trial_df.write.mode("overwrite").parquet(os.path.join(out_dir, "trials"))
     best = dict(best, max_iter=final_iter)
     model = t.run("train", ml.train_categorical, labelled, cats, numeric, **best)
-    model.write().overwrite().save(os.path.join(out_dir, "model"))
+    io.save_model(model, os.path.join(out_dir, "model"))
+    model = io.load_model(os.path.join(out_dir, "model"))   # evaluate the saved model
     scores = ml.score(model, mat.where(F.col("split") == "val"))
     report = t.run("evaluate", M.eval_report, scores)
     io.write_report(report, os.path.join(out_dir, "eval_report"))
@@ -101,9 +102,9 @@ def run_v1(spark: SparkSession, base_path: str, out_dir: str, max_iter: int = 10
     base = io.read_splits(spark, base_path)
     mat, codes = t.run("prep", prepare_indexed, base)
     mat = mat.withColumn("TransactionID", F.monotonically_increasing_id())
-    feats = [c for c in mat.columns if c not in ("split", TARGET, "TransactionID")]
+    feats = [c for c in E.split_xy(mat)[0] if c != "TransactionID"]
     model = t.run("train", ml.train_numeric, mat, feats, max_iter=max_iter)
-    model.write().overwrite().save(os.path.join(out_dir, "model"))
+    io.save_model(model, os.path.join(out_dir, "model"))
     test = mat.where(F.col("split") == "test")
     scores = ml.score(model, test)
     metrics = t.run("evaluate", lambda: M.auc_roc(scores).first()[0])

@@ -220,4 +220,15 @@ def load_top_features(spark: SparkSession, path: str) -> list[str]:
 
 # ---- S11 / S12 / S13 ----------------------------------------------------------------------------
 def write_report(df: DataFrame, path: str) -> None:
+    """Small report tables (one to a few hundred rows) as JSON."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def save_model(model, path: str) -> None:
+    """Spark ML pipeline model, overwriting."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(path)
