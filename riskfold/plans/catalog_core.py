@@ -160,6 +160,20 @@ reg("enriched_features", _enriched,
     with_params("SELECT * FROM enriched"), ENRICHED_FLOATS)
 
 
+def _enriched_shuffled(spark, sf):
+    """The flagship with a zero broadcast limit: every lookup takes the
+    shuffle-join plan, card-keyed ones through distinct key combinations
+    (the plan used when fitted tables outgrow broadcast)."""
+    from dataclasses import replace
+    from . import features_job as fj
+    fxt = fixture(spark, sf)
+    return fj.apply(fxt.base, replace(fxt.params, broadcast_limit=0))
+
+
+reg("enriched_features_shuffled", _enriched_shuffled,
+    with_params("SELECT * FROM enriched"), ENRICHED_FLOATS)
+
+
 def _stream_features(spark, sf):
     from ..streaming.apply_stream import stream_features
     fxt = fixture(spark, sf)

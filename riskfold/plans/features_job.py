@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import (ALL_ENGINEERED_FEATURES, AMT_COL, TARGET, FeatureConfig)
 from ..functions import features as fx
-from ..operators.lookup import (Lookup, drop_lookup_columns, join_lookup,
-                                stat_or_default)
+from ..operators.lookup import (DEFAULT_BROADCAST_LIMIT, Lookup, drop_lookup_columns,
+                                join_lookup, stat_or_default)
 from ..operators.selection import exact_quantiles
 
 CARD, EMAIL, DEVICE, ADDR = "card1", "P_emaildomain", "DeviceInfo", "addr1"
@@ -30,6 +30,7 @@ class FeatureParams:
     global_rate: float | None = None
     edges: list[float] | None = None
     id_present: dict[str, bool] = field(default_factory=dict)
+    broadcast_limit: int = DEFAULT_BROADCAST_LIMIT
 
     def summary(self) -> dict:
         out = {f"n_{k}": v.rows for k, v in self.lookups.items()}
@@ -126,7 +127,7 @@ def apply_card(df: DataFrame, p: FeatureParams, keep_hit: bool = False) -> DataF
     if lk is None or CARD not in df.columns:
         return df
     cfg = p.cfg
-    out = join_lookup(df, lk)
+    out = join_lookup(df, lk, broadcast_limit=p.broadcast_limit)
     cols = {
         "card1_txn_count": stat_or_default(lk, "card1_txn_count", F.lit(1).cast("long")),
         "card1_mean_amt": stat_or_default(lk, "card1_mean_amt", F.lit(p.median_amt).cast("double")),
@@ -143,7 +144,7 @@ def apply_email(df: DataFrame, p: FeatureParams, keep_hit: bool = False) -> Data
     lk = p.lookups.get("email")
     if lk is None or EMAIL not in df.columns:
         return df
-    out = join_lookup(df, lk).withColumns({
+    out = join_lookup(df, lk, broadcast_limit=p.broadcast_limit).withColumns({
         "email_fraud_rate": stat_or_default(lk, "email_fraud_rate", F.lit(p.global_rate).cast("double")),
         "email_txn_count": stat_or_default(lk, "email_txn_count", F.lit(1).cast("long")),
     })
@@ -154,7 +155,7 @@ def apply_device(df: DataFrame, p: FeatureParams, keep_hit: bool = False) -> Dat
     lk = p.lookups.get("device")
     if lk is None or DEVICE not in df.columns:
         return df
-    out = join_lookup(df, lk).withColumn(
+    out = join_lookup(df, lk, broadcast_limit=p.broadcast_limit).withColumn(
         "device_txn_count",
         F.when(F.col(DEVICE).isNull(), F.lit(None).cast("long"))
         .otherwise(stat_or_default(lk, "device_txn_count",
@@ -167,7 +168,7 @@ def apply_addr(df: DataFrame, p: FeatureParams, keep_hit: bool = False) -> DataF
     if lk is None or ADDR not in df.columns:
         return df
     deg = stat_or_default(lk, "card_degree", F.lit(p.cfg.addr_unseen).cast("long"))
-    out = join_lookup(df, lk).withColumn(
+    out = join_lookup(df, lk, broadcast_limit=p.broadcast_limit).withColumn(
         "addr_is_unique",
         F.when(F.col(ADDR).isNull(), F.lit(None).cast("int")).otherwise((deg == 1).cast("int")))
     return drop_lookup_columns(out, lk, keep_hit)
@@ -180,7 +181,7 @@ def apply_pairs(df: DataFrame, p: FeatureParams, keep_hit: bool = False) -> Data
         lk = p.lookups.get(name)
         if lk is None or other not in df.columns or CARD not in df.columns:
             continue
-        df = join_lookup(df, lk).withColumn(
+        df = join_lookup(df, lk, broadcast_limit=p.broadcast_limit).withColumn(
             feature, stat_or_default(lk, "fraud_rate", F.lit(fallback).cast("double")))
         df = drop_lookup_columns(df, lk, keep_hit)
     return df
@@ -192,19 +193,51 @@ def _null_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+CARD_KEYED = ("card", "card_email", "uid")
+
+
+def card_keyed_by_combination(df: DataFrame, p: FeatureParams) -> bool:
+    """True when a card-keyed table is too large to broadcast (and the input
+    is a batch): its features are then resolved per distinct key combination."""
+    big = any(p.lookups[n].est_bytes > p.broadcast_limit for n in CARD_KEYED
+              if n in p.lookups)
+    return big and not df.isStreaming
+
+
+def apply_card_keyed(df: DataFrame, p: FeatureParams, keep_hits: bool = False) -> DataFrame:
+    """Card, card+email and card+address features depend only on
+    (card1, P_emaildomain, addr1). With tables beyond the broadcast limit,
+    joining each to the fact table would shuffle its wide rows three times;
+    instead the three lookups are resolved on the distinct key combinations
+    (narrow, map-side deduplicated) and joined back once, NULL-safely. AQE
+    may broadcast the combination table at run time or split hot keys."""
+    keys = [c for c in (CARD, EMAIL, ADDR) if c in df.columns]
+    combos = df.select(*keys).distinct()
+    feats = apply_pairs(apply_card(combos, p, keep_hits), p, keep_hits)
+    right = feats.select(*[F.col(k).alias(f"_ck_{k}") for k in keys],
+                         *[c for c in feats.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = df[k].eqNullSafe(F.col(f"_ck_{k}"))
+        cond = c if cond is None else cond & c
+    return df.join(right, cond, "left").drop(*[f"_ck_{k}" for k in keys])
+
+
 def apply(df: DataFrame, p: FeatureParams, keep_hits: bool = False,
           amt_col: str = AMT_COL) -> DataFrame:
     """All 28 features in registry order of blocks: time, amount, null flags,
     aggregation, ratio, graph. Pure transformation (stream-safe)."""
+    combos = card_keyed_by_combination(df, p)
     out = fx.time_features(df, cfg=p.cfg)
     out = fx.amount_features(out, p.edges, amt_col, p.cfg)
     out = fx.null_flags(out, p.id_present)
-    out = apply_card(out, p, keep_hits)
+    out = apply_card_keyed(out, p, keep_hits) if combos else apply_card(out, p, keep_hits)
     out = apply_email(out, p, keep_hits)
     out = fx.ratio_features(out, amt_col, cfg=p.cfg)
     out = apply_device(out, p, keep_hits)
     out = apply_addr(out, p, keep_hits)
-    out = apply_pairs(out, p, keep_hits)
+    if not combos:
+        out = apply_pairs(out, p, keep_hits)
     return _null_columns(out, {"device_txn_count": "long", "card_device_is_high": "int",
                                "addr_is_unique": "int"})
 

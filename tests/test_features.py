@@ -154,3 +154,30 @@ def test_null_flags_and_time(spark):
     assert rows[3]["hour"] == 20 and rows[3]["time_of_day"] == 3
     assert rows[4]["hour"] == 23 and rows[4]["days_since_start"] == -1   # floor semantics
     assert math.isclose(rows[0]["days_since_start"], 1)
+
+
+def test_combination_path_equals_direct_joins(spark):
+    from dataclasses import replace
+    rows = [(101, "d1", 10.0, "gmail.com", 0, 5.0), (101, "d2", None, None, 1, 7.0),
+            (None, "d1", 10.0, "gmail.com", 1, 3.0), (None, None, None, None, 0, 2.0),
+            (102, None, 20.0, "yahoo.com", 1, 9.0), (103, "d3", 30.0, None, 0, None)]
+    schema = ("card1 long, DeviceInfo string, addr1 double, P_emaildomain string, "
+              "isFraud int, TransactionAmt double")
+    train = spark.createDataFrame(rows, schema)
+    p = fj.fit(train, FeatureConfig())
+    probe = spark.createDataFrame(rows + [(999, "d9", 99.0, "x.com", 0, 1.0),
+                                          (None, "d1", None, "gmail.com", 0, 4.0)], schema)
+    direct = fj.apply(probe, p)
+    forced = replace(p, broadcast_limit=0)
+    assert fj.card_keyed_by_combination(probe, forced)
+    combo = fj.apply(probe, forced)
+
+    def norm(df):
+        cols = sorted(df.columns)
+        out = [tuple(r[c] for c in cols) for r in df.select(*cols).collect()]
+        return sorted(out, key=lambda t: tuple((v is None, str(v)) for v in t))
+
+    assert norm(combo) == norm(direct)
+    nulls = [r for r in direct.collect() if r["card1"] is None and r["P_emaildomain"] == "gmail.com"]
+    # (NULL card, gmail.com) was fitted as a pair value (rate 1.0); NULL card misses the card table
+    assert all(r["card_email_pair_fraud_rate"] == 1.0 and r["card1_txn_count"] == 1 for r in nulls)
