@@ -161,9 +161,9 @@ reg("enriched_features", _enriched,
 
 
 def _enriched_shuffled(spark, sf):
-    """The flagship with a zero broadcast limit: every lookup takes the
-    shuffle-join plan, card-keyed ones through distinct key combinations
-    (the plan used when fitted tables outgrow broadcast)."""
+    """The flagship with a zero broadcast limit: every lookup block is
+    resolved on distinct key combinations and joined back once (the plan
+    used when fitted tables outgrow broadcast)."""
     from dataclasses import replace
     from . import features_job as fj
     fxt = fixture(spark, sf)

@@ -193,29 +193,43 @@ def _null_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-CARD_KEYED = ("card", "card_email", "uid")
-
-
-def card_keyed_by_combination(df: DataFrame, p: FeatureParams) -> bool:
-    """True when a card-keyed table is too large to broadcast (and the input
-    is a batch): its features are then resolved per distinct key combination."""
-    big = any(p.lookups[n].est_bytes > p.broadcast_limit for n in CARD_KEYED
-              if n in p.lookups)
-    return big and not df.isStreaming
-
-
-def apply_card_keyed(df: DataFrame, p: FeatureParams, keep_hits: bool = False) -> DataFrame:
-    """Card, card+email and card+address features depend only on
-    (card1, P_emaildomain, addr1). With tables beyond the broadcast limit,
-    joining each to the fact table would shuffle its wide rows three times;
-    instead the three lookups are resolved on the distinct key combinations
-    (narrow, map-side deduplicated) and joined back once, NULL-safely. AQE
-    may broadcast the combination table at run time or split hot keys."""
-    keys = [c for c in (CARD, EMAIL, ADDR) if c in df.columns]
+# feature blocks: (name, apply function, key columns, lookups it reads)
+BLOCKS = [
+    ("card", lambda d, p, k: apply_card(d, p, k), [CARD], ["card"]),
+    ("email", lambda d, p, k: apply_email(d, p, k), [EMAIL], ["email"]),
+    ("device", lambda d, p, k: apply_device(d, p, k), [DEVICE], ["device"]),
+    ("addr", lambda d, p, k: apply_addr(d, p, k), [ADDR], ["addr"]),
+    ("pairs", lambda d, p, k: apply_pairs(d, p, k), [CARD, EMAIL, ADDR], ["card_email", "uid"]),
+]
+
+
+def blocks_by_combination(df: DataFrame, p: FeatureParams) -> list[str]:
+    """Blocks reading a table beyond the broadcast limit (batch input only:
+    a distinct over a stream would be stateful)."""
+    if df.isStreaming:
+        return []
+    return [name for name, _, _, lks in BLOCKS
+            if any(n in p.lookups and p.lookups[n].est_bytes > p.broadcast_limit for n in lks)]
+
+
+def apply_by_combination(df: DataFrame, p: FeatureParams, names: list[str],
+                         keep_hits: bool = False) -> DataFrame:
+    """Lookup features depend only on their key columns. With tables beyond
+    the broadcast limit, joining each to the fact table would shuffle its
+    wide rows once per table; instead the blocks are applied to the distinct
+    combinations of their keys (narrow, map-side deduplicated) and the result
+    is joined back once, NULL-safely. AQE may broadcast the combination table
+    at run time or split hot keys of the fact side."""
+    keys = []
+    for name, _, ks, _ in BLOCKS:
+        if name in names:
+            keys += [k for k in ks if k in df.columns and k not in keys]
     combos = df.select(*keys).distinct()
-    feats = apply_pairs(apply_card(combos, p, keep_hits), p, keep_hits)
-    right = feats.select(*[F.col(k).alias(f"_ck_{k}") for k in keys],
-                         *[c for c in feats.columns if c not in keys])
+    for name, fn, _, _ in BLOCKS:
+        if name in names:
+            combos = fn(combos, p, keep_hits)
+    right = combos.select(*[F.col(k).alias(f"_ck_{k}") for k in keys],
+                          *[c for c in combos.columns if c not in keys])
     cond = None
     for k in keys:
         c = df[k].eqNullSafe(F.col(f"_ck_{k}"))
@@ -225,19 +239,20 @@ def apply_card_keyed(df: DataFrame, p: FeatureParams, keep_hits: bool = False) -
 
 def apply(df: DataFrame, p: FeatureParams, keep_hits: bool = False,
           amt_col: str = AMT_COL) -> DataFrame:
-    """All 28 features in registry order of blocks: time, amount, null flags,
-    aggregation, ratio, graph. Pure transformation (stream-safe)."""
-    combos = card_keyed_by_combination(df, p)
+    """All 28 features: time, amount, null flags (row-local), the lookup
+    blocks (broadcast joins, or one join by key combination for tables
+    beyond the broadcast limit), then the ratios. Pure transformation, no
+    action (stream-safe)."""
+    big = blocks_by_combination(df, p)
     out = fx.time_features(df, cfg=p.cfg)
     out = fx.amount_features(out, p.edges, amt_col, p.cfg)
     out = fx.null_flags(out, p.id_present)
-    out = apply_card_keyed(out, p, keep_hits) if combos else apply_card(out, p, keep_hits)
-    out = apply_email(out, p, keep_hits)
+    if big:
+        out = apply_by_combination(out, p, big, keep_hits)
+    for name, fn, _, _ in BLOCKS:
+        if name not in big:
+            out = fn(out, p, keep_hits)
     out = fx.ratio_features(out, amt_col, cfg=p.cfg)
-    out = apply_device(out, p, keep_hits)
-    out = apply_addr(out, p, keep_hits)
-    if not combos:
-        out = apply_pairs(out, p, keep_hits)
     return _null_columns(out, {"device_txn_count": "long", "card_device_is_high": "int",
                                "addr_is_unique": "int"})
 

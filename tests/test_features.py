@@ -169,7 +169,7 @@ def test_combination_path_equals_direct_joins(spark):
                                           (None, "d1", None, "gmail.com", 0, 4.0)], schema)
     direct = fj.apply(probe, p)
     forced = replace(p, broadcast_limit=0)
-    assert fj.card_keyed_by_combination(probe, forced)
+    assert fj.blocks_by_combination(probe, forced) == ["card", "email", "device", "addr", "pairs"]
     combo = fj.apply(probe, forced)
 
     def norm(df):
