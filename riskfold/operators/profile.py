@@ -19,8 +19,7 @@ from .selection import exact_quantiles
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def group_stat(df: DataFrame, key: str, name: str, agg: Column,
-               null_key_value=None) -> DataFrame:
+def group_stat(df: DataFrame, key: str, name: str, agg: Column) -> DataFrame:
     """Attach a per-key statistic to every row (NULL key -> NULL stat, as
     pandas' transform leaves NaN there)."""
     stats = df.where(F.col(key).isNotNull()).groupBy(key).agg(agg.alias(name))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .fixture import round_doubles  # noqa: F401
 
 
 def registry() -> dict:

@@ -6,7 +6,6 @@ splits). HAVING limits are the notebook's (>100, >50) unless stated.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import features as fxf

@@ -36,7 +36,7 @@ FINAL_SQL = ("final AS (SELECT * REPLACE (CASE WHEN split = 'test' THEN NULL ELS
 
 
 def with_final(body: str) -> str:
-    return with_params("") .replace("-- result\n", "") + "," + FINAL_SQL + "\n-- result\n" + body
+    return with_params("").replace("-- result\n", "") + "," + FINAL_SQL + "\n-- result\n" + body
 
 
 # ---- P1, P13-P16 ---------------------------------------------------------------------
@@ -183,7 +183,7 @@ def _vready_sql() -> str:
 
 
 reg("validate_ready", lambda s, sf: _v2(s, sf)[2],
-    with_final("").replace("-- result\n", "") .rstrip() + ",\nv2 AS (" + _V2 + ")\n-- result\n"
+    with_final("").replace("-- result\n", "").rstrip() + ",\nv2 AS (" + _V2 + ")\n-- result\n"
     + _vready_sql(), ["value"])
 
 

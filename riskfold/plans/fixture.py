@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import FIXTURE_BASE, FIXTURE_FEATURES
 from ..sources import fixtures as fx
@@ -70,10 +69,3 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     if key not in _STATE:
         _STATE[key] = Fixture(spark, sf_dir)
     return _STATE[key]
-
-
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (results are compared after rounding)."""
-    cols = {f.name: F.round(F.col(f.name), digits) for f in df.schema.fields
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.withColumns(cols) if cols else df
