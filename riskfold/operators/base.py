@@ -99,7 +99,8 @@ def split_cuts(df: DataFrame, time_col: str = "TransactionDT",
     without a global sort. They are parameters: the same cut applies to
     rows arriving later (streams)."""
     t = F.col(time_col)
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.count(t).alias("nt")).first()
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.count(t).alias("nt"),
+                   F.min(t).alias("lo"), F.max(t).alias("hi")).first()
     n = stats["n"]
     if n == 0:
         raise ValueError("time_split on an empty table")
@@ -108,7 +109,8 @@ def split_cuts(df: DataFrame, time_col: str = "TransactionDT",
     r1, r2 = cut_ranks(n, ratios)
     if r1 <= 0 or r2 <= r1 or r2 >= n:
         raise ValueError(f"a split would be empty (n={n}, cuts={r1},{r2})")
-    return tuple(ordered_cuts(df, time_col, id_col, [r1 - 1, r2 - 1]))
+    first = (n, stats["lo"], stats["hi"])
+    return tuple(ordered_cuts(df, time_col, id_col, [r1 - 1, r2 - 1], first=first))
 
 
 def assign_split(df: DataFrame, cuts: tuple, time_col: str = "TransactionDT",

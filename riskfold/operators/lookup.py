@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import materialize
 
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 
@@ -52,9 +52,10 @@ class Lookup:
     @classmethod
     def materialise(cls, name: str, keys: list[str], stats: DataFrame,
                     null_keys: str = "default") -> "Lookup":
-        """Checkpoint the fitted table (cuts lineage, survives executor
-        loss) and measure it for the broadcast decision."""
-        df = cut_lineage(stats.withColumn("_hit", F.lit(True)))
+        """Write the fitted table as Parquet under the shared checkpoint
+        folder (computed once, lineage cut, survives executor loss) and
+        measure it for the broadcast decision (the count reads footers)."""
+        df = materialize(stats.withColumn("_hit", F.lit(True)), f"param-{name}")
         return cls(name, keys, df, df.count(), null_keys)
 
 

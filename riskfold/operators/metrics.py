@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SWEEP_THRESHOLDS
-from ..session import cut_lineage
+from ..session import materialize
 from .prefix import running_totals
 
 
@@ -169,7 +169,7 @@ def eval_report(scores: DataFrame, y: str = "y", p: str = "p",
     cm = confusion_matrix(scores, t, y, p).first()
     tp, fp, tn, fn = (int(cm[k] or 0) for k in ("tp", "fp", "tn", "fn"))
     # AUC and AP from one pass over the (checkpointed) per-score groups
-    g = cut_lineage(score_groups(scores, y, p))
+    g = materialize(score_groups(scores, y, p), "score-groups")
     ranks = g.agg(
         F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)).alias("a"),
         F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("b"),

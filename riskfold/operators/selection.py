@@ -61,9 +61,16 @@ def _bucket(x: Column, iv: Column, intervals: list[tuple], buckets: int) -> Colu
     return expr
 
 
+def first_stats(df: DataFrame, col: str) -> tuple:
+    """(non-NULL count, min, max) of ``col`` in one aggregation."""
+    x = F.col(col)
+    r = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    return int(r["n"]), r["lo"], r["hi"]
+
+
 def order_statistics(df: DataFrame, col: str, ranks: list[int],
                      buckets: int = 1024, final_rows: int = 4096,
-                     max_passes: int = 64) -> list[tuple]:
+                     max_passes: int = 64, first: tuple | None = None) -> list[tuple]:
     """Values at 0-based ``ranks`` of non-null ``col`` in ascending order.
 
     Returns ``[(value, n_below_value), ...]`` aligned with ``ranks``; the
@@ -72,13 +79,11 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int],
     x = F.col(col)
     data = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
     xs = F.col("_x")
-    first = data.agg(F.count(F.lit(1)).alias("n"), F.min(xs).alias("lo"),
-                     F.max(xs).alias("hi")).first()
-    n = int(first["n"])
+    n, lo, hi = first if first is not None else first_stats(df, col)
     for r in ranks:
         if r < 0 or r >= n:
             raise ValueError(f"rank {r} outside 0..{n - 1} of column {col}")
-    searches = [_Search(r, first["lo"], first["hi"], 0, n) for r in ranks]
+    searches = [_Search(r, lo, hi, 0, n) for r in ranks]
     for s in searches:
         if s.lo == s.hi:
             s.value, s.value_below = s.lo, 0
@@ -155,13 +160,14 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     if accuracy is not None:
         row = df.agg(F.percentile_approx(col, probs, accuracy).alias("q")).first()
         return [float(v) for v in row["q"]] if row["q"] is not None else [None] * len(probs)
-    n = df.where(F.col(col).isNotNull()).count()
+    first = first_stats(df, col)
+    n = first[0]
     if n == 0:
         return [None] * len(probs)
     positions = [(n - 1) * p for p in probs]
     ranks = sorted({int(math.floor(h)) for h in positions} |
                    {int(math.ceil(h)) for h in positions})
-    got = dict(zip(ranks, (v for v, _ in order_statistics(df, col, ranks))))
+    got = dict(zip(ranks, (v for v, _ in order_statistics(df, col, ranks, first=first))))
     out = []
     for h in positions:
         lo, hi = int(math.floor(h)), int(math.ceil(h))
@@ -170,23 +176,26 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     return out
 
 
-def ordered_cuts(df: DataFrame, order_col: str, tie_col: str, ranks: list[int]) -> list[tuple]:
+def ordered_cuts(df: DataFrame, order_col: str, tie_col: str, ranks: list[int],
+                 first: tuple | None = None, tie_rows: int = 4096) -> list[tuple]:
     """The ``(order, tie)`` keys of the rows at 0-based ``ranks`` when rows
     are sorted by ``(order_col, tie_col)``: selection on the order column
     (all ranks in the same passes), then on the tie column among the rows
     sharing each selected order value."""
-    firsts = order_statistics(df, order_col, ranks)
+    firsts = order_statistics(df, order_col, ranks, first=first)
     values = sorted({t for t, _ in firsts})
     o, tie = F.col(order_col), F.col(tie_col)
-    sizes = {r[0]: r[1] for r in df.where(o.isin(*values)).groupBy(o)
-             .agg(F.count(F.lit(1))).collect()}
-    small = [v for v in values if sizes.get(v, 0) <= 4096]
-    # rows sharing a small tie group: their (order, tie) keys, one job
+    # the (order, tie) keys of the rows sharing the selected order values, in
+    # one job capped at tie_rows per value; a value with more tied keys than
+    # that (a hot timestamp) falls back to selection on the tie column
+    cap = tie_rows * len(values)
+    got = (df.where(o.isin(*values)).groupBy(o.alias("o"), tie.alias("t"))
+           .agg(F.count(F.lit(1)).alias("c")).orderBy("o", "t").limit(cap + 1).collect())
     keys = {}
-    if small:
-        for r in (df.where(o.isin(*small)).groupBy(o.alias("o"), tie.alias("t"))
-                  .agg(F.count(F.lit(1)).alias("c")).orderBy("o", "t").collect()):
-            keys.setdefault(r["o"], []).append((r["t"], r["c"]))
+    for r in got:
+        keys.setdefault(r["o"], []).append((r["t"], r["c"]))
+    if len(got) > cap:          # incomplete: keep only values whose groups fit
+        keys = {v: ks for v, ks in keys.items() if len(ks) <= tie_rows and v != got[-1]["o"]}
     out = []
     for r, (t, below) in zip(ranks, firsts):
         k = r - below

@@ -75,4 +75,10 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: reading it back needs no footer-inference job
+    schema = df.schema
+    if partition_by:
+        from pyspark.sql.types import StructType
+        schema = StructType([f for f in schema.fields if f.name != partition_by]
+                            + [schema[partition_by]])
+    return spark.read.schema(schema).parquet(path)
