@@ -18,6 +18,7 @@ from ..functions import features as fx
 from ..operators.lookup import (DEFAULT_BROADCAST_LIMIT, Lookup, drop_lookup_columns,
                                 join_lookup, stat_or_default)
 from ..operators.selection import exact_quantiles
+from ..session import materialize
 
 CARD, EMAIL, DEVICE, ADDR = "card1", "P_emaildomain", "DeviceInfo", "addr1"
 
@@ -102,25 +103,84 @@ def fit(base: DataFrame, cfg: FeatureConfig = FeatureConfig(),
         qs = exact_quantiles(train, AMT_COL, probs + [0.5], cfg.quantile_accuracy)
         p.median_amt = qs[-1]
         p.edges = decile_edges(train, cfg, qs=qs[:-1])
-    if target in cols:
-        p.global_rate = train.agg(F.avg(target)).first()[0]
     if CARD in cols and AMT_COL in cols:
         p.lookups["card"] = Lookup.materialise("card", [CARD], fit_card(train, cfg))
-    if EMAIL in cols:
-        p.lookups["email"] = Lookup.materialise("email", [EMAIL], fit_email(train, target))
-    if DEVICE in cols:
-        p.lookups["device"] = Lookup.materialise("device", [DEVICE], fit_device(train), "null")
     if ADDR in cols and CARD in cols:
         p.lookups["addr"] = Lookup.materialise("addr", [ADDR], fit_addr(train), "null")
-    if CARD in cols and EMAIL in cols:
-        p.lookups["card_email"] = Lookup.materialise(
-            "card_email", [CARD, EMAIL], fit_pair(train, EMAIL, target), "value")
-    if CARD in cols and ADDR in cols:
-        p.lookups["uid"] = Lookup.materialise(
-            "uid", [CARD, ADDR], fit_pair(train, ADDR, target), "value")
+    shared, p.global_rate = fit_shared(train, target)
+    p.lookups.update(shared)
     return p
 
 
+def fit_shared(train: DataFrame, target: str = TARGET) -> tuple[dict[str, Lookup], float | None]:
+    """The email, device, card+email and card+address tables and the global
+    target rate from ONE aggregation: a GROUPING SETS query (one scan of the
+    train partition, map-side partial aggregation, one shuffle), written once
+    partitioned by grouping id; each lookup reads its own partition.
+
+    Per set the result equals the single-table fits above: NULL email or
+    device groups are dropped from those tables, while the pair sets keep
+    NULL as a key value (grouping_id tells a real NULL from a rolled-up
+    column)."""
+    cols = train.columns
+    has_t = target in cols
+    sets = {}
+    if EMAIL in cols and has_t:
+        sets["email"] = [EMAIL]
+    if DEVICE in cols:
+        sets["device"] = [DEVICE]
+    if CARD in cols and EMAIL in cols and has_t:
+        sets["card_email"] = [CARD, EMAIL]
+    if CARD in cols and ADDR in cols and has_t:
+        sets["uid"] = [CARD, ADDR]
+    if has_t:
+        sets["all"] = []
+    if not sets:
+        return {}, None
+    keys = [c for c in (EMAIL, DEVICE, CARD, ADDR) if any(c in s for s in sets.values())]
+    gid = {name: sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in s)
+           for name, s in sets.items()}
+    spec = ", ".join("(" + ", ".join(f"`{c}`" for c in s) + ")" for s in sets.values())
+    y = f"`{target}`" if has_t else "CAST(NULL AS INT)"
+    key_list = ", ".join(f"`{c}`" for c in keys)
+    agg = train.sparkSession.sql(
+        f"SELECT grouping_id({key_list}) AS _gid, {key_list}, avg({y}) AS fraud_rate, "
+        f"count({y}) AS n_target, count(1) AS n_rows FROM {{train}} "
+        f"GROUP BY GROUPING SETS ({spec})", train=train)
+    groups = materialize(agg, "fit-groups", partition_by="_gid")
+    g = F.col("_gid")
+
+    def part(name):
+        return groups.where(g == gid[name])
+
+    tables = {}
+    if "email" in sets:
+        tables["email"] = ([EMAIL], part("email").where(F.col(EMAIL).isNotNull()).select(
+            EMAIL, F.col("fraud_rate").alias("email_fraud_rate"),
+            F.col("n_target").alias("email_txn_count")), "default")
+    if "device" in sets:
+        tables["device"] = ([DEVICE], part("device").where(F.col(DEVICE).isNotNull()).select(
+            DEVICE, F.col("n_rows").alias("device_txn_count")), "null")
+    if "card_email" in sets:
+        tables["card_email"] = ([CARD, EMAIL], part("card_email").select(
+            CARD, EMAIL, "fraud_rate"), "value")
+    if "uid" in sets:
+        tables["uid"] = ([CARD, ADDR], part("uid").select(CARD, ADDR, "fraud_rate"), "value")
+    # entry counts and the global rate in one small job over the grouped table
+    stats = groups.agg(*[F.count(F.when(g == gid[n], F.lit(1))).alias(f"n_{n}")
+                         for n in ("card_email", "uid") if n in sets],
+                       *([F.count(F.when(g == gid["email"], F.col(EMAIL))).alias("n_email")]
+                         if "email" in sets else []),
+                       *([F.count(F.when(g == gid["device"], F.col(DEVICE))).alias("n_device")]
+                         if "device" in sets else []),
+                       F.max(F.when(g == gid.get("all", -1), F.col("fraud_rate"))).alias("rate")
+                       ).first()
+    lookups = {name: Lookup(name, ks, df.withColumn("_hit", F.lit(True)), int(stats[f"n_{name}"]),
+                            nulls)
+               for name, (ks, df, nulls) in tables.items()}
+    return lookups, (stats["rate"] if has_t else None)
+
+
 # ---- apply ----------------------------------------------------------------------------
 def apply_card(df: DataFrame, p: FeatureParams, keep_hit: bool = False) -> DataFrame:
     lk = p.lookups.get("card")
