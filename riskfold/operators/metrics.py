@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SWEEP_THRESHOLDS
-from ..session import materialize
 from .prefix import running_totals
 
 
@@ -158,18 +157,42 @@ def score_summary(scores: DataFrame, p: str = "p") -> DataFrame:
                       F.avg(p).alias("mean_score"))
 
 
+def _round_half_up(x: float, digits: int) -> float:
+    """Spark's ``round`` on a double: HALF_UP on the shortest decimal form."""
+    from decimal import ROUND_HALF_UP, Decimal
+    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def eval_report(scores: DataFrame, y: str = "y", p: str = "p",
                 thresholds=SWEEP_THRESHOLDS) -> DataFrame:
     """One row: AUC, AP, best sweep threshold and the metrics re-computed at
     that (rounded) threshold, confusion counts, rows and base rate; rounded
-    to 5 digits like the reference report."""
-    sweep = threshold_sweep(scores, thresholds, y, p)
-    best = best_threshold(sweep).first()
-    t = float(best["threshold"])
-    cm = confusion_matrix(scores, t, y, p).first()
-    tp, fp, tn, fn = (int(cm[k] or 0) for k in ("tp", "fp", "tn", "fn"))
-    # AUC and AP from one pass over the (checkpointed) per-score groups
-    g = materialize(score_groups(scores, y, p), "score-groups")
+    to 5 digits like the reference report.
+
+    Two passes over the scores: one aggregation yields the confusion counts
+    at every sweep threshold and at its rounded value (the best threshold is
+    then chosen from that bounded row), plus rows and base rate; AUC and AP
+    come from one aggregation over the per-score running totals."""
+    yc, pc = F.col(y), F.col(p)
+    rounded = [round(t, 2) for t in thresholds]
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(yc.cast("double")).alias("r")]
+    for i, t in enumerate(thresholds):
+        aggs += _counts_at(yc, pc, t, f"_{i}") + _counts_at(yc, pc, rounded[i], f"_r{i}")
+    wide = scores.agg(*aggs).first()
+
+    def div(a, b):
+        return a / b if b else 0.0
+
+    def f1(tag):
+        tp, fp, fn = (int(wide[f"{k}{tag}"] or 0) for k in ("tp", "fp", "fn"))
+        return div(2 * tp, 2 * tp + fp + fn)
+
+    # first threshold with the highest 5-digit F1 (same rule as the sweep)
+    best = max(range(len(thresholds)),
+               key=lambda i: (_round_half_up(f1(f"_{i}"), 5), -i))
+    t = rounded[best]
+    tp, fp, tn, fn = (int(wide[f"{k}_r{best}"] or 0) for k in ("tp", "fp", "tn", "fn"))
+    g = score_groups(scores, y, p)
     ranks = g.agg(
         F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)).alias("a"),
         F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("b"),
@@ -177,14 +200,8 @@ def eval_report(scores: DataFrame, y: str = "y", p: str = "p",
     P, N = ranks["P"] or 0, ranks["N"] or 0
     auc = ranks["a"] / (P * N) if P and N else None
     ap = ranks["b"] / P if P else None
-    base = scores.agg(F.count(F.lit(1)).alias("n"),
-                      F.avg(F.col(y).cast("double")).alias("r")).first()
-
-    def div(a, b):
-        return a / b if b else 0.0
-
     row = (auc, ap, div(2 * tp, 2 * tp + fp + fn), div(tp, tp + fp), div(tp, tp + fn), t,
-           tp, fp, tn, fn, int(base["n"]), base["r"])
+           tp, fp, tn, fn, int(wide["n"]), wide["r"])
     raw = scores.sparkSession.createDataFrame([row], (
         "auc_roc double, auprc double, f1 double, precision double, recall double, "
         "threshold_used double, tp long, fp long, tn long, fn long, val_rows long, "
