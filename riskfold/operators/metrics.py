@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SWEEP_THRESHOLDS
+from ..session import materialize
 from .prefix import running_totals
 
 
@@ -85,7 +86,9 @@ def score_groups(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     down: n, pos, neg and their cumulative forms."""
     g = scores.groupBy(F.col(p).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    g = g.withColumn("neg", F.col("n") - F.col("pos"))
+    # running_totals reads its input three times (bounds, range totals,
+    # window): the per-score table is written once instead of re-aggregated
+    g = materialize(g.withColumn("neg", F.col("n") - F.col("pos")), "score-groups")
     return running_totals(g, "score", ["n", "pos", "neg"], descending=True)
 
 
