@@ -127,3 +127,20 @@ def test_dense_codes_large_group_path(spark):
     for r in got:
         exp = expect_big if r["column"] == "big" else expect_small
         assert r["code"] == exp[r["value"]]
+
+
+def test_time_split_hot_timestamp_beyond_tie_bound(spark):
+    # 15,000 rows; ids 5000..11999 share one timestamp (7,000 rows, beyond the
+    # 4,096-key tie bound), and the train cut (row 10,499) falls inside that
+    # block, so the tie column is resolved by selection, not by a collect.
+    n = 15000
+    df = spark.range(n).select(
+        F.col("id").alias("TransactionID"),
+        F.when(F.col("id") < 5000, F.lit(0))
+        .when(F.col("id") < 12000, F.lit(1))          # 7,000 tied rows (> 4096)
+        .otherwise(F.col("id")).cast("long").alias("TransactionDT"))
+    out = {r["TransactionID"]: r["split"] for r in ops.time_split(df).collect()}
+    # ordered by (t, id) the row order equals the id order here
+    r1, r2 = int(n * 0.70), int(n * 0.85)
+    expect = {i: "train" if i < r1 else "val" if i < r2 else "test" for i in range(n)}
+    assert out == expect
