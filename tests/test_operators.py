@@ -144,3 +144,16 @@ def test_time_split_hot_timestamp_beyond_tie_bound(spark):
     r1, r2 = int(n * 0.70), int(n * 0.85)
     expect = {i: "train" if i < r1 else "val" if i < r2 else "test" for i in range(n)}
     assert out == expect
+
+
+def test_approximate_quantile_option(spark):
+    from riskfold.config import FeatureConfig
+    from riskfold.plans import features_job as fj
+    df = spark.range(20000).select((F.col("id") % 997 / 10.0).alias("TransactionAmt"))
+    exact = fj.decile_edges(df, FeatureConfig())
+    approx = fj.decile_edges(df, FeatureConfig(quantile_accuracy=10000))
+    assert len(exact) == len(approx) == 11
+    # the sketch's rank error (n / accuracy = 2 rows) moves an edge by at
+    # most a couple of 0.1 value steps here
+    for e, a in zip(exact[1:-1], approx[1:-1]):
+        assert abs(e - a) <= 0.5
