@@ -3,7 +3,8 @@
 The whole suite first runs once, untimed, on $BENCH_WARMUP_DIR (default sf0.001)
 in the same session, so the measured run reflects steady-state execution rather
 than JVM class loading and JIT compilation; the warm-up's duration is reported
-as ``warmup_sec``. Each timed step forces its full plan with a no-op write:
+as ``warmup_sec``; ``spark_jobs`` counts the Spark jobs (AQE stages included)
+each step ran. Each timed step forces its full plan with a no-op write:
   build_base          merge, high-NULL drop, dedupe, dtype repair, exact time split,
                       write partitioned by split
   fit_params          every fitted table and scalar on the train split
@@ -27,6 +28,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
+JOBS: dict[str, int] = {}
+
+
 def suite(spark, sf_dir: str) -> tuple[dict, object, int]:
     from riskfold.operators import encode as E
     from riskfold.operators import metrics as M
@@ -39,16 +43,22 @@ def suite(spark, sf_dir: str) -> tuple[dict, object, int]:
 
     fx = fixture(spark, sf_dir)   # the same state the registered queries use
     times: dict[str, float] = {}
+    tracker = spark.sparkContext.statusTracker()
+
+    def n_jobs() -> int:
+        return len(tracker.getJobIdsForGroup())
 
     def run(name, make):
-        t0 = time.time()
+        t0, j0 = time.time(), n_jobs()
         make().write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        JOBS[name] = n_jobs() - j0
 
     run("build_base", lambda: fx.base)
-    t0 = time.time()
+    t0, j0 = time.time(), n_jobs()
     params = fx.params
     times["fit_params"] = round(time.time() - t0, 3)
+    JOBS["fit_params"] = n_jobs() - j0
     run("enriched_features", lambda: fx.enriched)
     run("v1_matrix", lambda: prepare_indexed(fx.base)[0])
     final = E.select_final(fx.enriched, [], RAW)
@@ -80,6 +90,7 @@ def main() -> None:
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")),
                       "rows": n_rows, "cpus": cpus, "warmup_sec": warmup,
                       "warmup_dir": os.path.basename(warm_dir.rstrip("/")),
+                      "spark_jobs": dict(JOBS),
                       "fitted": params.summary()}))
     spark.stop()
 
