@@ -52,8 +52,10 @@ def _bucket(x: Column, iv: Column, intervals: list[tuple], buckets: int) -> Colu
     for i in reversed(range(len(intervals))):
         lo, hi = intervals[i]
         width = (float(hi) - float(lo)) / buckets
-        if width <= 0:
-            b = F.lit(0).cast("long")
+        if not width > 0 or float(lo) + width == float(lo):
+            # a range too narrow for the arithmetic (adjacent or subnormal
+            # doubles): split into {lo} and (lo, hi], which always shrinks it
+            b = (x > F.lit(lo)).cast("long")
         else:
             b = F.least(F.floor((x.cast("double") - F.lit(float(lo))) / F.lit(width)),
                         F.lit(buckets - 1)).cast("long")

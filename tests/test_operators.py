@@ -157,3 +157,14 @@ def test_approximate_quantile_option(spark):
     # most a couple of 0.1 value steps here
     for e, a in zip(exact[1:-1], approx[1:-1]):
         assert abs(e - a) <= 0.5
+
+
+def test_order_statistics_adjacent_doubles(spark):
+    import math
+    a = 1.0
+    b = math.nextafter(a, 2.0)
+    vals = [a] * 3000 + [b] * 3000 + [0.0, 5.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    s = sorted(vals)
+    got = order_statistics(df, "x", [1, 2999, 3001, 6000, 6001], buckets=4, final_rows=16)
+    assert [v for v, _ in got] == [s[r] for r in (1, 2999, 3001, 6000, 6001)]
