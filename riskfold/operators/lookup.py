@@ -64,7 +64,7 @@ def join_lookup(df: DataFrame, lk: Lookup, on: list[str] | None = None,
     """Left-join ``lk`` onto ``df``; adds the statistic columns (raw) and
     ``_hit_<name>``. ``on`` names the probe columns (default: same names)."""
     on = on or lk.keys
-    prefix = f"_{lk.name}_"
+    prefix = _prefix(lk)
     stats = [c for c in lk.df.columns if c not in lk.keys and c != "_hit"]
     right = lk.df.select(*[F.col(k).alias(prefix + k) for k in lk.keys],
                          *[F.col(s).alias(prefix + s) for s in stats],
@@ -84,11 +84,17 @@ def join_lookup(df: DataFrame, lk: Lookup, on: list[str] | None = None,
 def stat_or_default(lk: Lookup, stat: str, default) -> Column:
     """The looked-up statistic on a hit, ``default`` on a miss."""
     d = default if isinstance(default, Column) else F.lit(default)
-    return F.when(F.col(f"_hit_{lk.name}"), F.col(f"_{lk.name}_{stat}")).otherwise(d)
+    return F.when(F.col(f"_hit_{lk.name}"), F.col(_prefix(lk) + stat)).otherwise(d)
+
+
+def _prefix(lk: Lookup) -> str:
+    """Private column prefix of one lookup (the double underscore keeps
+    "card" from matching "card_email")."""
+    return f"_{lk.name}__"
 
 
 def drop_lookup_columns(df: DataFrame, lk: Lookup, keep_hit: bool = False) -> DataFrame:
-    prefix = f"_{lk.name}_"
+    prefix = _prefix(lk)
     drop = [c for c in df.columns if c.startswith(prefix)]
     if not keep_hit:
         drop.append(f"_hit_{lk.name}")
