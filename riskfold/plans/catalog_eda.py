@@ -533,3 +533,24 @@ reg("eda_email_card_degree_describe", lambda s, sf: P.describe(
     _deg_rows(s, sf, "P_emaildomain", "card1", "email_card_degree"), "email_card_degree"),
     ctes(_deg_sql("P_emaildomain", "card1", "email_card_degree"), _sql_describe("v", "dg")),
     _DESC_FLOATS)
+
+
+# ---- J11: per-card statistics merged back onto the rows ---------------------------------
+def _card_deviation(spark, sf):
+    b = _base(spark, sf)
+    stats = (b.where(F.col("card1").isNotNull()).groupBy("card1")
+             .agg(F.avg(AMT).alias("mean_amt"), F.stddev_samp(AMT).alias("std_amt"),
+                  F.count(AMT).alias("txn_count"), F.max(AMT).alias("max_amt"),
+                  F.min(AMT).alias("min_amt")))
+    rows = b.select("TransactionID", "card1", AMT).join(stats, "card1", "left")
+    return rows.withColumn("amt_vs_card_mean", F.col(AMT) - F.col("mean_amt"))
+
+
+reg("card_deviation", _card_deviation, plain(
+    "SELECT b.TransactionID, b.card1, b.TransactionAmt, s.mean_amt, s.std_amt, s.txn_count, "
+    "s.max_amt, s.min_amt, b.TransactionAmt - s.mean_amt AS amt_vs_card_mean FROM base b "
+    "LEFT JOIN (SELECT card1, avg(TransactionAmt) AS mean_amt, stddev_samp(TransactionAmt) AS "
+    "std_amt, count(TransactionAmt) AS txn_count, max(TransactionAmt) AS max_amt, "
+    "min(TransactionAmt) AS min_amt FROM base WHERE card1 IS NOT NULL GROUP BY card1) s "
+    "ON b.card1 = s.card1"),
+    ["TransactionAmt", "mean_amt", "std_amt", "max_amt", "min_amt", "amt_vs_card_mean"])
