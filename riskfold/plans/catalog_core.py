@@ -186,6 +186,21 @@ reg("stream_features", _stream_features,
     with_params("SELECT * FROM enriched"), ENRICHED_FLOATS)
 
 
+def _stream_features_batches(spark, sf):
+    """R1 with a zero broadcast limit: micro-batches applied in foreachBatch
+    with the key-combination plan (the path for tables beyond broadcast)."""
+    from dataclasses import replace
+    from ..streaming.apply_stream import stream_features
+    fxt = fixture(spark, sf)
+    fxt.base
+    out = stream_features(spark, sf, fxt.base_plan, replace(fxt.params, broadcast_limit=0))
+    return out.drop("batch")
+
+
+reg("stream_features_batches", _stream_features_batches,
+    with_params("SELECT * FROM enriched"), ENRICHED_FLOATS)
+
+
 def _unseen(spark, sf):
     from . import features_job as fj
     fxt = fixture(spark, sf)

@@ -31,13 +31,16 @@ def stream_transactions(spark: SparkSession, events: DataFrame) -> DataFrame:
     return spark.sql(fx._render(fx._TXN, "{events}", fx.SPARK_SECONDS), events=events)
 
 
-def enriched_stream(spark: SparkSession, sf_dir: str, base_plan, params) -> DataFrame:
-    """Streaming DataFrame of enriched rows: events -> transactions ->
-    identity (static) -> replayed base decisions -> feature apply."""
+def base_stream(spark: SparkSession, sf_dir: str, base_plan) -> DataFrame:
+    """Streaming base rows: events -> transactions -> identity (static) ->
+    the base build's replayed decisions (dropped columns, dtypes, split)."""
     txn = stream_transactions(spark, stream_events(spark, sf_dir))
-    idt = fx.identity(spark, sf_dir)
-    base = base_plan.replay(txn, idt)
-    return fj.apply(base, params)
+    return base_plan.replay(txn, fx.identity(spark, sf_dir))
+
+
+def enriched_stream(spark: SparkSession, sf_dir: str, base_plan, params) -> DataFrame:
+    """Streaming DataFrame of enriched rows (stream-static joins)."""
+    return fj.apply(base_stream(spark, sf_dir, base_plan), params)
 
 
 def run_to_parquet(stream_df: DataFrame, name: str = "stream") -> str:
@@ -56,11 +59,38 @@ def run_to_parquet(stream_df: DataFrame, name: str = "stream") -> str:
 
 
 def stream_features(spark: SparkSession, sf_dir: str, base_plan, params) -> DataFrame:
-    """The enriched rows produced by the streaming query, read back."""
-    out = run_to_parquet(enriched_stream(spark, sf_dir, base_plan, params), "features")
+    """The enriched rows produced by the streaming query, read back.
+
+    With every fitted table under the broadcast limit the stream applies the
+    features itself (stream-static broadcast joins, file sink). Otherwise
+    each micro-batch is applied as a batch inside ``foreachBatch``, where the
+    key-combination plan is available without streaming state."""
+    probe = base_stream(spark, sf_dir, base_plan)
+    if any(lk.est_bytes > params.broadcast_limit for lk in params.lookups.values()):
+        return spark.read.parquet(run_batches_to_parquet(probe, params, "features-batches"))
+    out = run_to_parquet(fj.apply(probe, params), "features")
     return spark.read.parquet(out)
 
 
+def run_batches_to_parquet(stream_df: DataFrame, params, name: str) -> str:
+    """Apply the features to each micro-batch as a batch DataFrame and write
+    it to ``<sink>/batch=<id>`` with overwrite: a retried batch rewrites its
+    own folder, so the output stays exactly-once. Returns the sink path."""
+    spark = stream_df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    run = f"{root}/riskfold-{name}-{uuid.uuid4().hex[:12]}"
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        fj.apply(batch, params).write.mode("overwrite").parquet(f"{run}/out/batch={batch_id}")
+
+    q = (stream_df.writeStream.foreachBatch(write_batch)
+         .option("checkpointLocation", f"{run}/chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return f"{run}/out"
+
+
 def stream_scores(spark: SparkSession, sf_dir: str, base_plan, params, model,
                   prepare=None) -> DataFrame:
     """R2: R1 + model scoring on the stream -> (id, split, y, p)."""

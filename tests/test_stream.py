@@ -18,3 +18,11 @@ def test_stream_equals_batch(spark):
     stream = stream_features(spark, SMOKE, fx.base_plan, fx.params)
     assert sorted(stream.columns) == sorted(batch.columns)
     assert _rows(stream) == _rows(batch)
+
+
+def test_stream_batches_path_equals_batch(spark):
+    from dataclasses import replace
+    fx = Fixture(spark, SMOKE)
+    batch = fx.enriched
+    stream = stream_features(spark, SMOKE, fx.base_plan, replace(fx.params, broadcast_limit=0))
+    assert _rows(stream.drop("batch")) == _rows(batch)
