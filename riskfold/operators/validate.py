@@ -33,8 +33,8 @@ def _long(per_split: DataFrame, entries: list[tuple], split_col: str) -> DataFra
 def validate_output(df: DataFrame, features=ALL_ENGINEERED_FEATURES, target: str = TARGET,
                     split_col: str = "split", exempt_all_null=()) -> DataFrame:
     """P11 checks: feature presence, row count, target placement, no
-    all-NULL feature, NULL counts, hour in [0, 23], amt_log >= 0,
-    email_fraud_rate in [0, 1]."""
+    all-NULL feature, NULL counts and percentages (reported, never failing),
+    hour in [0, 23], amt_log >= 0, email_fraud_rate in [0, 1]."""
     present = [f for f in features if f in df.columns]
     n = F.count(F.lit(1))
     aggs = [n.alias("_n")]
@@ -57,7 +57,9 @@ def validate_output(df: DataFrame, features=ALL_ENGINEERED_FEATURES, target: str
         if f in present:
             cols[f"_null_{f}"] = F.col("_n") - F.col(f"_nn_{f}")
             cols[f"_ok_{f}"] = (F.col(f"_nn_{f}") > 0) | F.lit(f in exempt_all_null)
+            cols[f"_pct_{f}"] = F.col(f"_null_{f}") * 100.0 / F.col("_n")
             entries.append(("null_count", f, f"_null_{f}", f"_ok_{f}"))
+            entries.append(("null_pct", f, f"_pct_{f}", "_one"))
         else:
             entries.append(("present", f, "_zero", "_zero"))
     for f, (lo, hi) in rng.items():

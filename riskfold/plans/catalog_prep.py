@@ -153,6 +153,8 @@ def _vout_sql() -> str:
     for f in ALL_ENGINEERED_FEATURES:
         parts.append(f"SELECT split, 'null_count', '{f}', CAST(count(*) - count({f}) AS DOUBLE), "
                      f"CAST(count({f}) > 0 AS INTEGER) FROM final GROUP BY split")
+        parts.append(f"SELECT split, 'null_pct', '{f}', (count(*) - count({f})) * 100.0 / count(*), "
+                     f"1 FROM final GROUP BY split")
     for f, lo, hi in (("hour", 0, 23), ("amt_log", 0, None), ("email_fraud_rate", 0, 1)):
         ok = f"coalesce(min({f}) >= {lo}, true)" + (
             f" AND coalesce(max({f}) <= {hi}, true)" if hi is not None else "")
