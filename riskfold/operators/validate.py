@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import ALL_ENGINEERED_FEATURES, REQUIRED_INPUTS, TARGET
 
@@ -75,8 +76,8 @@ def validate_output(df: DataFrame, features=ALL_ENGINEERED_FEATURES, target: str
 
 def validate_ready(df: DataFrame, cats: list[str], numeric: list[str],
                    target: str = TARGET, split_col: str = "split") -> DataFrame:
-    """P12 checks: categoricals have no NULL, target placement, and a NULL
-    report of numeric columns (reported, never failing)."""
+    """P12 checks: categoricals are strings without NULLs, target
+    placement, and a NULL report of numeric columns (never failing)."""
     n = F.count(F.lit(1))
     aggs = [n.alias("_n"),
             (F.count(F.col(target)) if target in df.columns else F.lit(0)).alias("_nn_target")]
@@ -87,7 +88,9 @@ def validate_ready(df: DataFrame, cats: list[str], numeric: list[str],
     entries = [("target_present", target, "_nn_target", "_ok_target")]
     for c in cats:
         cols[f"_ok_{c}"] = F.col(f"_null_{c}") == 0
+        cols[f"_str_{c}"] = F.lit(int(isinstance(df.schema[c].dataType, T.StringType)))
         entries.append(("cat_nulls", c, f"_null_{c}", f"_ok_{c}"))
+        entries.append(("cat_type", c, f"_str_{c}", f"_str_{c}"))
     for c in numeric:
         entries.append(("numeric_nulls", c, f"_null_{c}", "_one"))
     return _long(per.withColumns(cols), entries, split_col)

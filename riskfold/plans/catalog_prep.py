@@ -178,6 +178,7 @@ def _vready_sql() -> str:
     for c in CATS:
         parts.append(f"SELECT split, 'cat_nulls', '{c}', CAST(count(*) - count({c}) AS DOUBLE), "
                      f"CAST(count(*) = count({c}) AS INTEGER) FROM v2 GROUP BY split")
+        parts.append(f"SELECT split, 'cat_type', '{c}', 1.0, 1 FROM v2 GROUP BY split")
     for c in _V2_NUMERIC:
         parts.append(f"SELECT split, 'numeric_nulls', '{c}', CAST(count(*) - count({c}) AS DOUBLE), "
                      "1 FROM v2 GROUP BY split")
