@@ -57,10 +57,11 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    n = df.count()
-    d = df.dropDuplicates().count()
-    spark = df.sparkSession
-    return spark.createDataFrame([(n, n - d)], "n_rows long, n_duplicates long")
+    """Rows and full-row duplicates in one pass: group by every column (NULLs
+    compare equal, map-side combined), then total the group sizes."""
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    return groups.agg(F.sum("_c").cast("long").alias("n_rows"),
+                      (F.sum("_c") - F.count(F.lit(1))).cast("long").alias("n_duplicates"))
 
 
 # ---- P8 -------------------------------------------------------------------------
