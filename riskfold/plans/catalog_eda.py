@@ -554,3 +554,32 @@ reg("card_deviation", _card_deviation, plain(
     "min(TransactionAmt) AS min_amt FROM base WHERE card1 IS NOT NULL GROUP BY card1) s "
     "ON b.card1 = s.card1"),
     ["TransactionAmt", "mean_amt", "std_amt", "max_amt", "min_amt", "amt_vs_card_mean"])
+
+
+# ---- E10 / E11 extra outputs ------------------------------------------------------------
+def _null_gap_counts(spark, sf):
+    gaps = _null_gap(spark, sf)
+    return gaps.agg(F.count(F.when(F.col("diff") > 0.05, 1)).alias("n_diff_over_5pct"),
+                    F.count(F.when(F.col("diff") > 0.10, 1)).alias("n_diff_over_10pct"))
+
+
+reg("eda_null_gap_counts", _null_gap_counts, plain(
+    "SELECT count(*) FILTER (WHERE d > 0.05) AS n_diff_over_5pct, "
+    "count(*) FILTER (WHERE d > 0.10) AS n_diff_over_10pct FROM (" + " UNION ALL ".join(
+        f"SELECT count(*) FILTER (WHERE {c} IS NULL) AS n_null, round(abs("
+        f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE isFraud = 1) - "
+        f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE isFraud = 0)), 3) AS d "
+        "FROM base" for c in _NULLABLE) + ") t WHERE n_null > 0"))
+
+
+def _null_corr_id01(spark, sf):
+    b = _base(spark, sf)
+    cols = [c for c in ("DeviceInfo", "DeviceType", "R_emaildomain") if c in b.columns]
+    return P.null_indicator_corr(b, ["id_01"] + cols).where(
+        (F.col("col_a") != "id_01") & (F.col("col_b") == "id_01"))
+
+
+reg("eda_null_corr_id01", _null_corr_id01, plain(
+    "SELECT 'DeviceInfo' AS col_a, 'id_01' AS col_b, CASE WHEN isnan(r) THEN NULL ELSE r END "
+    "AS corr FROM (SELECT corr(CAST(DeviceInfo IS NULL AS DOUBLE), CAST(id_01 IS NULL AS "
+    "DOUBLE)) AS r FROM base) x"), ["corr"])
