@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import SWEEP_THRESHOLDS
 from ..session import materialize
-from .prefix import running_totals
+from .prefix import running_totals_with_sums
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -81,20 +81,18 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.col("f1").desc(), F.col("threshold").asc()).limit(1)
 
 
-def score_groups(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+def score_groups(scores: DataFrame, y: str = "y", p: str = "p",
+                 with_totals: bool = False):
     """One row per distinct score with running totals from the top score
-    down: n, pos, neg and their cumulative forms."""
+    down: n, pos, neg and their cumulative forms (and, with ``with_totals``,
+    the grand totals, known without another pass)."""
     g = scores.groupBy(F.col(p).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    # running_totals reads its input three times (bounds, range totals,
+    # running totals read their input three times (bounds, range totals,
     # window): the per-score table is written once instead of re-aggregated
     g = materialize(g.withColumn("neg", F.col("n") - F.col("pos")), "score-groups")
-    return running_totals(g, "score", ["n", "pos", "neg"], descending=True)
-
-
-def _totals(scores: DataFrame, y: str = "y") -> DataFrame:
-    return scores.agg(F.sum(F.col(y).cast("long")).alias("P"),
-                      F.sum((1 - F.col(y)).cast("long")).alias("N"))
+    out, sums = running_totals_with_sums(g, "score", ["n", "pos", "neg"], descending=True)
+    return (out, sums) if with_totals else out
 
 
 def auc_roc(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -114,16 +112,11 @@ def average_precision(scores: DataFrame, y: str = "y", p: str = "p") -> DataFram
     return s.select(F.try_divide(F.col("s"), F.col("P")).alias("average_precision"))
 
 
-def _pn(scores: DataFrame, y: str) -> tuple[int, int]:
-    r = _totals(scores, y).first()
-    return int(r["P"] or 0), int(r["N"] or 0)
-
-
 def roc_points(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(threshold, fpr, tpr) per distinct score plus the origin (threshold
     NULL); collinear points are kept."""
-    P, N = _pn(scores, y)
-    g = score_groups(scores, y, p)
+    g, tot = score_groups(scores, y, p, with_totals=True)
+    P, N = tot["pos"], tot["neg"]
     pts = g.select(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("cum_neg").cast("double"), F.lit(float(N))).alias("fpr"),
@@ -136,8 +129,8 @@ def roc_points(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def pr_points(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(threshold, precision, recall) from the top score down to the first
     score reaching full recall, plus the end point (recall 0, precision 1)."""
-    P, _ = _pn(scores, y)
-    g = score_groups(scores, y, p)
+    g, tot = score_groups(scores, y, p, with_totals=True)
+    P = tot["pos"]
     pts = (g.where(F.col("cum_pos") - F.col("pos") < F.lit(P))
            .select(F.col("score").alias("threshold"),
                    (F.col("cum_pos") / F.col("cum_n")).alias("precision"),

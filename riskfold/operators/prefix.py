@@ -20,6 +20,14 @@ def running_totals(df: DataFrame, order_col: str, cols: list[str],
     """Add ``cum_<c>`` = sum of ``c`` over all rows ordered at or before the
     row (inclusive). ``order_col`` must be unique per row (aggregate first).
     """
+    return running_totals_with_sums(df, order_col, cols, descending, buckets, prefix)[0]
+
+
+def running_totals_with_sums(df: DataFrame, order_col: str, cols: list[str],
+                             descending: bool = True, buckets: int | None = None,
+                             prefix: str = "cum_") -> tuple[DataFrame, dict]:
+    """``running_totals`` plus the grand total of each column (the sum of the
+    per-range totals, already on the driver)."""
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     o = F.col(order_col)
@@ -47,6 +55,7 @@ def running_totals(df: DataFrame, order_col: str, cols: list[str],
     w = (Window.partitionBy("_rng").orderBy(o.desc() if descending else o.asc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = ranged.join(F.broadcast(off), "_rng", "left")
-    return out.withColumns({
+    out = out.withColumns({
         f"{prefix}{c}": (F.sum(c).over(w) + F.col(f"_off_{c}")) for c in cols
     }).drop("_rng", *[f"_off_{c}" for c in cols])
+    return out, dict(acc)
