@@ -31,6 +31,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import ship_code
 
-CACHE_WORDS, CACHE_CHARS = 1 << 17, 48
+CACHE_WORDS, CACHE_CHARS, PAIRS = 1 << 19, 48, 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -60,7 +62,6 @@ class Vocabulary:
 
     def __init__(self, path: str) -> None:
         import ahocorasick
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -91,15 +92,15 @@ class Vocabulary:
         self.string: list[str] = [base.get(i, "") for i in range(n)]
         for i in sorted((i for i in range(n) if self.rank[i] >= 0), key=self.rank.__getitem__):
             self.string[i] = self.string[self.left[i]] + self.string[self.right[i]]
-        self.by_string = {s: i for i, s in enumerate(self.string) if s}
+        self.size = [len(s) for s in self.string]
         self.compatible: dict[int, bool] = {}
+        self.by_string = self._whole_tokens()
         # reversed tokens: a match that ends at a place of the reversed word is a
         # token that starts at the mirrored place of the word
         self.automaton = ahocorasick.Automaton()
         for s, i in self.by_string.items():
-            self.automaton.add_word(s[::-1], (len(s), i))
+            self.automaton.add_word(s[::-1], i)
         self.automaton.make_automaton()
-        self.reach: dict[int, bool] = {}
         # next shorter token that is a prefix of a token
         self.shorter = [-1] * n
         for s, i in self.by_string.items():
@@ -114,26 +115,19 @@ class Vocabulary:
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
         tok = Tokenizer.from_file(path)
         self.normalizer, self.cutter = tok.normalizer, tok.pre_tokenizer
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.plain = regex.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-įĲ-ž]*")
-        self.cut_special = (regex.compile("|".join(regex.escape(k) for k in sorted(self.special, key=len, reverse=True)))
+        # plain texts: ASCII and Latin letters whose composition and case need no rules;
+        # the file's word pattern over their lower case, with its classes spelt out
+        self.plain = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-įĲ-ž]*")
+        self.pattern = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\t-\r\x20a-zß-öø-ž0-9]+")
+        self.cut_special = (re.compile("|".join(re.escape(k) for k in sorted(self.special, key=len, reverse=True)))
                             if self.special else None)
         self.cache: dict[str, bytes] = {}
         self.back = {ord(s): i for i, s in enumerate(symbols)}
 
     # ------------------------------------------------ pair compatibility
 
-    def fits(self, a: int, b: int) -> bool:
+    def fits(self, a: int, b: int, top: bool = True) -> bool:
         """Whether the tokens' concatenation is merged into just these two."""
-        key = a << 32 | b
-        known = self.compatible.get(key)
-        if known is None:
-            known = self.compatible[key] = self._fits(a, b)
-            if len(self.compatible) > 1 << 21:
-                self.compatible.clear()
-        return known
-
-    def _fits(self, a: int, b: int, top: bool = True) -> bool:
         # Follow the border back in time: whichever side was merged last is
         # undone first. A merge across the border happens if it comes before the
         # merge that takes the border part into more; on equal rank the leftmost
@@ -153,62 +147,71 @@ class Vocabulary:
             else:
                 b, b_taken = self.left[b], rank[b]
 
+    def _whole_tokens(self) -> dict[str, int]:
+        """Tokens that the merges of their own symbols give, by string; no other
+        one can stand in an encoding."""
+        whole = [r < 0 for r in self.rank]
+        for i in sorted((i for i, r in enumerate(self.rank) if r >= 0), key=self.rank.__getitem__):
+            a, b = self.left[i], self.right[i]
+            whole[i] = whole[a] and whole[b] and self.fits(a, b, top=False)
+        return {s: i for i, s in enumerate(self.string) if s and whole[i]}
+
     # ------------------------------------------------ encoder
 
     def encode_symbols(self, word: str) -> list[int]:
         """Token ids of a word given as a string of symbols."""
+        token = self.by_string.get(word)
+        if token is not None:
+            return [token]
         n = len(word)
         longest = [-1] * n
-        size = [0] * n
-        for end, (length, token) in self.automaton.iter(word[::-1]):
+        last = n
+        for end, token in self.automaton.iter(word[::-1]):
             at = n - 1 - end
-            if length > size[at]:
-                size[at], longest[at] = length, token
-        string, shorter, fits = self.string, self.shorter, self.fits
+            if at != last:                     # the longest match of an end comes first
+                longest[at] = token
+                last = at
+        size, shorter, compatible = self.size, self.shorter, self.compatible
         out: list[int] = []
         dead = bytearray(n + 1)
         at, token = 0, longest[0]
         while at < n:
-            end = at + len(string[token])
-            if not dead[end] and self.whole(token) and (not out or fits(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < n else -1
-                continue
+            end = at + size[token]
+            if not dead[end]:
+                if out:
+                    key = out[-1] << 32 | token
+                    ok = compatible.get(key)
+                    if ok is None:
+                        ok = compatible[key] = self.fits(out[-1], token)
+                        if len(compatible) > PAIRS:
+                            compatible.clear()
+                else:
+                    ok = True
+                if ok:
+                    out.append(token)
+                    at = end
+                    token = longest[at] if at < n else -1
+                    continue
             token = shorter[token]
             while token < 0:                   # no token goes on from here: take back the last one
                 dead[at] = 1
                 last = out.pop()
-                at -= len(string[last])
+                at -= size[last]
                 token = shorter[last]
         return out
 
-    def whole(self, token: int) -> bool:
-        """Whether merging the token's own symbols gives the token."""
-        ok = self.reach.get(token)
-        if ok is None:
-            ok = self.rank[token] < 0 or (self.whole(self.left[token]) and self.whole(self.right[token])
-                                          and self._fits(self.left[token], self.right[token], top=False))
-            self.reach[token] = ok
-        return ok
-
     # ------------------------------------------------ texts
 
-    def word_ids(self, word: str) -> bytes:
-        """Little-endian ids of one word of normalised text."""
-        raw = word.encode()
-        return self._bytes_ids(raw)
-
     def _bytes_ids(self, raw: bytes) -> bytes:
         s = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
-        return np.array(self.encode_symbols(s), "<u4").tobytes()
+        return array("I", self.encode_symbols(s)).tobytes()
 
     def _plain_piece(self, piece: str) -> bytes:
         cache, out = self.cache, []
         for w in self.pattern.findall(piece.lower()):
             ids = cache.get(w)
             if ids is None:
-                ids = self.word_ids(w)
+                ids = self._bytes_ids(w.encode())
                 if len(w) <= CACHE_CHARS:
                     if len(cache) >= CACHE_WORDS:
                         cache.clear()
