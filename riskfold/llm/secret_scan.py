@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialize, text_of
 
 SCOPE = 200
 VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -74,7 +74,7 @@ def linked_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                              .otherwise(F.col("kind")))
     secret, ident = F.col("kind").isin("assign", "short"), F.col("kind").isin("access", "account")
     role = F.when(secret, "secret").when(ident, "id").otherwise("other")
-    found = found.withColumns({"role": role, "bin": F.floor(F.col("start") / scope)})
+    found = materialize(found.withColumns({"role": role, "bin": F.floor(F.col("start") / scope)}), "op2-parts")
     # complementary parts: first and last start by text, bin and role
     bins = (found.filter("role <> 'other'").groupBy("doc_id", "digest", "bin")
             .agg(*[agg(F.when(F.col("role") == r, F.col("start"))).alias(f"{r}_{name}")
