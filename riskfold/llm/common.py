@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+import gc
 import math
-import operator
 import os
 import pathlib
 import tempfile
+import time
 import zipfile
 
 import numpy as np
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-__all__ = ["materialize", "table", "words_re", "drop_tables", "Scratch",
-           "text_chunks", "word_table", "mix64", "partitions_for"]
-
 #: A word: a run of anything but blank, tab, newline, vertical tab, form feed, return.
 words_re = r"[^\x20\x09-\x0D]+"
 
@@ -69,9 +67,13 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions_for(spark: SparkSession, n_bytes: float, each: float = 32e6) -> int:
-    """Tasks for ``n_bytes`` of work, at least the session's shuffle setting."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / each))
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written: it
+    does so once the driver has collected their plans as garbage."""
+    for _ in range(2):        # the driver's Python lets go of plans first, then the JVM
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 # ---------------------------------------------------------------- byte work
@@ -164,10 +166,6 @@ def word_table(data: np.ndarray, off: np.ndarray, lower: bool = True):
     return starts, ends, rows, h
 
 
-def all_of(conds):
-    return functools.reduce(operator.and_, conds)
-
-
 def long_of(u: np.ndarray) -> np.ndarray:
     return u.view(np.int64)
 

@@ -32,49 +32,53 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, mix64, ship_code, text_chunks, text_of
+from .common import Scratch, materialize, mix64, ship_code, text_chunks, text_of, tidy
 
 LENGTH = 50
 #: A difference cover of 31: every residue is a difference of two of its values.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 SAMPLE_LENGTH = LENGTH - PERIOD + 1
 SAMPLE_BITS = 10
-CHUNK_BYTES = 16 << 20
-BUCKET_KEYS = 2 << 20
+CHUNK_BYTES = 8 << 20
+BUCKET_KEYS = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
 
 
-def string_keys(data: np.ndarray, length: int, block: int = 1 << 20):
-    """(first position, hashes of the ``length`` bytes at each position) in
-    blocks; hashes of power-of-two lengths are built by doubling."""
-    n = len(data) - length + 1
-    for a in range(0, max(n, 0), block):
-        b = min(n, a + block)
-        part = _TABLE[data[a:b + length - 1]]
-        have, size, out, done = part, 1, None, 0
+def string_keys(data: np.ndarray, where: np.ndarray, length: int, block: int = 1 << 19) -> np.ndarray:
+    """Hashes of the ``length`` bytes at the sorted positions ``where``: blocks
+    of the bytes are hashed at power-of-two lengths by doubling."""
+    out = np.zeros(len(where), np.uint64)
+    for a in range(0, max(len(data) - length + 1, 0), block):
+        lo, hi = np.searchsorted(where, (a, a + block))
+        if lo == hi:
+            continue
+        at = where[lo:hi] - a
+        have, size, done, key = _TABLE[data[a:a + block + length - 1]], 1, 0, None
         rest = length
         while rest:
             if rest & 1:
-                tail = have[done:done + b - a]
-                out = tail.copy() if out is None else out * np.uint64(pow(_BASE, size, 1 << 64)) + tail
+                tail = have[at + done]
+                key = tail if key is None else key * np.uint64(pow(_BASE, size, 1 << 64)) + tail
                 done += size
             rest >>= 1
             if rest:
-                have = have[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + have[size:]
+                low = have[:-size] * np.uint64(pow(_BASE, size, 1 << 64))
+                low += have[size:]
+                have = low
                 size *= 2
-        yield a, mix64(out)
+        out[lo:hi] = mix64(key)
+    return out
 
 
 def pack_run(keys: np.ndarray) -> bytes:
@@ -102,14 +106,6 @@ def unpack_run(data: bytes) -> np.ndarray:
     return np.cumsum(keys, dtype=np.uint64)
 
 
-def _bounds(off: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Whether ``length`` bytes from each position stay inside its text."""
-    ok = np.ones(max(n - length + 1, 0), bool)
-    for e in off[1:-1]:
-        ok[max(0, e - length + 1):e] = False
-    return ok
-
-
 def sample_positions(off: np.ndarray) -> np.ndarray:
     """Cover positions whose sampled string fits into the text."""
     out = []
@@ -125,68 +121,76 @@ def sample_positions(off: np.ndarray) -> np.ndarray:
 def sample_keys(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and ``bits``-bit keys of the cover samples of texts."""
     pos = sample_positions(off)
-    keys = np.zeros(len(pos), np.uint64)
-    for a, h in string_keys(data, SAMPLE_LENGTH):
-        lo, hi = np.searchsorted(pos, (a, a + len(h)))
-        keys[lo:hi] = h[pos[lo:hi] - a] >> np.uint64(64 - bits)
-    return pos, keys
+    return pos, string_keys(data, pos, SAMPLE_LENGTH) >> np.uint64(64 - bits)
 
 
-def shared_inside(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The sorted distinct keys that two different owners have."""
-    order = np.argsort(keys, kind="stable")
-    k, o = keys[order], owner[order]
-    two = (k[1:] == k[:-1]) & (o[1:] != o[:-1])
-    return np.unique(k[1:][two])
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new]
 
 
-def is_in(keys: np.ndarray, run: np.ndarray) -> np.ndarray:
-    if not len(run):
-        return np.zeros(len(keys), bool)
-    at = np.searchsorted(run, keys)
-    at[at == len(run)] = 0
-    return run[at] == keys
+def marked(ordered: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Which of the ordered keys are in the sorted distinct run."""
+    step = np.zeros(len(ordered) + 1, np.int32)
+    np.add.at(step, np.searchsorted(ordered, run, "left"), 1)
+    np.add.at(step, np.searchsorted(ordered, run, "right"), -1)
+    return np.cumsum(step)[:-1] > 0
 
 
 class Chunk:
     """One chunk: its texts in order of their ids, without later copies."""
 
     def __init__(self, row: dict) -> None:
-        lens = np.array(row["lens"], np.int64)
+        lens, ranks = np.array(row["lens"], np.int64), np.array(row["ranks"], np.int64)
         raw = pa.decompress(row["blob"], int(lens.sum()), "zstd", asbytes=True) if lens.sum() else b""
         data = np.frombuffer(raw, np.uint8)
-        ranks = np.array(row["ranks"], np.int64)
         off = np.concatenate([[0], np.cumsum(lens)])
-        first = np.zeros(len(lens), bool)
-        first[np.array(row["firsts"] or [], np.int64)] = True
-        self.index = np.flatnonzero(first)
-        self.data = np.concatenate([data[off[i]:off[i + 1]] for i in self.index]) if len(self.index) else data[:0]
-        self.off = np.concatenate([[0], np.cumsum(lens[first])])
-        self.rank = ranks[first]
-
-    def owner(self, pos: np.ndarray) -> np.ndarray:
-        """The id's rank of the text at each position."""
-        return self.rank[np.searchsorted(self.off, pos, "right") - 1]
-
-    def candidates(self, shared: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and keys of the suffixes with a shared sample in reach."""
+        self.place = np.sort(np.array(row["firsts"], np.int64))
+        self.data = np.concatenate([data[off[i]:off[i + 1]] for i in self.place]) if len(self.place) else data[:0]
+        self.off = np.concatenate([[0], np.cumsum(lens[self.place])])
+        self.rank = ranks[self.place]
+
+    def text_at(self, pos: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.off, pos, "right") - 1
+
+    def regions(self, shared: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last+1 starts of the runs of suffixes with a shared sample
+        in reach, by position."""
         pos, keys = sample_keys(self.data, self.off, bits)
-        inside = shared_inside(keys, self.owner(pos))
-        hit = pos[is_in(keys, shared) | is_in(keys, inside)]
+        order = np.argsort(keys)
+        k, o = keys[order], self.rank[self.text_at(pos)][order]
+        two = (k[1:] == k[:-1]) & (o[1:] != o[:-1])      # two ids in the chunk itself have it
+        hit = pos[order[marked(k, np.union1d(shared, k[1:][two]))]]
         n = len(self.data)
         if n < LENGTH or not len(hit):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        # position i is a candidate if a hit lies in i .. i + PERIOD - 1
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         seen = np.zeros(n + 1, np.int32)
         seen[hit + 1] = 1
         seen = np.cumsum(seen, dtype=np.int32)
-        open_ = seen[PERIOD:PERIOD + n - LENGTH + 1] > seen[:n - LENGTH + 1]
-        where = np.flatnonzero(open_ & _bounds(self.off, n, LENGTH))
-        out = np.zeros(len(where), np.uint64)
-        for a, h in string_keys(self.data, LENGTH):
-            lo, hi = np.searchsorted(where, (a, a + len(h)))
-            out[lo:hi] = h[where[lo:hi] - a]
-        return where, out
+        is_open = seen[PERIOD:PERIOD + n - LENGTH + 1] > seen[:n - LENGTH + 1]
+        for e in self.off[1:-1]:                         # a suffix of 50 bytes stays inside its text
+            is_open[max(0, e - LENGTH + 1):e] = False
+        edge = np.diff(is_open.astype(np.int8), prepend=0, append=0)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # a run that touches the next text's first suffix can't exist: the gap is 49 positions
+        return first, last
+
+
+class Regions:
+    """The parts of a chunk whose suffixes are sorted."""
+
+    def __init__(self, row: dict) -> None:
+        self.place, self.start, self.size, self.rank = (np.array(row[k], np.int64) for k in
+                                                        ("places", "starts", "sizes", "owners"))
+        n = int((self.size + LENGTH - 1).sum())
+        self.data = np.frombuffer(pa.decompress(row["blob"], n, "zstd", asbytes=True) if n else b"", np.uint8)
+        ends = np.cumsum(self.size)
+        self.region = np.repeat(np.arange(len(self.size)), self.size)
+        self.inner = np.arange(len(self.region)) - np.repeat(ends - self.size, self.size)
+        at = np.concatenate([[0], np.cumsum(self.size + LENGTH - 1)])[:-1]
+        self.keys = string_keys(self.data, at[self.region] + self.inner, LENGTH)
 
 
 def _rows(batch: pa.RecordBatch):
@@ -202,17 +206,17 @@ def _split(keys: np.ndarray, bits: int, bucket_bits: int):
         yield int(b), pack_run(keys[cuts[b]:cuts[b + 1]])
 
 
-def _pieces(chunks: DataFrame, keys_of, bits: int, bucket_bits: int) -> DataFrame:
+def _pieces(rows: DataFrame, keys_of, bits: int, bucket_bits: int) -> DataFrame:
     """(bucket, chunk, run): each chunk's distinct keys as sorted runs."""
     def run(batches):
         for b in batches:
             for row in _rows(b):
-                rows = list(_split(np.unique(keys_of(Chunk(row), row)), bits, bucket_bits))
-                yield pa.record_batch([pa.array([x[0] for x in rows], pa.int64()),
-                                       pa.array([row["chunk"]] * len(rows), pa.int64()),
-                                       pa.array([x[1] for x in rows], pa.binary())], names=["bucket", "chunk", "run"])
+                runs = list(_split(distinct(keys_of(row)), bits, bucket_bits))
+                yield pa.record_batch([pa.array([x[0] for x in runs], pa.int64()),
+                                       pa.array([row["chunk"]] * len(runs), pa.int64()),
+                                       pa.array([x[1] for x in runs], pa.binary())], names=["bucket", "chunk", "run"])
 
-    return chunks.mapInArrow(run, "bucket long, chunk long, run binary")
+    return rows.mapInArrow(run, "bucket long, chunk long, run binary")
 
 
 def _merged(pieces: DataFrame, earlier: bool) -> DataFrame:
@@ -282,12 +286,6 @@ def pack_chunks(rows: DataFrame, n_chunks: int) -> DataFrame:
         run, "chunk long, ids array<long>, ranks array<long>, lens array<long>, digests array<string>, blob binary")
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with ``texts`` the
@@ -302,65 +300,93 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bucket_bits = max(4, math.ceil(math.log2(max(1, n_samples / BUCKET_KEYS))))
     scratch = Scratch()
     table = materialize(pack_chunks(rows, n_chunks), "op3-chunks")
-    _tidy(spark)
+    tidy(spark)
 
     # the first of equal texts, by id: the others go as a whole
-    each = table.select("chunk", F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "d"))
-    firsts = (each.groupBy("d.digests").agg(F.min(F.struct("chunk", "place")).alias("f"))
-              .groupBy("f.chunk").agg(F.collect_list("f.place").alias("firsts")))
-    firsts = scratch.keep(firsts, "op3-firsts")
+    each = table.select("chunk", F.posexplode(F.arrays_zip("ids", "digests", "lens")).alias("place", "d"))
+    each = each.select("chunk", "place", F.col("d.ids").alias("doc_id"), F.col("d.digests").alias("digest"),
+                       F.col("d.lens").alias("n_bytes"))
+    firsts = scratch.keep(each.groupBy("digest").agg(F.min(F.struct("chunk", "place")).alias("f"))
+                          .groupBy("f.chunk").agg(F.collect_list("f.place").alias("firsts")), "op3-firsts")
     base = table.select("chunk", "ranks", "lens", "blob").join(firsts, "chunk")
 
-    def cover(c: Chunk, row: dict) -> np.ndarray:
+    def cover(row: dict) -> np.ndarray:
+        c = Chunk(row)
         return sample_keys(c.data, c.off, bits)[1]
 
-    shared = scratch.keep(_merged(_pieces(base, cover, bits, bucket_bits), earlier=False), "op3-ranks")
-    _tidy(spark)
-    base = base.join(_collected(shared, "shared"), "chunk", "left")
-
-    def suffixes(c: Chunk, row: dict) -> np.ndarray:
-        return c.candidates(_runs(row["shared"]), bits)[1]
+    before_regions = Scratch()
+    ranks = before_regions.keep(_merged(_pieces(base, cover, bits, bucket_bits), earlier=False), "op3-ranks")
+    tidy(spark)
 
-    before = scratch.keep(_merged(_pieces(base, suffixes, 64, bucket_bits), earlier=True), "op3-earlier")
-    _tidy(spark)
-    base = base.join(_collected(before, "before"), "chunk", "left")
+    def mark(batches):
+        for b in batches:
+            for row in _rows(b):
+                c = Chunk(row)
+                first, last = c.regions(_runs(row["shared"]), bits)
+                t = c.text_at(first)
+                text = b"".join(c.data[x:y + LENGTH - 1].tobytes() for x, y in zip(first, last))
+                yield pa.record_batch(
+                    [pa.array([row["chunk"]], pa.int64()),
+                     *[pa.array([v], pa.list_(pa.int64())) for v in (c.place[t], first - c.off[t], last - first, c.rank[t])],
+                     pa.array([pa.compress(text, "zstd", asbytes=True)], pa.binary())],
+                    names=["chunk", "places", "starts", "sizes", "owners", "blob"])
+
+    regions = scratch.keep(base.join(_collected(ranks, "shared"), "chunk", "left").mapInArrow(
+        mark, "chunk long, places array<long>, starts array<long>, sizes array<long>, owners array<long>, blob binary"),
+        "op3-regions")
+    before_regions.free(spark)
+    tidy(spark)
+    earlier = scratch.keep(_merged(_pieces(regions, lambda row: Regions(row).keys, 64, bucket_bits), earlier=True),
+                           "op3-earlier")
+    tidy(spark)
 
     def settle(batches):
         for b in batches:
             for row in _rows(b):
-                c = Chunk(row)
-                pos, keys = c.candidates(_runs(row["shared"]), bits)
-                owner = c.owner(pos) if len(pos) else pos
-                gone = is_in(keys, _runs(row["before"]))
-                # inside the chunk: a key whose smallest owner is smaller
-                order = np.lexsort((owner, keys))
-                k, o = keys[order], owner[order]
+                g = Regions(row)
+                order = np.argsort(g.keys)
+                k, o = g.keys[order], g.rank[g.region][order]
+                gone = marked(k, _runs(row["before"]))
                 new = np.ones(len(k), bool)
                 new[1:] = k[1:] != k[:-1]
-                low = o[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else o
-                gone[order] |= o > low
-                edge = np.zeros(len(c.data) + 1, np.int32)
-                edge[pos[gone]] += 1
-                edge[pos[gone] + LENGTH] -= 1
-                cut = np.cumsum(edge, dtype=np.int32)[:-1] > 0
+                if len(k):                               # inside the chunk: a smaller id has it
+                    low = np.minimum.reduceat(o, np.flatnonzero(new))
+                    gone |= o > low[np.cumsum(new) - 1]
+                hit = np.sort(order[gone])               # regions follow places and starts
+                place, at = g.place[g.region[hit]], (g.start[g.region] + g.inner)[hit]
+                cut = np.ones(len(hit), bool)
+                cut[1:] = (place[1:] != place[:-1]) | (at[1:] > at[:-1] + LENGTH)
+                first = np.flatnonzero(cut)
+                last = np.append(first[1:], len(hit)) - 1 if len(first) else first
+                yield pa.record_batch([pa.array([row["chunk"]], pa.int64()),
+                                       *[pa.array([v], pa.list_(pa.int64())) for v in
+                                         (place[first], at[first], at[last] + LENGTH)]],
+                                      names=["chunk", "places", "froms", "tos"])
+
+    cuts = scratch.keep(regions.join(_collected(earlier, "before"), "chunk", "left").mapInArrow(
+        settle, "chunk long, places array<long>, froms array<long>, tos array<long>"), "op3-cuts")
+
+    def keep(batches):
+        for b in batches:
+            for row in _rows(b):
+                lens = np.array(row["lens"], np.int64)
+                off = np.concatenate([[0], np.cumsum(lens)])
+                raw = pa.decompress(row["blob"], int(off[-1]), "zstd", asbytes=True) if off[-1] else b""
+                place, x, y = (np.array(row[c], np.int64) for c in ("places", "froms", "tos"))
                 out = []
-                for i, a, e in zip(c.index, c.off[:-1], c.off[1:]):
-                    x = cut[a:e]
-                    n = int(x.sum())
-                    if n or texts:
-                        starts = int(x[0]) + int((x[1:] & ~x[:-1]).sum()) if len(x) else 0
-                        kept = c.data[a:e][~x].tobytes()
-                        out.append((row["chunk"], int(i), n, starts, hashlib.sha256(kept).hexdigest(),
-                                    kept if texts else None))
+                for i in np.unique(place) if not texts else np.arange(len(lens)):
+                    lo, hi = np.searchsorted(place, (i, i + 1))
+                    at = np.concatenate([[0], y[lo:hi]])
+                    to = np.append(x[lo:hi], lens[i])
+                    kept = b"".join(raw[off[i] + p:off[i] + q] for p, q in zip(at, to))
+                    out.append((row["chunk"], int(i), int((y[lo:hi] - x[lo:hi]).sum()), int(hi - lo),
+                                hashlib.sha256(kept).hexdigest(), kept if texts else None))
                 yield pa.record_batch([pa.array([r[j] for r in out], t) for j, t in enumerate(
                     (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
                     names=["chunk", "place", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    settled = materialize(base.mapInArrow(settle, "chunk long, place int, n_removed long, n_spans long, "
-                                                  "kept_sha256 string, kept binary"), "op3-settled")
-    each = table.select("chunk", F.posexplode(F.arrays_zip("ids", "digests", "lens")).alias("place", "d"))
-    each = each.select("chunk", "place", F.col("d.ids").alias("doc_id"), F.col("d.digests").alias("digest"),
-                       F.col("d.lens").alias("n_bytes"))
+    settled = table.select("chunk", "lens", "blob").join(cuts, "chunk").mapInArrow(
+        keep, "chunk long, place int, n_removed long, n_spans long, kept_sha256 string, kept binary")
     first = (each.join(firsts.select("chunk", F.explode("firsts").alias("place")), ["chunk", "place"])
              .join(settled, ["chunk", "place"], "left")
              .select(F.col("digest").alias("f_digest"), F.col("doc_id").alias("f_id"),
@@ -369,7 +395,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                      F.coalesce("kept_sha256", "digest").alias("k"), F.col("kept").alias("kept_bytes")))
     first = materialize(first, "op3-results")
     scratch.free(spark)
-    _tidy(spark)
+    tidy(spark)
     # a later copy of a whole text goes as a whole, if it holds 50 bytes
     copy = ~F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("n_bytes") >= LENGTH)
     out = each.join(first, F.col("digest") == F.col("f_digest"))
