@@ -10,11 +10,13 @@
    rarest values, as many as it takes to meet every such partner. Values that a
    large part of the corpus shares are entered only where a class has hardly
    any others.
-3. Candidates of a list: first every member against one pivot of the list
-   (linear in the list's length), in a few rounds with other pivots; links found
-   are closed to components at once. Then all members of a list that are still
-   in different components meet, so no link is lost, and a group of thousands
-   of near copies, which one pivot has joined, gives no pairs at all.
+3. Candidates of a list: first every member against two pivots, one of them the most central, of the
+   list (linear in the list's length); the links found are closed to components.
+   Then the members of a list that are still in different components meet, so
+   no link is lost, and a group of thousands of near copies, which a pivot has
+   joined, gives no further pairs. Members of lists longer than ``LONG_LIST``
+   that are apart are first listed anew by their full sets, where the bounds on
+   what two sets can share are exact and leave few to compare.
 4. The sketch of the union filters candidates; the full sets confirm them.
 5. Connected components by minimum labels.
 
@@ -35,14 +37,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, long_of, materialize, mix64, ship_code, text_chunks, word_table
+from .common import Scratch, long_of, materialize, mix64, ship_code, text_chunks, tidy, word_table
 from .components import components
 
-K = 128
+K = 64
 #: Chance that the union sketch of a linked pair holds fewer shared values than the floor.
 MISS = 1e-8
 SIMILARITY = 80      # percent
-PIVOT_ROUNDS = 2
+#: Keys that may be broadcast: about 10 MB, the size to which Spark broadcasts by itself.
+SHORT_LIST = 200_000
+#: Lists up to this length compare what is apart by sketches; the members of
+#: longer ones are listed anew by their full sets.
+LONG_LIST = 64
+#: A sketch length that retains sets whole.
+WHOLE = 1 << 30
+#: 64-bit words of a full set's bitmap.
+BIT_WORDS = 16
 
 
 @functools.lru_cache(16)
@@ -127,25 +137,95 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, members array<long>")
 
 
+def _with_bitmap(sets: DataFrame) -> DataFrame:
+    """node, n, sketch (the full set) and its bitmap, for ``posting_lists``."""
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            size = np.diff(lists.offsets.to_numpy())
+            rows = np.repeat(np.arange(len(size)), size)
+            bits = np.zeros((len(size), BIT_WORDS), np.uint64)
+            np.bitwise_or.at(bits, (rows, (flat >> np.uint64(6)) % np.uint64(BIT_WORDS)),
+                             np.uint64(1) << (flat & np.uint64(63)))
+            yield pa.record_batch([b.column(0), pa.array(size.astype(np.int64)), lists,
+                                   *[pa.array(long_of(np.ascontiguousarray(bits[:, w]))) for w in range(BIT_WORDS)]],
+                                  names=["node", "n", "sketch", *[f"bits{w}" for w in range(BIT_WORDS)]])
+
+    words = ", ".join(f"bits{w} long" for w in range(BIT_WORDS))
+    return sets.select("node", "members").mapInArrow(run, f"node long, n long, sketch array<long>, {words}")
+
+
 def posting_lists(classes: DataFrame, k: int) -> DataFrame:
-    """(value, node, n): the lists that each class enters, of two members or more."""
-    values = classes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    """(value, node, n, free, central): the lists that each class enters.
+    ``free`` counts the retained values that another class retains too;
+    ``central`` says how often the corpus has them, so that of a group of near
+    copies the one with the fewest changes of its own has most."""
+    values = classes.select("node", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    least = F.when(F.col("n") * SIMILARITY <= k * SIMILARITY * SIMILARITY / 100,
-                   F.ceil(F.col("n") * SIMILARITY / 100)).otherwise(F.lit(overlap_floor(k)))
+    least = F.ceil(F.col("n") * SIMILARITY / 100)
+    if k < WHOLE:
+        least = F.when(F.col("n") * SIMILARITY <= k * SIMILARITY * SIMILARITY / 100, least).otherwise(F.lit(overlap_floor(k)))
+    sizes = classes.select("node", "n", *[c for c in classes.columns if c.startswith("bits")])
     # values that no other class retains come first in rarity and need no list
-    rare = (values.join(shared, "value").groupBy("node", "n", "m")
+    return (values.join(shared, "value").groupBy("node")
             .agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("by_rarity"))
-            .withColumn("places", (F.col("m") - least + 1 - (F.col("m") - F.size("by_rarity"))).cast("int"))
+            .join(sizes, "node").withColumn("free", F.size("by_rarity"))
+            .withColumn("places", (F.col("free") - least + 1).cast("int"))
             .filter("places > 0")
-            .select("node", "n", F.explode(F.slice("by_rarity", F.lit(1), F.col("places"))).alias("e"))
-            .select(F.col("e.value").alias("value"), "node", "n"))
-    return rare
-
-
-def _alike(a: str, b: str):
-    """Sizes of sets that can be linked."""
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * SIMILARITY)
+            .withColumn("central", F.aggregate("by_rarity", F.lit(0).cast("long"), lambda a, x: a + x.c))
+            .select("*", F.posexplode(F.slice("by_rarity", F.lit(1), F.col("places"))).alias("at", "e"))
+            .select(F.col("e.value").alias("value"), "node", "n", "free", "central",
+                    *([F.transform(F.slice("by_rarity", F.lit(1), F.col("at")), lambda x: x.value).alias("before"),
+                       *[c for c in classes.columns if c.startswith("bits")]] if k >= WHOLE else [])))
+
+
+def _alike(a: str, b: str, k: int):
+    """Sizes of sets that can be linked; of sets retained whole also by what
+    they share with any other and by their bitmaps."""
+    size = lambda x, c: F.col(f"{x}.{c}")
+    ok = F.least(size(a, "n"), size(b, "n")) * 100 >= F.greatest(size(a, "n"), size(b, "n")) * SIMILARITY
+    if k >= WHOLE:
+        total = size(a, "n") + size(b, "n")
+        ok &= F.least(size(a, "free"), size(b, "free")) * (100 + SIMILARITY) >= total * SIMILARITY
+        # bits that differ stand for values of which one set has none
+        apart = sum((F.bit_count(size(a, f"bits{w}").bitwiseXOR(size(b, f"bits{w}"))) for w in range(BIT_WORDS)), F.lit(0))
+        ok &= apart * (100 + SIMILARITY) <= total * (100 - SIMILARITY)
+        # a pair meets in the first list that both enter
+        ok &= ~F.arrays_overlap(size(a, "before"), size(b, "before"))
+    return ok
+
+
+def _member(k: int):
+    """What a list's row tells of a class."""
+    return ["node", "n", "free", *(["before", *[f"bits{w}" for w in range(BIT_WORDS)]] if k >= WHOLE else [])]
+
+
+def pivot_pairs(lists: DataFrame, k: int) -> DataFrame:
+    """Every member against its list's pivots: the most central one and any other."""
+    me = F.struct(*_member(k))
+    pivot = lists.groupBy("value").agg(F.max_by(me, F.struct("central", "node")).alias("p0"),
+                                       F.min_by(me, F.xxhash64("node")).alias("p1"))
+    pivot = pivot.select("value", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p"))
+    return (lists.select("value", me.alias("x")).join(pivot, "value")
+            .filter((F.col("x.node") != F.col("p.node")) & _alike("x", "p", k))
+            .select(F.col("p.node").alias("a"), F.col("x.node").alias("b")).distinct())
+
+
+def apart(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """The lists whose members are in several components, with their length."""
+    member = lists.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = (member.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("length"))
+             .filter("lo <> hi").select("value", "length"))
+    return member.join(mixed, "value")
+
+
+def cross_pairs(member: DataFrame, k: int) -> DataFrame:
+    """Members of a list that are in different components."""
+    me = F.struct(*_member(k), "comp")
+    return (member.select("value", me.alias("x")).join(member.select("value", me.alias("y")), "value")
+            .filter((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y", k))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
 
 def _filtered(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -172,6 +252,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b"))
 
 
+def _sets_of(rows: DataFrame, reps: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """node, members of the classes that ``reps`` (id and text key) stand for.
+    The texts move to the list of wanted ones, unless that is counted to be
+    short: up to ``SHORT_LIST`` rows are broadcast instead."""
+    key = lambda i, t: F.concat_ws("|", i.cast("string"), t.cast("string"))
+    wanted = scratch.keep(reps.select(key(F.col("rep.doc_id"), F.col("rep.text_key")).alias("key")).distinct(), "op5-wanted")
+    texts = rows.select(key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text")
+    if wanted.count() <= SHORT_LIST:
+        texts = texts.join(F.broadcast(wanted), "key", "left_semi")
+    else:
+        texts = texts.join(wanted, "key", "left_semi")
+    return full_sets(texts.dropDuplicates(["key"]), width)
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", text_col: str = "text",
                     k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key (a hash of the text);
@@ -182,49 +276,58 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     scratch = Scratch()
     t1 = materialize(sketches(rows, width, k), "op5-sketches")
     classes = scratch.keep(t1.filter("n > 0").groupBy("node")
-                           .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
-                                F.first("sketch").alias("sketch")), "op5-classes")
+                           .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"),
+                                F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")), "op5-classes")
     lists = scratch.keep(posting_lists(classes, k), "op5-lists")
-    # members of lists with company, with the row that stands for each class
+    tidy(spark)
+    # members of lists with company
     crowd = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
     lists = scratch.keep(lists.join(crowd, "value", "left_semi"), "op5-lists2")
-    involved = lists.select("node").distinct().join(classes.select("node", "rep"), "node")
-    texts = rows.join(involved.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = scratch.keep(full_sets(texts.select("text"), width).dropDuplicates(["node"]), "op5-sets")
-
-    links, label = None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        member = lists
-        if label is not None:
-            member = member.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        else:
-            member = member.withColumn("comp", F.col("node"))
-        if turn < PIVOT_ROUNDS:
-            order = F.xxhash64("node", F.lit(turn))
-            pivot = (member.groupBy("value")
-                     .agg(F.min_by(F.struct("node", "n", "comp"), order).alias("p"),
-                          F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                     .filter("lo <> hi").select("value", "p"))
-            pairs = (member.join(pivot, "value").filter("comp <> p.comp")
-                     .filter(_alike("n", "p.n"))
-                     .select(F.col("p.node").alias("a"), F.col("node").alias("b")))
-        else:
-            other = member.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            mixed = member.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-                .filter("lo <> hi").select("value")
-            left = member.join(mixed, "value", "left_semi")
-            pairs = (left.join(other, "value").filter("node < b and comp <> cb").filter(_alike("n", "nb"))
-                     .select(F.col("node").alias("a"), "b"))
-        found = _confirmed(scratch.keep(_filtered(pairs.distinct(), classes, k), "op5-pairs"), sets)
-        links = scratch.keep(found if links is None else links.unionByName(found), "op5-links")
-        label = scratch.keep(components(links).select("node", F.col("component").alias("comp")), "op5-labels")
+    sets = None
+
+    def sets_for(nodes: DataFrame) -> DataFrame:
+        """The full sets made so far, with those of new nodes."""
+        nonlocal sets
+        if sets is not None:
+            nodes = nodes.join(sets.select("node"), "node", "left_anti")
+        more = scratch.keep(_sets_of(rows, nodes.join(classes, "node").select("rep"), width, scratch), "op5-sets")
+        sets = more if sets is None else sets.unionByName(more)
+        tidy(spark)
+        return sets
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs: by the sketch of the union, then in full."""
+        likely = scratch.keep(_filtered(pairs, classes, k), "op5-pairs")
+        tidy(spark)
+        full = sets_for(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        return scratch.keep(_confirmed(likely, full), "op5-links")
+
+    def label_of(found: DataFrame) -> DataFrame:
+        out = scratch.keep(components(found).select("node", F.col("component").alias("comp")), "op5-labels")
+        tidy(spark)
+        return out
+
+    links = confirm(pivot_pairs(lists, k))
+    label = label_of(links)
+    member = scratch.keep(apart(lists, label), "op5-apart")
+    links = links.unionByName(confirm(cross_pairs(member.filter(F.col("length") <= LONG_LIST), k)))
+    # long lists: their members again, listed by their full sets, where every bound is exact
+    crowd = member.filter(F.col("length") > LONG_LIST).select("node").distinct()
+    full = sets_for(crowd)
+    crowd = scratch.keep(_with_bitmap(full.join(crowd, "node", "left_semi")), "op5-crowd")
+    lists = scratch.keep(posting_lists(crowd, WHOLE), "op5-crowd-lists")
+    links = links.unionByName(scratch.keep(_confirmed(pivot_pairs(lists, WHOLE), full), "op5-links"))
+    label = label_of(links)
+    member = scratch.keep(apart(lists, label), "op5-apart")
+    last = scratch.keep(_confirmed(cross_pairs(member, WHOLE), full), "op5-links")
+    label = label_of(links.unionByName(last))
 
     # smallest id of each component
-    least = (label.join(classes.select("node", "rep"), "node")
-             .groupBy("comp").agg(F.min("rep").alias("least")))
-    named = label.join(least, "comp").select("node", "least")
-    named = classes.select("node", "rep").join(named, "node", "left") \
-        .select("node", F.coalesce("least", "rep").alias("component_id"))
+    least = (label.join(classes.select("node", "least"), "node")
+             .groupBy("comp").agg(F.min("least").alias("lowest")))
+    named = label.join(least, "comp").select("node", "lowest")
+    named = classes.select("node", "least").join(named, "node", "left") \
+        .select("node", F.coalesce("lowest", "least").alias("component_id"))
     named = materialize(named, "op5-components")
     out = t1.select("doc_id", "text_key", "node", F.col("n").alias("n_shingles")).join(
         named.select(F.col("node").alias("c"), "component_id"),
