@@ -44,8 +44,8 @@ K = 64
 #: Chance that the union sketch of a linked pair holds fewer shared values than the floor.
 MISS = 1e-8
 SIMILARITY = 80      # percent
-#: Keys that may be broadcast: about 10 MB, the size to which Spark broadcasts by itself.
-SHORT_LIST = 200_000
+#: Keys that may be broadcast (about 50 bytes each, 1 MB).
+SHORT_LIST = 20_000
 #: Lists up to this length compare what is apart by sketches; the members of
 #: longer ones are listed anew by their full sets.
 LONG_LIST = 64
