@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize, ship_code
 
 TOP, SAMPLE, LIST_ROWS, MAX_LISTS, DEGREE, BEAM = 20, 20_000, 256, 4096, 16, 32
-BOUNDARY, REPLICAS, REACH, PROBES = 0.15, 4, 0.6, 32
+BOUNDARY, REPLICAS, REACH, PROBES = 0.15, 4, 1.0, 192
 BLOCK = 4096
 
 
