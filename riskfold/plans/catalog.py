@@ -5,15 +5,9 @@ from __future__ import annotations
 
 
 def registry() -> dict:
-    from . import catalog_core
+    from . import catalog_core, catalog_eda, catalog_metrics, catalog_ml, catalog_prep
     out = dict(catalog_core.Q)
-    for mod in ("catalog_prep", "catalog_metrics", "catalog_eda", "catalog_ml"):
-        try:
-            m = __import__(f"{__package__}.{mod}", fromlist=["Q"])
-        except ModuleNotFoundError as e:
-            if mod not in str(e):
-                raise
-            continue
+    for m in (catalog_prep, catalog_metrics, catalog_eda, catalog_ml):
         out.update(m.Q)
     return out
 

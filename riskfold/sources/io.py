@@ -190,13 +190,14 @@ def load_cat_features(spark: SparkSession, path: str) -> list[str]:
     return list(spark.read.json(path).first()["cat_features"])
 
 
-_LIST_KEYS = ("features", "top_features", "feature_names", "columns")
-_NAME_KEYS = ("feature", "name", "feature_name", "column")
+# fixed values, in the order in which they are looked up
+_LIST_KEYS = ("top_features", "features", "columns", "selected_features")
+_NAME_KEYS = ("feature", "name", "col", "column")
 
 
 def load_top_features(spark: SparkSession, path: str) -> list[str]:
     """A JSON document in any of the shapes the reference accepts: a
-    dict with the list under one of four keys, a plain list, or a list of
+    dict with the list under one of four keys (not empty), a plain list, or a list of
     dicts with the name under one of four keys. Missing file -> [] (keep
     all). The document is a small driver-side list (tens of names)."""
     if "://" not in path and not os.path.exists(path):
@@ -206,8 +207,8 @@ def load_top_features(spark: SparkSession, path: str) -> list[str]:
         doc = next((doc[k] for k in _LIST_KEYS if k in doc), None)
         if doc is None:
             raise ValueError(f"no feature list under {_LIST_KEYS} in {path}")
-    if not isinstance(doc, list):
-        raise ValueError(f"unsupported top-feature document in {path}")
+    if not isinstance(doc, list) or not doc:
+        raise ValueError(f"unsupported or empty top-feature document in {path}")
     names = []
     for item in doc:
         if isinstance(item, dict):

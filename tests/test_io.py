@@ -21,7 +21,8 @@ def test_csv_na_tokens(spark):
 def test_top_features_shapes(spark):
     d = tempfile.mkdtemp(prefix="riskfold-test-")
     shapes = [{"features": ["a", "b"]}, ["a", "b"], [{"feature": "a"}, {"name": "b"}],
-              {"top_features": [{"column": "a"}, {"feature_name": "b"}]}]
+              {"features": ["x"], "top_features": [{"column": "a"}, {"col": "b"}]},
+              {"selected_features": ["a", "b"]}]
     for i, doc in enumerate(shapes):
         p = os.path.join(d, f"f{i}.json")
         with open(p, "w") as f:
