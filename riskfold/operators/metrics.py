@@ -3,7 +3,10 @@
 Threshold metrics (precision/recall/F1, confusion matrix, the 16-point
 sweep) are conditional sums in a single aggregation pass: no join, no sort.
 Ranking metrics (ROC-AUC, step-wise average precision, ROC and PR curves)
-reduce rows to one per distinct score and use ``running_totals``.
+reduce rows to one per distinct score and use ``running_totals_with_sums``.
+
+Rows without a label or without a score (NULL, or a NaN score) take no part
+in any of them.
 """
 
 from __future__ import annotations
@@ -16,6 +19,12 @@ from ..session import materialize
 from .prefix import running_totals_with_sums
 
 
+def evaluated(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """The rows that have both a label and a score."""
+    return scores.where(F.col(y).isNotNull() & F.col(p).isNotNull()
+                        & ~F.isnan(F.col(p).cast("double")))
+
+
 def _safe_div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
@@ -38,7 +47,7 @@ def _prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 def confusion_matrix(scores: DataFrame, threshold: float, y: str = "y",
                      p: str = "p") -> DataFrame:
     """One row: tp, fp, tn, fn at ``p >= threshold``."""
-    return scores.agg(*_counts_at(F.col(y), F.col(p), threshold))
+    return evaluated(scores, y, p).agg(*_counts_at(F.col(y), F.col(p), threshold))
 
 
 def prf_at_threshold(scores: DataFrame, threshold: float, y: str = "y",
@@ -67,7 +76,7 @@ def threshold_sweep(scores: DataFrame, thresholds=SWEEP_THRESHOLDS, y: str = "y"
     aggs = []
     for i, t in enumerate(thresholds):
         aggs += _counts_at(yc, pc, t, f"_{i}")
-    wide = scores.agg(*aggs)
+    wide = evaluated(scores, y, p).agg(*aggs)
     parts = ", ".join(f"{round(t, 2)}D, tp_{i}, fp_{i}, fn_{i}" for i, t in enumerate(thresholds))
     long = wide.selectExpr(f"stack({len(thresholds)}, {parts}) AS (threshold, tp, fp, fn)")
     m = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
@@ -86,10 +95,10 @@ def score_groups(scores: DataFrame, y: str = "y", p: str = "p",
     """One row per distinct score with running totals from the top score
     down: n, pos, neg and their cumulative forms (and, with ``with_totals``,
     the grand totals, known without another pass)."""
-    g = scores.groupBy(F.col(p).alias("score")).agg(
+    g = evaluated(scores, y, p).groupBy(F.col(p).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    # running totals read their input three times (bounds, range totals,
-    # window): the per-score table is written once instead of re-aggregated
+    # running totals read their input more than once (count, range sample,
+    # ranges): the per-score table is written once instead of re-aggregated
     g = materialize(g.withColumn("neg", F.col("n") - F.col("pos")), "score-groups")
     out, sums = running_totals_with_sums(g, "score", ["n", "pos", "neg"], descending=True)
     return (out, sums) if with_totals else out
@@ -101,7 +110,7 @@ def auc_roc(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     g = score_groups(scores, y, p)
     term = F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)
     s = g.agg(F.sum(term).alias("s"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return s.select(F.try_divide(F.col("s"), F.col("P") * F.col("N")).alias("auc_roc"))
+    return s.select(F.try_divide(F.col("s"), F.col("P").cast("double") * F.col("N")).alias("auc_roc"))
 
 
 def average_precision(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -174,7 +183,7 @@ def eval_report(scores: DataFrame, y: str = "y", p: str = "p",
     aggs = [F.count(F.lit(1)).alias("n"), F.avg(yc.cast("double")).alias("r")]
     for i, t in enumerate(thresholds):
         aggs += _counts_at(yc, pc, t, f"_{i}") + _counts_at(yc, pc, rounded[i], f"_r{i}")
-    wide = scores.agg(*aggs).first()
+    wide = evaluated(scores, y, p).agg(*aggs).first()
 
     def div(a, b):
         return a / b if b else 0.0

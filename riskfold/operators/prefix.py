@@ -1,11 +1,12 @@
 """Running totals over a global order without a single-partition window.
 
 Rows are first reduced to one per distinct order value (the caller's
-aggregation), then cut into ``buckets`` contiguous value ranges at
-approximate quantiles of that value. Per-range totals (one row per range,
-a proven bound) give each range its offset; a window *partitioned by range*
-adds the running sum inside it. Every task holds one range; a value shared
-by a third of all rows is still a single row here.
+aggregation), then range-partitioned by that value; the range's number is
+written beside each row, so it stays fixed however often the table is read.
+Per-range totals (one row per range, a bound set by ``RANGE_ROWS``) give each
+range its offset; a window *partitioned by range* adds the running sum inside
+it. Every task holds one range; a value shared by a third of all rows is still
+a single row here.
 """
 
 from __future__ import annotations
@@ -13,45 +14,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 
-def running_totals(df: DataFrame, order_col: str, cols: list[str],
-                   descending: bool = True, buckets: int | None = None,
-                   prefix: str = "cum_") -> DataFrame:
-    """Add ``cum_<c>`` = sum of ``c`` over all rows ordered at or before the
-    row (inclusive). ``order_col`` must be unique per row (aggregate first).
-    """
-    return running_totals_with_sums(df, order_col, cols, descending, buckets, prefix)[0]
+#: Rows of one range; the number of ranges follows the rows, not a session setting.
+RANGE_ROWS = 1_000_000
 
 
 def running_totals_with_sums(df: DataFrame, order_col: str, cols: list[str],
-                             descending: bool = True, buckets: int | None = None,
+                             descending: bool = True, ranges: int | None = None,
                              prefix: str = "cum_") -> tuple[DataFrame, dict]:
-    """``running_totals`` plus the grand total of each column (the sum of the
-    per-range totals, already on the driver)."""
+    """Add ``cum_<c>`` = sum of ``c`` over all rows ordered at or before the
+    row (inclusive), and give the grand total of each column (the sum of the
+    per-range totals, already on the driver). ``order_col`` must be unique per
+    row and not NULL (aggregate first)."""
     spark = df.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     o = F.col(order_col)
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        bounds = df.agg(F.percentile_approx(o, probs, 10_000).alias("b")).first()["b"] or []
-        bounds = sorted(set(bounds))
-    else:
-        bounds = []
-    # range index, ascending in the order value
-    rng = F.lit(0)
-    for b in bounds:
-        rng = rng + (o > F.lit(b)).cast("int")
-    ranged = df.withColumn("_rng", rng)
+    ranges = ranges or df.count() // RANGE_ROWS + 1
+    ranged = materialize(df.repartitionByRange(ranges, o).withColumn("_rng", F.spark_partition_id()),
+                         "ranges")
     totals = ranged.groupBy("_rng").agg(*[F.sum(c).alias(c) for c in cols]).collect()
     totals = sorted(totals, key=lambda r: r["_rng"], reverse=descending)
     offsets, acc = [], {c: 0 for c in cols}
     for r in totals:
-        offsets.append((r["_rng"], *[acc[c] for c in cols]))
+        offsets.append((r["_rng"], *[int(acc[c]) for c in cols]))
         for c in cols:
             acc[c] += r[c] or 0
-    off_schema = "_rng int, " + ", ".join(f"_off_{c} long" for c in cols)
-    off = spark.createDataFrame([(a, *[int(v) for v in rest]) for a, *rest in offsets],
-                                off_schema)
+    off = spark.createDataFrame(offsets, "_rng int, " + ", ".join(f"_off_{c} long" for c in cols))
     w = (Window.partitionBy("_rng").orderBy(o.desc() if descending else o.asc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = ranged.join(F.broadcast(off), "_rng", "left")
