@@ -91,9 +91,6 @@ class FeatureConfig:
     card_device_unseen: int = 0        # degree for an unseen card
     addr_unseen: int = 0               # degree for an unseen address
     last_resort_rate: float = 0.035    # pair fallback if no global rate fitted
-    # exact quantiles by distributed selection; set to an int for
-    # approx_percentile(accuracy) instead on very large inputs
-    quantile_accuracy: int | None = None
 
     def with_(self, **kw) -> "FeatureConfig":
         return replace(self, **kw)

@@ -52,7 +52,15 @@ def _bucket(x: Column, iv: Column, intervals: list[tuple], buckets: int) -> Colu
     for i in reversed(range(len(intervals))):
         lo, hi = intervals[i]
         width = (float(hi) - float(lo)) / buckets
-        if not width > 0 or float(lo) + width == float(lo):
+        if math.isinf(width):
+            # infinities are buckets of their own; a finite range too wide for a
+            # double is halved at 0
+            if math.isinf(float(lo)) or math.isinf(float(hi)):
+                b = (F.when(x == F.lit(float("-inf")), 0).when(x == F.lit(float("inf")), 2)
+                     .otherwise(1).cast("long"))
+            else:
+                b = (x > F.lit(0.0)).cast("long")
+        elif not width > 0 or float(lo) + width == float(lo):
             # a range too narrow for the arithmetic (adjacent or subnormal
             # doubles): split into {lo} and (lo, hi], which always shrinks it
             b = (x > F.lit(lo)).cast("long")
@@ -63,23 +71,29 @@ def _bucket(x: Column, iv: Column, intervals: list[tuple], buckets: int) -> Colu
     return expr
 
 
-def first_stats(df: DataFrame, col: str) -> tuple:
-    """(non-NULL count, min, max) of ``col`` in one aggregation."""
+def _value(df: DataFrame, col: str) -> Column:
+    """The column with NaN as NULL: neither is a value."""
     x = F.col(col)
+    return F.when(~F.isnan(x), x) if df.schema[col].dataType.typeName() in ("double", "float") else x
+
+
+def first_stats(df: DataFrame, col: str) -> tuple:
+    """(count, min, max) of the values of ``col`` in one aggregation."""
+    x = _value(df, col)
     r = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     return int(r["n"]), r["lo"], r["hi"]
 
 
 def order_statistics(df: DataFrame, col: str, ranks: list[int],
                      buckets: int = 1024, final_rows: int = 4096,
-                     max_passes: int = 64, first: tuple | None = None) -> list[tuple]:
-    """Values at 0-based ``ranks`` of non-null ``col`` in ascending order.
+                     first: tuple | None = None) -> list[tuple]:
+    """Values at 0-based ``ranks`` of ``col`` in ascending order; NULL and
+    NaN have no rank, infinities do.
 
     Returns ``[(value, n_below_value), ...]`` aligned with ``ranks``; the
     second item counts the non-null values strictly smaller than the answer.
     """
-    x = F.col(col)
-    data = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
+    data = df.select(_value(df, col).alias("_x")).where(F.col("_x").isNotNull())
     xs = F.col("_x")
     n, lo, hi = first if first is not None else first_stats(df, col)
     for r in ranks:
@@ -90,10 +104,9 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int],
         if s.lo == s.hi:
             s.value, s.value_below = s.lo, 0
 
-    for _ in range(max_passes):
-        pending = [s for s in searches if s.open]
-        if not pending:
-            break
+    # every pass puts the ends of an open interval into different buckets, so
+    # each interval shrinks until it holds a single value
+    while pending := [s for s in searches if s.open]:
         size = {(s.lo, s.hi): s.size for s in pending}
         intervals = sorted(size)
         small = [i for i, k in enumerate(intervals) if size[k] <= final_rows]
@@ -143,25 +156,20 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int],
                             s.lo, s.hi, s.below, s.size = mn, mx, acc, c
                         break
                     acc += c
-    if any(s.open for s in searches):
-        raise RuntimeError(f"order statistics of {col} did not converge")
     return [(s.value, s.value_below) for s in searches]
 
 
 def _lerp(a: float, b: float, t: float) -> float:
     """Linear interpolation in numpy's form (exact at both ends)."""
+    if math.isinf(a) or math.isinf(b):
+        return a * (1 - t) + b * t
     return b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float],
-                    accuracy: int | None = None) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
     """Quantiles with linear interpolation between closest ranks
     (position = (n - 1) * p), as numpy/pandas ``quantile`` and Spark's exact
-    ``percentile`` define them. ``accuracy`` switches to ``percentile_approx``
-    (a bounded sketch) for inputs where an approximation is acceptable."""
-    if accuracy is not None:
-        row = df.agg(F.percentile_approx(col, probs, accuracy).alias("q")).first()
-        return [float(v) for v in row["q"]] if row["q"] is not None else [None] * len(probs)
+    ``percentile`` define them; NULL and NaN are left out."""
     first = first_stats(df, col)
     n = first[0]
     if n == 0:
@@ -179,37 +187,19 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
 
 
 def ordered_cuts(df: DataFrame, order_col: str, tie_col: str, ranks: list[int],
-                 first: tuple | None = None, tie_rows: int = 4096) -> list[tuple]:
+                 first: tuple | None = None) -> list[tuple]:
     """The ``(order, tie)`` keys of the rows at 0-based ``ranks`` when rows
     are sorted by ``(order_col, tie_col)``: selection on the order column
     (all ranks in the same passes), then on the tie column among the rows
-    sharing each selected order value."""
-    firsts = order_statistics(df, order_col, ranks, first=first)
-    values = sorted({t for t, _ in firsts})
-    o, tie = F.col(order_col), F.col(tie_col)
-    # the (order, tie) keys of the rows sharing the selected order values, in
-    # one job capped at tie_rows per value; a value with more tied keys than
-    # that (a hot timestamp) falls back to selection on the tie column
-    cap = tie_rows * len(values)
-    got = (df.where(o.isin(*values)).groupBy(o.alias("o"), tie.alias("t"))
-           .agg(F.count(F.lit(1)).alias("c")).orderBy("o", "t").limit(cap + 1).collect())
-    keys = {}
-    for r in got:
-        keys.setdefault(r["o"], []).append((r["t"], r["c"]))
-    if len(got) > cap:          # incomplete: keep only values whose groups fit
-        keys = {v: ks for v, ks in keys.items() if len(ks) <= tie_rows and v != got[-1]["o"]}
+    sharing each selected order value. A NULL tie key comes last among equal
+    order values; a rank that falls on one gets the last key before it (None
+    if there is none)."""
     out = []
-    for r, (t, below) in zip(ranks, firsts):
-        k = r - below
-        if t in keys:
-            acc = 0
-            for tid, c in keys[t]:
-                if acc <= k < acc + c:
-                    break
-                acc += c
-        else:
-            (tid, _), = order_statistics(df.where(o == F.lit(t)), tie_col, [k])
-        out.append((t, tid))
+    for r, (t, below) in zip(ranks, order_statistics(df, order_col, ranks, first=first)):
+        tied = df.where(F.col(order_col) == F.lit(t))
+        stats = first_stats(tied, tie_col)
+        at = min(r - below, stats[0] - 1)
+        out.append((t, order_statistics(tied, tie_col, [at], first=stats)[0][0] if at >= 0 else None))
     return out
 
 

@@ -80,8 +80,7 @@ def decile_edges(train: DataFrame, cfg: FeatureConfig, amt_col: str = AMT_COL,
     edges replaced by -inf/+inf. Fewer than two edges: no interval."""
     q = cfg.n_deciles
     if qs is None:
-        qs = exact_quantiles(train, amt_col, [i / q for i in range(q + 1)],
-                             cfg.quantile_accuracy)
+        qs = exact_quantiles(train, amt_col, [i / q for i in range(q + 1)])
     if qs[0] is None:
         return []
     edges = sorted(set(qs))
@@ -100,7 +99,7 @@ def fit(base: DataFrame, cfg: FeatureConfig = FeatureConfig(),
     if AMT_COL in cols:
         # median and decile edges from the same selection passes
         probs = [i / cfg.n_deciles for i in range(cfg.n_deciles + 1)]
-        qs = exact_quantiles(train, AMT_COL, probs + [0.5], cfg.quantile_accuracy)
+        qs = exact_quantiles(train, AMT_COL, probs + [0.5])
         p.median_amt = qs[-1]
         p.edges = decile_edges(train, cfg, qs=qs[:-1])
     if CARD in cols and AMT_COL in cols:
