@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import (ALL_ENGINEERED_FEATURES, BINARY_FLAGS, CAT_MISSING, CAT_UNKNOWN,
                       NUMERIC_FILL, TARGET, TOP50_ENGINEERED)
+from ..session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -65,50 +66,35 @@ def cast_flags(df: DataFrame, flags=BINARY_FLAGS) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("int") for c in flags if c in df.columns})
 
 
-def fit_label_index(train: DataFrame, cats: list[str], max_group: int = 2_000_000,
-                    seed: int = 42) -> DataFrame:
+#: Vocabulary values of one range (one task's window).
+RANGE_VALUES = 2_000_000
+
+
+def fit_label_index(train: DataFrame, cats: list[str]) -> DataFrame:
     """(column, value, code) with codes 0..k-1 in code-point order of
-    the distinct training values of each column."""
+    the distinct training values of each column; one scan for all columns."""
     if not cats:
         return train.sparkSession.createDataFrame([], "column string, value string, code long")
-    parts = [train.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-             .where(F.col("value").isNotNull()) for c in cats]
-    vocab = parts[0]
-    for p in parts[1:]:
-        vocab = vocab.unionByName(p)
-    return dense_codes(vocab.distinct(), "column", "value", max_group, seed)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                      for c in cats])
+    vocab = train.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
+    return dense_codes(vocab, "column", "value")
 
 
-def dense_codes(vocab: DataFrame, part: str, value: str, max_group: int = 2_000_000,
-                seed: int = 42) -> DataFrame:
+def dense_codes(vocab: DataFrame, part: str, value: str,
+                range_values: int = RANGE_VALUES) -> DataFrame:
     """0-based rank of each distinct ``value`` within its ``part`` in
     code-point (UTF-8 byte) order.
 
-    Groups up to ``max_group`` values are ranked by a window partitioned by
-    the group. Larger groups are cut into value ranges at bounds taken from a
-    bounded sample; per-range counts (one row per range) give offsets and a
-    window partitioned by (group, range) ranks inside each range, so no task
+    The rows are range-partitioned by (part, value) and written with their
+    range's number. Counts per part and range (one row each) give offsets and a
+    window partitioned by (part, range) ranks inside each range, so no task
     holds a whole large vocabulary."""
     key = F.col(value).cast("binary")
-    sizes = {r[part]: r["n"] for r in vocab.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-             .collect()}
-    big = {g: n for g, n in sizes.items() if n > max_group}
-    if not big:
-        w = Window.partitionBy(part).orderBy(key)
-        return vocab.withColumn("code", (F.row_number().over(w) - 1).cast("long"))
-    rng = F.lit(0)
-    for g, n in big.items():
-        ranges = -(-n // max_group)
-        frac = min(1.0, 20.0 * ranges / n)
-        sample = sorted(r[0].encode("utf-8") for r in vocab.where(F.col(part) == g)
-                        .sample(fraction=frac, seed=seed).select(value).collect())
-        bounds = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)
-                         if sample})
-        idx = F.lit(0)
-        for b in bounds:
-            idx = idx + (key > F.lit(bytearray(b))).cast("int")
-        rng = F.when(F.col(part) == g, idx).otherwise(rng)
-    ranged = vocab.withColumn("_rng", rng)
+    vocab = materialize(vocab, "vocabulary")
+    ranges = vocab.count() // range_values + 1
+    ranged = materialize(vocab.repartitionByRange(ranges, F.col(part), key)
+                         .withColumn("_rng", F.spark_partition_id()), "vocabulary-ranges")
     totals = sorted((r[part], r["_rng"], r["n"]) for r in
                     ranged.groupBy(part, "_rng").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, acc, last = [], 0, None
@@ -119,9 +105,10 @@ def dense_codes(vocab: DataFrame, part: str, value: str, max_group: int = 2_000_
         acc += n
     off = vocab.sparkSession.createDataFrame(offsets, f"{part} string, _rng int, _off long")
     w = Window.partitionBy(part, "_rng").orderBy(key)
-    return (ranged.join(F.broadcast(off), [part, "_rng"])
-            .withColumn("code", (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
-            .drop("_rng", "_off"))
+    codes = (ranged.join(F.broadcast(off), [part, "_rng"])
+             .withColumn("code", (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
+             .drop("_rng", "_off"))
+    return materialize(codes, "label-codes")
 
 
 def label_encode(df: DataFrame, mapping: DataFrame, cats: list[str],
@@ -129,12 +116,11 @@ def label_encode(df: DataFrame, mapping: DataFrame, cats: list[str],
                  broadcast_limit: int = 64 * 1024 * 1024) -> DataFrame:
     """Value -> code; a value unseen in training maps to the code of
     ``unknown``; if that code does not exist and misses occur, raise."""
-    mapping = mapping.persist()
     unk = {r["column"]: r["code"] for r in
            mapping.where(F.col("value") == unknown).select("column", "code").collect()}
     # vocabulary sizes (one row per column) decide which mappings are broadcast
     sizes = {r["column"]: (r["n"], r["w"] or 0) for r in mapping.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("w")).collect()}
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("w")).collect()}
     out = df
     for c in cats:
         m = mapping.where(F.col("column") == c).select(
