@@ -65,13 +65,24 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 # ---- P8 -------------------------------------------------------------------------
+#: Text that is a number: no type suffixes, no NaN.
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+
+
+def as_number(col: str):
+    """A text column as double; NULL where the text is not a number (a plain
+    cast would also take type suffixes, as in ``10d``)."""
+    c = F.col(f"`{col}`")
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
 def numeric_like_columns(df: DataFrame, threshold: float = 0.90) -> list[str]:
     """String columns where more than ``threshold`` of *all* rows parse as a
     number (NULLs count as failures). One aggregation pass."""
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strings:
         return []
-    row = df.agg(*[F.avg(F.expr(f"try_cast(`{c}` AS DOUBLE)").isNotNull().cast("double"))
+    row = df.agg(*[F.avg(as_number(c).isNotNull().cast("double"))
                    .alias(c) for c in strings]).first()
     return [c for c in strings if row[c] is not None and row[c] > threshold]
 
@@ -82,7 +93,7 @@ def fix_dtypes(df: DataFrame, threshold: float = 0.90,
     cols = numeric_like_columns(df, threshold) if cols is None else cols
     if not cols:
         return df
-    return df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in cols})
+    return df.withColumns({c: as_number(c) for c in cols})
 
 
 # ---- W1 -------------------------------------------------------------------------

@@ -54,9 +54,7 @@ class BasePlan:
     def replay(self, txn: DataFrame, identity: DataFrame) -> DataFrame:
         """Apply the same decisions to new rows (no action; stream-safe;
         deduplication is left to the source's exactly-once delivery)."""
-        from pyspark.sql import functions as F
         merged = ops.merge_identity(txn, identity, self.cfg.id_col).drop(*self.dropped)
         if self.numeric:
-            merged = merged.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)")
-                                         for c in self.numeric})
+            merged = merged.withColumns({c: ops.as_number(c) for c in self.numeric})
         return ops.assign_split(merged, self.cuts, self.cfg.time_col, self.cfg.id_col)

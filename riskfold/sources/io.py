@@ -32,7 +32,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
         raise FileNotFoundError(path)
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     tokens = F.array(*[F.lit(t) for t in na_tokens])
-    clean = raw.select(*[F.when(F.array_contains(tokens, F.trim(F.col(c))), None)
+    clean = raw.select(*[F.when(F.array_contains(tokens, F.col(c)), None)
                          .otherwise(F.col(c)).alias(c) for c in raw.columns])
     if schema is not None:
         clean = clean.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})")
@@ -50,9 +50,10 @@ def infer_numeric(df: DataFrame) -> DataFrame:
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strings:
         return df
+    from ..operators.base import as_number
     aggs = []
     for c in strings:
-        d = F.expr(f"try_cast(`{c}` AS DOUBLE)")
+        d = as_number(c)
         l_ = F.expr(f"try_cast(`{c}` AS BIGINT)")
         aggs += [F.count(F.col(c)).alias(f"n_{c}"), F.count(d).alias(f"d_{c}"),
                  F.count(l_).alias(f"l_{c}")]
@@ -148,8 +149,9 @@ def save_params(params, path: str) -> DataFrame:
         spark = lk.df.sparkSession
     scal = spark.createDataFrame(
         [(params.median_amt, params.global_rate, params.edges,
-          json.dumps(params.id_present))],
-        "median_amt double, global_fraud_rate double, edges array<double>, id_present string")
+          json.dumps(params.id_present), list(params.lookups))],
+        "median_amt double, global_fraud_rate double, edges array<double>, id_present string, "
+        "tables array<string>")
     scal.write.mode("overwrite").parquet(os.path.join(path, "_scalars"))
     rows.append(("amt_edges", max(len(params.edges or []) - 2, 0)))
     return spark.createDataFrame(rows, "param_table string, n_entries long")
@@ -163,15 +165,11 @@ def load_params(spark: SparkSession, path: str, cfg):
                 "uid": ["card1", "addr1"]}
     nulls = {"device": "null", "addr": "null", "card_email": "value", "uid": "value"}
     p = FeatureParams(cfg)
-    for name, keys in policies.items():
-        sub = os.path.join(path, name)
-        if os.path.exists(sub) or "://" in path:
-            try:
-                df = spark.read.parquet(sub)
-            except Exception:  # table not fitted
-                continue
-            p.lookups[name] = Lookup(name, keys, df, df.count(), nulls.get(name, "default"))
+    # the store names its tables: one that can't be read is an error
     s = spark.read.parquet(os.path.join(path, "_scalars")).first()
+    for name in s["tables"]:
+        df = spark.read.parquet(os.path.join(path, name))
+        p.lookups[name] = Lookup(name, policies[name], df, df.count(), nulls.get(name, "default"))
     p.median_amt, p.global_rate = s["median_amt"], s["global_fraud_rate"]
     p.edges = list(s["edges"]) if s["edges"] is not None else None
     p.id_present = json.loads(s["id_present"])
