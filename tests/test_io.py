@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from riskfold.config import FeatureConfig
 from riskfold.plans import features_job as fj
 from riskfold.sources import io
@@ -44,3 +45,7 @@ def test_param_store_roundtrip(spark):
     a = sorted(map(tuple, fj.apply(train, p).drop("split").collect()))
     b = sorted(map(tuple, fj.apply(train, q).drop("split").collect()))
     assert a == b
+    # a table that the store names and that can't be read is an error
+    os.rename(os.path.join(d, "uid"), os.path.join(d, "gone"))
+    with pytest.raises(Exception):
+        io.load_params(spark, d, FeatureConfig())

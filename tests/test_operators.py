@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskfold.operators import base as ops
 from riskfold.operators import metrics as M
-from riskfold.operators.prefix import running_totals
+from riskfold.operators.prefix import running_totals_with_sums
 from riskfold.operators.selection import exact_quantiles, order_statistics
 
 
@@ -56,7 +56,7 @@ def test_running_totals_match_cumsum(spark):
     rnd = random.Random(3)
     rows = [(float(i), rnd.randint(0, 5)) for i in range(500)]
     df = spark.createDataFrame(rows, "s double, n long")
-    out = {r["s"]: r["cum_n"] for r in running_totals(df, "s", ["n"], buckets=7).collect()}
+    out = {r["s"]: r["cum_n"] for r in running_totals_with_sums(df, "s", ["n"], ranges=7)[0].collect()}
     acc = 0
     for s, n in sorted(rows, reverse=True):
         acc += n
@@ -121,7 +121,7 @@ def test_dense_codes_large_group_path(spark):
                     for _ in range(3000)})
     rows = [("big", w) for w in words] + [("small", w) for w in words[:50]]
     vocab = spark.createDataFrame(rows, "column string, value string")
-    got = dense_codes(vocab, "column", "value", max_group=400).collect()
+    got = dense_codes(vocab, "column", "value", range_values=400).collect()
     expect_big = {w: i for i, w in enumerate(sorted(words, key=lambda x: x.encode()))}
     expect_small = {w: i for i, w in enumerate(sorted(words[:50], key=lambda x: x.encode()))}
     for r in got:
@@ -129,15 +129,14 @@ def test_dense_codes_large_group_path(spark):
         assert r["code"] == exp[r["value"]]
 
 
-def test_time_split_hot_timestamp_beyond_tie_bound(spark):
-    # 15,000 rows; ids 5000..11999 share one timestamp (7,000 rows, beyond the
-    # 4,096-key tie bound), and the train cut (row 10,499) falls inside that
-    # block, so the tie column is resolved by selection, not by a collect.
+def test_time_split_hot_timestamp(spark):
+    # 15,000 rows; ids 5000..11999 share one timestamp, and the train cut (row
+    # 10,499) falls inside that block.
     n = 15000
     df = spark.range(n).select(
         F.col("id").alias("TransactionID"),
         F.when(F.col("id") < 5000, F.lit(0))
-        .when(F.col("id") < 12000, F.lit(1))          # 7,000 tied rows (> 4096)
+        .when(F.col("id") < 12000, F.lit(1))          # 7,000 tied rows
         .otherwise(F.col("id")).cast("long").alias("TransactionDT"))
     out = {r["TransactionID"]: r["split"] for r in ops.time_split(df).collect()}
     # ordered by (t, id) the row order equals the id order here
@@ -146,17 +145,51 @@ def test_time_split_hot_timestamp_beyond_tie_bound(spark):
     assert out == expect
 
 
-def test_approximate_quantile_option(spark):
-    from riskfold.config import FeatureConfig
-    from riskfold.plans import features_job as fj
-    df = spark.range(20000).select((F.col("id") % 997 / 10.0).alias("TransactionAmt"))
-    exact = fj.decile_edges(df, FeatureConfig())
-    approx = fj.decile_edges(df, FeatureConfig(quantile_accuracy=10000))
-    assert len(exact) == len(approx) == 11
-    # the sketch's rank error (n / accuracy = 2 rows) moves an edge by at
-    # most a couple of 0.1 value steps here
-    for e, a in zip(exact[1:-1], approx[1:-1]):
-        assert abs(e - a) <= 0.5
+def test_metrics_leave_out_rows_without_label_or_score(spark):
+    from riskfold.operators import metrics as M
+    nan = float("nan")
+    rows = [(1, 0.9), (None, 0.8), (0, 0.7), (None, 0.6), (1, 0.5), (1, None), (0, nan)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    assert abs(M.average_precision(df).first()[0] - (1 + 2 / 3) / 2) < 1e-12
+    assert M.auc_roc(df).first()[0] == 0.5
+    assert tuple(M.confusion_matrix(df, 0.6).first()) == (1, 1, 0, 1)
+    assert M.eval_report(df).first()["val_rows"] == 3
+
+
+def test_ranking_metrics_with_many_shuffle_partitions(spark):
+    from riskfold.operators import metrics as M
+    df = spark.range(2000).select((F.col("id") % 3 == 0).cast("int").alias("y"),
+                                  (F.hash("id") % 100 / 100.0).alias("p"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = M.auc_roc(df).first()[0]
+    spark.conf.set("spark.sql.shuffle.partitions", "4000")
+    try:
+        assert abs(M.auc_roc(df).first()[0] - want) < 1e-12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_quantiles_with_nan_and_infinities(spark):
+    from riskfold.operators.selection import exact_quantiles
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(v,) for v in [1.0, 2.0, 3.0, nan, None]], "x double")
+    assert exact_quantiles(df, "x", [0.5]) == [2.0]
+    vals = [-inf, *[float(i) for i in range(9000)], 1.7e308, -1.7e308, inf]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    s = sorted(vals)
+    ranks = [0, 1, 2, 4500, len(s) - 2, len(s) - 1]
+    assert [v for v, _ in order_statistics(df, "x", ranks)] == [s[r] for r in ranks]
+
+
+def test_fix_dtypes_keeps_text_with_number_suffixes(spark):
+    df = spark.createDataFrame([(f"{i}d", f"{i}F", "NaN", f" {i}.5e1") for i in range(20)], "a string, b string, c string, d string")
+    assert dict(ops.fix_dtypes(df).dtypes) == {"a": "string", "b": "string", "c": "string", "d": "double"}
+
+
+def test_ordered_cuts_with_null_ties(spark):
+    from riskfold.operators.selection import ordered_cuts
+    df = spark.createDataFrame([(1, None), (1, 5), (1, 6), (2, 7)], "t long, i long")
+    assert ordered_cuts(df, "t", "i", [0, 1, 2, 3]) == [(1, 5), (1, 6), (1, 6), (2, 7)]
 
 
 def test_order_statistics_adjacent_doubles(spark):
