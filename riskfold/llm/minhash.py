@@ -37,15 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, long_of, materialize, mix64, ship_code, text_chunks, tidy, word_table
+from .common import Scratch, long_of, materialize, mix64, settings, ship_code, text_chunks, tidy, word_table
 from .components import components
 
 K = 64
 #: Chance that the union sketch of a linked pair holds fewer shared values than the floor.
 MISS = 1e-8
 SIMILARITY = 80      # percent
-#: Keys that may be broadcast (about 50 bytes each, 1 MB).
-SHORT_LIST = 20_000
+#: Spark's runtime Bloom filter of wanted keys, at every input and list size: 1 MB, whatever it is built from.
+BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+         "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+         "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t"}
 #: Lists up to this length compare what is apart by sketches; the members of
 #: longer ones are listed anew by their full sets.
 LONG_LIST = 64
@@ -253,17 +255,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets_of(rows: DataFrame, reps: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """node, members of the classes that ``reps`` (id and text key) stand for.
-    The texts move to the list of wanted ones, unless that is counted to be
-    short: up to ``SHORT_LIST`` rows are broadcast instead."""
+    """node, members of the classes that ``reps`` (id and text key, set size n)
+    stand for. The texts are joined with the list of wanted ones; a Bloom filter
+    of the list (``BLOOM``, of fixed size) keeps most others out of the shuffle."""
     key = lambda i, t: F.concat_ws("|", i.cast("string"), t.cast("string"))
-    wanted = scratch.keep(reps.select(key(F.col("rep.doc_id"), F.col("rep.text_key")).alias("key")).distinct(), "op5-wanted")
+    wanted = scratch.keep(reps.select(key(F.col("rep.doc_id"), F.col("rep.text_key")).alias("key"), "n"), "op5-wanted")
     texts = rows.select(key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text")
-    if wanted.count() <= SHORT_LIST:
-        texts = texts.join(F.broadcast(wanted), "key", "left_semi")
-    else:
-        texts = texts.join(wanted, "key", "left_semi")
-    return full_sets(texts.dropDuplicates(["key"]), width)
+    # the filter on n tells the optimizer that the list selects
+    texts = texts.join(wanted.filter("n > 0"), "key", "left_semi").dropDuplicates(["key"])
+    with settings(rows.sparkSession, BLOOM):
+        return scratch.keep(full_sets(texts, width), "op5-sets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", text_col: str = "text",
@@ -290,7 +291,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
         nonlocal sets
         if sets is not None:
             nodes = nodes.join(sets.select("node"), "node", "left_anti")
-        more = scratch.keep(_sets_of(rows, nodes.join(classes, "node").select("rep"), width, scratch), "op5-sets")
+        more = _sets_of(rows, nodes.join(classes, "node").select("rep", "n"), width, scratch)
         sets = more if sets is None else sets.unionByName(more)
         tidy(spark)
         return sets
