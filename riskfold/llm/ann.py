@@ -11,8 +11,12 @@ the largest by inner product; queries are scaled to norm M.
 * Index: every vector goes to its nearest list, found by a beam search in the
   graph, and, if it lies near a boundary, to up to ``REPLICAS`` lists within the
   distance ratio ``1 + BOUNDARY`` that no list already chosen is nearer to.
-* Search: a query takes the lists within the ratio ``1 + REACH`` of its nearest,
-  ``PROBES`` at most. Long lists are split into blocks of ``BLOCK`` rows and the
+* Reach: how far a query looks is a distance ratio, fitted for each table: the
+  true nearest of ``CALIBRATION`` queries (by a hash; a documented bound) are
+  found by brute force over all rows, and the ratio is the smallest that reads
+  the lists of ``RECALL`` of them. Nothing bounds the number of lists read.
+* Search: a query takes the lists within that ratio of its nearest; where they
+  may go beyond the beam, its distances to all centroids are taken. Long lists are split into blocks of ``BLOCK`` rows and the
   queries of a list likewise, so equal vectors by the million make more blocks,
   not larger ones; nothing is dropped. A block gives its best per query, exact
   in double precision on the original vectors, and they are merged.
@@ -35,8 +39,10 @@ from pyspark.sql import functions as F
 from .common import materialize, ship_code
 
 TOP, SAMPLE, LIST_ROWS, MAX_LISTS, DEGREE, BEAM = 20, 20_000, 256, 4096, 16, 32
-BOUNDARY, REPLICAS, REACH, PROBES = 0.15, 4, 1.0, 192
+BOUNDARY, REPLICAS, RECALL, CALIBRATION = 0.15, 4, 0.95, 256
 BLOCK = 4096
+#: Least squared distance to a nearest centroid, as ratios to it are taken.
+NEAR = 1e-12
 
 
 def split_clusters(x: np.ndarray, most: int, limit: int, seed: int = 7) -> np.ndarray:
@@ -110,11 +116,87 @@ class Centroids:
                 return new, nd
             beam, dist = new, nd
 
+    def lists_read(self, x: np.ndarray, size: np.ndarray, ratio: float, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists that the queries read: those within ``ratio``
+        of the nearest, and further ones while they hold under ``need`` rows."""
+        ids, d = self.search(x)
+        far = ((d[:, -1] <= ratio ** 2 * np.maximum(d[:, 0], NEAR)) | (size[ids].sum(1) < need)) & (ids.shape[1] < len(self.points))
+        every = self._distance(x[far], self.points)
+        order = np.argsort(every, 1, kind="stable")
+        rows, lists = [], []
+        for at, i, e in ((~far, ids[~far], d[~far]), (far, order, np.take_along_axis(every, order, 1))):
+            held = np.cumsum(size[i], 1) - size[i]
+            take = (e <= ratio ** 2 * np.maximum(e[:, :1], NEAR)) | (held < need)
+            row, col = np.nonzero(take & (size[i] > 0))
+            rows.append(np.flatnonzero(at)[row])
+            lists.append(i[row, col])
+        return np.concatenate(rows), np.concatenate(lists)
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def true_nearest(base: DataFrame, q: np.ndarray, qid: np.ndarray, k: int) -> DataFrame:
+    """query (row of ``q``), key: the k nearest ids of each query by brute force
+    over all rows; the key names the id's best row."""
+    dim = q.shape[1]
+    q = q.astype(np.float64)
+
+    def scan(batches):
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q]
+        floor = np.full(len(q), -np.inf)
+        for b in batches:
+            for a in range(0, b.num_rows, 4096):
+                part = b.slice(a, 4096)
+                ids, keys = part.column(0).to_numpy(), part.column(2).to_numpy()
+                s = q @ _matrix(part.column(1), dim).astype(np.float64).T
+                s[qid[:, None] == ids[None]] = -np.inf
+                for j in range(len(q)):
+                    c = np.flatnonzero((s[j] >= floor[j]) & (s[j] > -np.inf))
+                    if not len(c):
+                        continue
+                    score, i, key = (np.concatenate(z) for z in zip(best[j], (s[j, c], ids[c], keys[c])))
+                    order = np.lexsort((i, -score))
+                    _, one = np.unique(i[order], return_index=True)
+                    one = order[np.sort(one)[:k]]
+                    best[j] = score[one], i[one], key[one]
+                    floor[j] = score[one[-1]] if len(one) == k else -np.inf
+        yield pa.record_batch([pa.array(np.repeat(np.arange(len(q)), [len(z[0]) for z in best])),
+                               *(pa.array(np.concatenate([z[c] for z in best])) for c in (1, 2, 0))],
+                              names=["query", "vec_id", "key", "score"])
+
+    found = base.select("vec_id", "v", F.xxhash64("vec_id", "v").alias("key")).mapInArrow(
+        scan, "query long, vec_id long, key long, score double")
+    found = found.groupBy("query", "vec_id").agg(F.max(F.struct("score", "key")).alias("best"))
+    by = Window.partitionBy("query").orderBy(F.desc("best.score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query", "best.key")
+
+
+def fitted_ratio(centroids: Centroids, x: np.ndarray, size: np.ndarray, need: int, query: np.ndarray,
+                 key: np.ndarray, lists: np.ndarray) -> float:
+    """The smallest distance ratio at which the queries ``x`` read lists that hold
+    ``RECALL`` of their true nearest, given as (query, key, a list that holds it)."""
+    if not len(query):
+        return 1.0
+    d = centroids._distance(x, centroids.points)
+    ratio = np.sqrt(d[query, lists] / np.maximum(d.min(1), NEAR)[query])
+    _, one = np.unique(np.stack([query, key], 1), axis=0, return_inverse=True)
+    one = one.reshape(-1)
+    least = np.full(one.max() + 1, np.inf)
+    np.minimum.at(least, one, ratio)
+    least = np.sort(least)
+    at = int(np.ceil(RECALL * len(least))) - 1
+    while True:
+        reach = max(1.0, float(least[at])) * (1 + 1e-5)
+        read = np.zeros(d.shape, bool)
+        read[centroids.lists_read(x, size, reach, need)] = True
+        # the beam may miss a list: then the ratio grows
+        if at == len(least) - 1 or len(np.unique(one[read[query, lists]])) >= RECALL * len(least):
+            return reach
+        at = min(len(least) - 1, at + max(1, len(least) // 100))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP, id_col: str = "vec_id",
             vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score. Queries are rows of (vec_id, embedding);
@@ -151,7 +233,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
         return np.concatenate([q64, np.zeros((len(q), 1))], 1).astype(np.float32)
 
     share = max(2, int(LIST_ROWS * len(sample) / max(n, 1)))
-    graph = spark.sparkContext.broadcast(Centroids(split_clusters(lifted(sample), share, MAX_LISTS)))
+    centroids = Centroids(split_clusters(lifted(sample), share, MAX_LISTS))
+    graph = spark.sparkContext.broadcast(centroids)
 
     def index(batches):
         g = graph.value
@@ -172,27 +255,27 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
                                        part.column(1).take(pa.array(row))], names=["list", "vec_id", "v"])
 
     postings = materialize(base.mapInArrow(index, "list long, vec_id long, v array<float>"), "op8-postings")
-    lengths = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}   # at most MAX_LISTS
+    size = np.zeros(len(centroids.points), np.int64)
+    for r in postings.groupBy("list").count().collect():   # at most MAX_LISTS
+        size[r["list"]] = r["count"]
+    need = 4 * (k + 1) * REPLICAS
+
+    tried = asked.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(CALIBRATION).toArrow()
+    reach = 1.0
+    if tried.num_rows:
+        tried_id, tried = tried.column("vec_id").to_numpy(), _matrix(tried.column("v").combine_chunks(), dim)
+        held = postings.select("list", F.xxhash64("vec_id", "v").alias("key")).join(
+            F.broadcast(true_nearest(base, tried, tried_id, k)), "key").toArrow()   # at most CALIBRATION * k * REPLICAS
+        reach = fitted_ratio(centroids, scaled(tried), size, need, *(held.column(c).to_numpy() for c in ("query", "key", "list")))
 
     def probe(batches):
         g = graph.value
-        size = np.zeros(len(g.points), np.int64)
-        for li, c in lengths.items():
-            size[li] = c
-        need = 4 * (k + 1) * REPLICAS
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
                 q = scaled(_matrix(part.column(1), dim))
-                ids, d = g.search(q, max(BEAM, PROBES))
-                if size[ids].sum(1).min() < need:          # few rows in reach: look at all lists
-                    d = g._distance(q, g.points)
-                    ids = np.argsort(d, 1, kind="stable")
-                    d = np.take_along_axis(d, ids, 1)
-                held = np.cumsum(size[ids], 1) - size[ids]
-                take = (d <= (1 + REACH) ** 2 * d[:, :1] + 1e-12) & (np.arange(ids.shape[1]) < PROBES) | (held < need)
-                row, col = np.nonzero(take & (size[ids] > 0))
-                yield pa.record_batch([pa.array(ids[row, col]), part.column(0).take(pa.array(row)),
+                row, lists = g.lists_read(q, size, reach, need)
+                yield pa.record_batch([pa.array(lists), part.column(0).take(pa.array(row)),
                                        part.column(1).take(pa.array(row))], names=["list", "query_id", "q"])
 
     probes = materialize(asked.mapInArrow(probe, "list long, query_id long, q array<float>"), "op8-probes")

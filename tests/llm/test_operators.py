@@ -237,6 +237,23 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_many_lists(spark, monkeypatch):
+    """Recall does not hang on how many lists there are (here about 1,000)."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 3)
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=(3000, 48)).astype(np.float32)
+    y[:1000] *= rng.uniform(0.5, 1, (1000, 1)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df).collect():
+        got[r.query_id].add(r.vec_id)
+    asked = range(0, 3000, 20)
+    s = y.astype(float)[::20] @ y.astype(float).T
+    s[np.arange(150), list(asked)] = -np.inf
+    hits = sum(len(got[q] & set(np.argsort(-s[j])[:20].tolist())) for j, q in enumerate(asked))
+    assert hits >= 0.9 * 20 * 150
+
+
 def test_bpe(docs, empty, rows):
     from tokenizers import Tokenizer
 
