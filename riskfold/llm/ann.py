@@ -18,10 +18,11 @@ the largest by inner product; queries are scaled to norm M.
 * Search: a query takes the lists within that ratio of its nearest; where they
   may go beyond the beam, its distances to all centroids are taken. Long lists are split into blocks of ``BLOCK`` rows and the
   queries of a list likewise, so equal vectors by the million make more blocks,
-  not larger ones; nothing is dropped. A block gives its best per query, exact
-  in double precision on the original vectors, and they are merged.
+  not larger ones; nothing is dropped. A block gives its best ids per query,
+  exact in double precision on the original vectors, and they are merged.
 
-A query whose lists hold too few rows takes further ones up to all.
+A query whose lists hold too few rows takes further ones, and one that found
+fewer ids than there are searches all lists.
 
 Defined results: vectors that are null, zero, of another dimension than most, or
 hold null, NaN or infinite components take no part, nor do null ids. Rows that
@@ -213,13 +214,13 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
     base = clean(vectors)
     dims = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = dims.dim if dims else 1
-    base = materialize(base.filter(F.size("v") == dim), "op8-vectors")
+    base = materialize(base.filter(F.size("v") == dim).distinct(), "op8-vectors")   # repeated rows once
     asked = base.filter("vec_id % 20 = 0") if queries is None else clean(queries).filter(F.size("v") == dim)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
+    stats = base.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids"), F.max(norm).alias("m")).first()
     n, top = stats.n, float(stats.m or 1.0)
 
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    sample = base.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).select("v").toArrow()
     sample = _matrix(sample.column("v").combine_chunks(), dim) if n else np.ones((1, dim), np.float32)
 
     def lifted(x: np.ndarray) -> np.ndarray:
@@ -279,19 +280,6 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
                                        part.column(1).take(pa.array(row))], names=["list", "query_id", "q"])
 
     probes = materialize(asked.mapInArrow(probe, "list long, query_id long, q array<float>"), "op8-probes")
-    # blocks: rows of a list by hash of the id, queries of a list likewise
-    rows = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("row_blocks"))
-    qs = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("query_blocks"))
-    blocks = F.broadcast(rows.join(qs, "list"))            # one row per list: at most MAX_LISTS
-    left = (probes.join(blocks, "list")
-            .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")))
-            .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_blocks") - 1)))
-            .select("list", "qb", "rb", "query_id", "q"))
-    right = (postings.join(blocks, "list")
-             .withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
-             .select("list", "qb", "rb", "vec_id", "v"))
-
     def best(qt: pa.Table, vt: pa.Table) -> pa.Table:
         out = ([], [], [])
         if qt.num_rows and vt.num_rows:
@@ -299,10 +287,15 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
             x = _matrix(vt.column("v").combine_chunks(), dim).astype(np.float64)
             q = _matrix(qt.column("q").combine_chunks(), dim).astype(np.float64)
             qid = qt.column("query_id").to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            ids, x = ids[by_id], x[by_id]
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             for a in range(0, len(q), 256):
                 s = q[a:a + 256] @ x.T
                 s[qid[a:a + 256, None] == ids[None]] = -np.inf
-                kth = -np.partition(-s, min(k, s.shape[1]) - 1, 1)[:, min(k, s.shape[1]) - 1]
+                top_of = np.maximum.reduceat(s, first, axis=1)     # an id counts once, with its best row
+                last = min(k, len(first)) - 1
+                kth = -np.partition(-top_of, last, 1)[:, last]
                 for j in range(len(s)):
                     slack = 1e-9 * (1 + abs(kth[j])) if np.isfinite(kth[j]) else 0
                     c = np.flatnonzero((s[j] >= kth[j] - slack) & (s[j] > -np.inf))
@@ -316,9 +309,37 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()),
                          "score": pa.array(out[2], pa.float64())})
 
-    keys = ["list", "qb", "rb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    def search(probes: DataFrame) -> DataFrame:
+        # blocks: rows of a list by hash of the row, queries of a list likewise
+        rows = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("row_blocks"))
+        qs = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("query_blocks"))
+        blocks = F.broadcast(rows.join(qs, "list"))            # one row per list: at most MAX_LISTS
+        left = (probes.join(blocks, "list")
+                .withColumn("qb", F.pmod(F.xxhash64("query_id", "q"), F.col("query_blocks")))
+                .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_blocks") - 1)))
+                .select("list", "qb", "rb", "query_id", "q"))
+        right = (postings.join(blocks, "list")
+                 .withColumn("rb", F.pmod(F.xxhash64("vec_id", "v"), F.col("row_blocks")))
+                 .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
+                 .select("list", "qb", "rb", "vec_id", "v"))
+        keys = ["list", "qb", "rb"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return (found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+                .select("query_id", "rank", "vec_id", "score"))
+
+    found = materialize(search(probes), "op8-found")
+    # an id with many vectors can fill a query's lists: such queries search all
+    own = asked.select("vec_id").distinct().join(base.select("vec_id").distinct().withColumn("own", F.lit(1)), "vec_id", "left")
+    whole = (own.join(found.groupBy(F.col("query_id").alias("vec_id")).count(), "vec_id", "left")
+             .withColumn("want", F.least(F.lit(k), F.lit(stats.ids) - F.coalesce("own", F.lit(0))))
+             .filter(F.coalesce("count", F.lit(0)) < F.col("want")).select("vec_id"))
+    whole = materialize(whole, "op8-short")
+    if whole.isEmpty():
+        return found
+    every = spark.createDataFrame([(int(li),) for li in np.flatnonzero(size)], "list long")
+    again = (asked.join(whole, "vec_id", "left_semi").crossJoin(F.broadcast(every))
+             .select("list", F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+    whole = whole.withColumnRenamed("vec_id", "query_id")
+    return found.join(whole, "query_id", "left_anti").unionByName(search(materialize(again, "op8-again")))

@@ -254,6 +254,29 @@ def test_nearest_of_many_lists(spark, monkeypatch):
     assert hits >= 0.9 * 20 * 150
 
 
+def test_nearest_of_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 8)).round(3).astype(np.float32)
+    data = [(i, v) for i, v in enumerate(x)] * 2                                   # every row twice
+    data += [(301 + n, x[0] + rng.normal(size=8).astype(np.float32) / 50) for n in range(3) for _ in range(25)]
+    frame = lambda rows: spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "LIST_ROWS", 1 << 20)                                 # one list: exact
+    got = collections.defaultdict(list)
+    for r in sorted(ann.nearest(frame(data)).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 200, 20):
+        best = {}
+        for i, v in data:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float((v.astype(float) * x[q].astype(float)).sum()))
+        assert got[q] == sorted(best, key=lambda i: (-best[i], i))[:20]
+    # one id whose vectors fill the lists near the queries
+    monkeypatch.setattr(ann, "LIST_ROWS", 4)
+    crowd = [(7, x[0] + rng.normal(size=8).astype(np.float32) / 20) for _ in range(800)]
+    got = collections.Counter(r.query_id for r in ann.nearest(frame(data[:60] + crowd)).collect())
+    assert got == {q: 20 for q in range(0, 60, 20)}
+
+
 def test_bpe(docs, empty, rows):
     from tokenizers import Tokenizer
 
