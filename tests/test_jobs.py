@@ -45,3 +45,20 @@ def test_v1(spark):
     timings = jobs.run_end_to_end(spark, "v1", base_path=base_path, out_dir=os.path.join(d, "v1"),
                                   max_iter=3, rank_top=2)
     assert [r["status"] for r in timings.collect()] == ["ok"] * 4
+
+
+def test_queries_train_and_rank_whole(spark, monkeypatch):
+    """No column, feature, iteration or trial is left out of the registered queries."""
+    from riskfold.operators import encode as E
+    from riskfold.operators import ml
+    from riskfold.plans import catalog_ml as C
+
+    calls = {}
+    monkeypatch.setattr(C, "_MODELS", {})
+    monkeypatch.setattr(ml, "train_numeric", lambda df, feats, **kw: calls.update(df=df, feats=feats, kw=kw))
+    monkeypatch.setattr(ml, "permutation_importance", lambda model, df, feats, **kw: feats)
+    monkeypatch.setattr(ml, "random_search", lambda df, feats, **kw: (None, kw))
+    ranked = C._ranking(spark, SMOKE)
+    assert sorted(ranked) == sorted(set(calls["df"].columns) - {"TransactionID", "isFraud", "split"})
+    assert not E.string_columns(calls["df"].select(*ranked)) and "P_emaildomain" in ranked
+    assert calls["kw"] == {"max_iter": 1000} and C._search(spark, SMOKE) == {}
