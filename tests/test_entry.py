@@ -2,6 +2,7 @@
 
 import pytest
 
+from riskfold.plans import catalog
 from tests.oracle_harness import compare, duck
 
 SMOKE = "/root/testdata/sf0.001"
@@ -15,8 +16,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
-    import __spark_entry__ as e
-    q, o = e.queries(), e.oracle_sql()
+    q, o = catalog.spark_queries(), catalog.oracle_queries()
     assert set(o) <= set(q)
     rows_only = set(q) - set(o)
     assert rows_only <= {"score_v1", "score_v2", "importance_table", "feature_ranking",
