@@ -1,20 +1,22 @@
 """Exploratory aggregates (E1-E26) as DataFrame queries.
 
-Group statistics repeated on rows (pandas ``groupby().transform``) are a
-``groupBy`` joined back on the key rather than an unbounded window; distinct
-counts per key deduplicate (key, value) edges first. Quantiles use the
-distributed selection of ``selection.exact_quantiles`` once per group of a
-small, known set (class labels, bins), never a per-group value map in one
-task.
+A key's statistic repeated on its rows (pandas ``groupby().transform``) is not
+joined back to them: a description of the rows is one of the keys, each weighted
+by its rows (``key_degrees``, ``key_classes``), and quantiles of all classes come
+from the shared passes of ``weighted.weighted_stats``. Only a value that differs
+from row to row (the deviation from the card's mean) needs ``group_stat``'s join.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .selection import exact_quantiles
+from ..session import materialize
+from .weighted import MAX_GROUPS, weighted_stats
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -26,14 +28,6 @@ def group_stat(df: DataFrame, key: str, name: str, agg: Column) -> DataFrame:
     return df.join(stats, key, "left")
 
 
-def distinct_degree(df: DataFrame, key: str, other: str, name: str) -> DataFrame:
-    """Rows get the number of distinct non-NULL ``other`` values of their
-    ``key`` (0 when all are NULL; NULL key -> NULL)."""
-    edges = df.where(F.col(key).isNotNull()).select(key, other).distinct()
-    deg = edges.groupBy(key).agg(F.count(F.col(other)).alias(name))
-    return df.join(deg, key, "left")
-
-
 def right_closed_bins(x: Column, edges: list[float], labels: list[str]) -> Column:
     """pandas.cut(bins=edges, labels=labels): right-closed (e_i, e_i+1]."""
     expr = None
@@ -43,35 +37,56 @@ def right_closed_bins(x: Column, edges: list[float], labels: list[str]) -> Colum
     return expr
 
 
-def describe(df: DataFrame, col: str, by: str | None = None, groups=None,
-             percentiles=QUARTILES) -> DataFrame:
-    """count, mean, std, min, percentiles, max of ``col`` (per ``by``
-    group); NULLs excluded like pandas' describe."""
-    x = F.col(col)
-    base = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), F.max(x).alias("max")]
-    names = [f"q{int(round(p * 100))}" for p in percentiles]
-    if by is None:
-        row = df.agg(*base).first()
-        qs = exact_quantiles(df, col, percentiles)
-        vals = [(row["count"], row["mean"], row["std"], row["min"], *qs, row["max"])]
-        schema = ("count long, mean double, std double, min double, "
-                  + ", ".join(f"{n} double" for n in names) + ", max double")
-        return df.sparkSession.createDataFrame(vals, schema)
-    stats = {r[by]: r for r in df.groupBy(by).agg(*base).collect()}
-    groups = groups if groups is not None else sorted(stats, key=lambda v: (v is None, v))
-    rows = []
-    for g in groups:
-        r = stats.get(g)
-        if r is None:
-            continue
-        sub = df.where(F.col(by).eqNullSafe(F.lit(g)))
-        qs = exact_quantiles(sub, col, percentiles)
-        rows.append((g, r["count"], r["mean"], r["std"], r["min"], *qs, r["max"]))
-    by_type = df.schema[by].dataType.simpleString()
-    schema = (f"{by} {by_type}, count long, mean double, std double, min double, "
-              + ", ".join(f"{n} double" for n in names) + ", max double")
-    return df.sparkSession.createDataFrame(rows, schema)
+#: The label's values that ``key_classes`` counts.
+CLASSES = (0, 1, None)
+
+
+def key_degrees(df: DataFrame, key: str, other: str, label: str) -> DataFrame:
+    """One row per non-NULL ``key``: its number of distinct non-NULL ``other``
+    values, its rows, labelled rows and positives; the (key, other) edges are
+    aggregated first, so a hot key is combined on the map side."""
+    edges = df.where(F.col(key).isNotNull()).groupBy(key, other).agg(
+        F.count(F.lit(1)).alias("n"), F.count(label).alias("labelled"), F.sum(label).alias("pos"))
+    return edges.groupBy(key).agg(F.count(other).alias("degree"),
+                                  *[F.sum(c).alias(c) for c in ("n", "labelled", "pos")])
+
+
+def key_classes(df: DataFrame, key: str, stat: Column, label: str) -> DataFrame:
+    """One row per non-NULL ``key`` and class: the key's ``stat`` and its rows
+    ``n`` of the class, written once."""
+    counts = [F.count_if(F.col(label).eqNullSafe(F.lit(c))).alias(f"n_{k}") for k, c in enumerate(CLASSES)]
+    per = df.where(F.col(key).isNotNull()).groupBy(key).agg(stat.alias("stat"), *counts)
+    kind = df.schema[label].dataType.simpleString()
+    pairs = ", ".join(f"CAST({'NULL' if c is None else c} AS {kind}), n_{k}" for k, c in enumerate(CLASSES))
+    return materialize(per.selectExpr("stat", f"stack({len(CLASSES)}, {pairs}) AS (`{label}`, n)").where("n > 0"),
+                       "key-classes")
+
+
+def describe(df: DataFrame, col: str, by: str | None = None, groups=None, percentiles=QUARTILES,
+             weight: str | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """count, mean, std, min, percentiles, max of ``col`` (per ``by`` group), each
+    row standing for ``weight`` ones; NULL and NaN excluded like pandas' describe.
+    ``groups`` names the groups to look for (default: all, at most MAX_GROUPS);
+    those without rows are left out. ``sums`` adds sums over all rows of a group."""
+    x, sums = F.col(col), sums or {}
+    number, names = None, [None]
+    if by is not None:
+        if groups is None:
+            groups = [r[0] for r in df.select(by).distinct().limit(MAX_GROUPS + 1).collect()]
+        names = sorted(groups, key=lambda v: (v is None, v))
+        number = F.lit(None).cast("int")
+        for k, g in reversed(list(enumerate(names))):
+            number = F.when(F.col(by).eqNullSafe(F.lit(g)), k).otherwise(number)
+    stats = weighted_stats(df, x, F.col(weight) if weight else None, number, len(names), percentiles,
+                           {"__rows": F.lit(1), **sums})
+    rows = [((g,) if by else ()) + (st.n, st.mean, st.std, st.lo, *st.quantiles, st.hi,
+                                    *[None if st.sums[k] is None else int(st.sums[k]) for k in sums])
+            for g, st in zip(names, stats) if by is None or st.sums["__rows"]]
+    fields = ["count long", "mean double", "std double", "min double",
+              *[f"q{int(round(p * 100))} double" for p in percentiles], "max double", *[f"{k} long" for k in sums]]
+    if by:
+        fields.insert(0, f"{by} {df.schema[by].dataType.simpleString()}")
+    return df.sparkSession.createDataFrame(rows, ", ".join(fields))
 
 
 def rate_by(df: DataFrame, key: Column | str, target: str = "isFraud",
@@ -100,27 +115,44 @@ def equal_width_hist(df: DataFrame, col: Column, bins: int = 100) -> DataFrame:
     return v.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def null_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows per NULL pattern: one aggregation by the columns' NULL indicators as
+    a text of 0 and 1."""
+    mask = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in cols])
+    return df.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def null_indicator_corr(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of NULL indicators for every ordered pair, one
-    aggregation; a constant indicator gives NULL."""
-    ind = df.select(*[F.col(c).isNull().cast("double").alias(c) for c in cols])
-    aggs = []
-    pairs = [(a, b) for a in cols for b in cols]
-    for a, b in pairs:
-        aggs.append(F.corr(a, b).alias(f"{a}__{b}"))
-    row = ind.agg(*aggs).first()
-    vals = [(a, b, None if row[f"{a}__{b}"] is None or row[f"{a}__{b}"] != row[f"{a}__{b}"]
-             else float(row[f"{a}__{b}"])) for a, b in pairs]
+    """Pearson correlation of NULL indicators for every ordered pair; a constant
+    indicator gives NULL. Rows are counted per NULL pattern; the n(n-1)/2 pair
+    counts are sums over the patterns, and a correlation follows from them."""
+    patterns = null_patterns(df, cols)
+
+    def both(i, j):
+        bit = F.substring("mask", i + 1, 1) == "1"
+        return F.sum(F.when(bit if i == j else bit & (F.substring("mask", j + 1, 1) == "1"), F.col("n")).otherwise(0))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    row = patterns.agg(F.sum("n"), *[both(i, j) for i, j in pairs]).first()
+    n = int(row[0] or 0)
+    count = dict(zip(pairs, (int(x or 0) for x in row[1:])))
+
+    def corr(i, j):
+        a, b, ab = count[i, i], count[j, j], count[min(i, j), max(i, j)]
+        spread = a * (n - a) * b * (n - b)
+        return None if not spread else (n * ab - a * b) / math.sqrt(spread)
+    vals = [(a, b, corr(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return df.sparkSession.createDataFrame(vals, "col_a string, col_b string, corr double")
 
 
 def profile_table(df: DataFrame, target: str = "isFraud", exclude=("split",)) -> DataFrame:
-    """Per column: count, NULLs, distinct, mean/std (numeric), min/max, most
-    frequent value with its count and target rate.
+    """Per column: count, NULLs, distinct, mean/std/min/quartiles/max (numeric),
+    least and greatest text (others), most frequent value with its count and
+    target rate.
 
     One pass stacks (column, value-as-text) pairs and aggregates them per
     (column, value) with map-side combining; per-column results come from a
-    second aggregation over those (column, value) groups."""
+    second aggregation over those (column, value) groups. The numeric columns'
+    moments and quartiles come from shared passes over (column, value)."""
     cols = [c for c in df.columns if c not in exclude]
     numeric = [f.name for f in df.schema.fields
                if isinstance(f.dataType, T.NumericType) and f.name in cols]
@@ -128,23 +160,23 @@ def profile_table(df: DataFrame, target: str = "isFraud", exclude=("split",)) ->
     stacked = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (column_name, value)", f"`{target}` AS _y")
     per_value = stacked.groupBy("column_name", "value").agg(
         F.count(F.lit(1)).alias("n"), F.avg("_y").alias("rate"))
-    nonnull = per_value.where(F.col("value").isNotNull())
+    text = F.when(~F.col("column_name").isin(numeric), F.col("value"))
     per_col = per_value.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
-        F.count(F.col("value")).alias("n_distinct"))
-    top = nonnull.groupBy("column_name").agg(
+        F.count(F.col("value")).alias("n_distinct"), F.min(text).alias("min_text"), F.max(text).alias("max_text"),
         F.min_by(F.struct("value", "n", "rate"),
-                 F.struct((-F.col("n")).alias("k"), F.col("value").alias("v"))).alias("t"))
-    num = df.select(*numeric)
-    row = num.agg(*[a for c in numeric for a in (
-        F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"),
-        F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}"))]).first() \
-        if numeric else None
-    num_rows = [(c, row[f"m_{c}"], row[f"s_{c}"], row[f"lo_{c}"], row[f"hi_{c}"]) for c in numeric]
+                 F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))
+                 ).alias("t"))
+    rows = []
+    if numeric:
+        pairs = ", ".join(f"{k}, CAST(`{c}` AS DOUBLE)" for k, c in enumerate(numeric))
+        values = df.selectExpr(f"stack({len(numeric)}, {pairs}) AS (g, x)")
+        stats = weighted_stats(values, F.col("x"), None, F.col("g"), len(numeric), QUARTILES)
+        rows = [(c, st.mean, st.std, st.lo, *st.quantiles, st.hi) for c, st in zip(numeric, stats)]
     nums = df.sparkSession.createDataFrame(
-        num_rows, "column_name string, mean double, std double, min double, max double")
-    return (per_col.join(top, "column_name", "left").join(nums, "column_name", "left")
-            .select("column_name", "n_rows", "n_null", "n_distinct", "mean", "std", "min", "max",
-                    F.col("t.value").alias("top_value"), F.col("t.n").alias("top_count"),
+        rows, "column_name string, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
+    return (per_col.join(F.broadcast(nums), "column_name", "left")
+            .select("column_name", "n_rows", "n_null", "n_distinct", "mean", "std", "min", "q25", "q50", "q75", "max",
+                    "min_text", "max_text", F.col("t.value").alias("top_value"), F.col("t.n").alias("top_count"),
                     F.col("t.rate").alias("top_fraud_rate")))

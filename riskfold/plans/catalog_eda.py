@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import features as fxf
 from ..operators import profile as P
 from ..operators.selection import exact_quantiles
+from ..operators.weighted import weighted_stats
+from ..session import materialize
 from ..sources.fixtures import duckdb_prefix
 from .fixture import fixture
 
@@ -233,14 +235,16 @@ reg("eda_null_block", _null_block, plain(
     "SELECT avg(CAST(((id_01 IS NULL AND id_13 IS NULL AND id_16 IS NULL) = (id_01 IS NULL)) "
     "AS DOUBLE)) AS coverage FROM base"), ["coverage"])
 
-_KEYS = ["card1", "addr1", "P_emaildomain"]
+#: The fixture has no second card column: one is derived, NULL for some rows.
+_CARD2 = "CASE WHEN k % 7 <> 0 THEN card1 % 100 END"
+_KEYS = ["card1", "card2", "addr1", "P_emaildomain"]
 
 
 def _key_profile(spark, sf):
     """One scan: the keys are stacked as (key, value-as-text) pairs, grouped
     once per (key, value) with map-side combining (the NULL group included),
     then reduced to one profile row per key."""
-    b = _base(spark, sf)
+    b = _base(spark, sf).withColumn("card2", F.expr(_CARD2))
     pairs = ", ".join(f"'{k}', CAST(`{k}` AS STRING)" for k in _KEYS)
     st = b.selectExpr(f"stack({len(_KEYS)}, {pairs}) AS (key, value)", f"`{Y}` AS _y")
     per = st.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("r"))
@@ -253,11 +257,11 @@ def _key_profile(spark, sf):
         F.count(F.when(seen & (F.col("r") > 0.1), 1)).alias("n_groups_over_10pct"))
 
 
-reg("eda_key_profile", _key_profile, plain(" UNION ALL ".join(
-    f"SELECT '{k}' AS key, (SELECT count(DISTINCT {k}) FROM base) AS n_unique, "
-    f"(SELECT avg(CAST({k} IS NULL AS DOUBLE)) FROM base) AS null_rate, min(r) AS min_rate, "
+reg("eda_key_profile", _key_profile, ctes(f"keyed AS (SELECT *, {_CARD2} AS card2 FROM base)", " UNION ALL ".join(
+    f"SELECT '{k}' AS key, (SELECT count(DISTINCT {k}) FROM keyed) AS n_unique, "
+    f"(SELECT avg(CAST({k} IS NULL AS DOUBLE)) FROM keyed) AS null_rate, min(r) AS min_rate, "
     f"max(r) AS max_rate, count(*) FILTER (WHERE r > 0.1) AS n_groups_over_10pct "
-    f"FROM (SELECT {k}, avg(isFraud) AS r FROM base WHERE {k} IS NOT NULL GROUP BY {k}) g"
+    f"FROM (SELECT {k}, avg(isFraud) AS r FROM keyed WHERE {k} IS NOT NULL GROUP BY {k}) g"
     for k in _KEYS)), ["null_rate", "min_rate", "max_rate"])
 
 
@@ -278,10 +282,10 @@ reg("eda_rate_by_card_count", _card_count_bins, plain(
 
 
 def _deviation(spark, sf):
-    b = _base(spark, sf)
+    b = _base(spark, sf).select("card1", AMT, Y)
     rows = P.group_stat(b, "card1", "mean_amt", F.avg(AMT))
-    rows = rows.withColumn("amt_vs_card_mean", F.col(AMT) - F.col("mean_amt"))
-    return P.describe(rows, "amt_vs_card_mean", by=Y)
+    rows = rows.select(Y, (F.col(AMT) - F.col("mean_amt")).alias("amt_vs_card_mean"))
+    return P.describe(materialize(rows, "deviation"), "amt_vs_card_mean", by=Y, groups=P.CLASSES)
 
 
 reg("eda_deviation_by_class", _deviation, ctes(
@@ -317,12 +321,9 @@ def _uid_groups(b):
 
 
 def _uid_stats(spark, sf):
-    u = _uid_groups(_base(spark, sf))
-    d = P.describe(u, "fraud_rate")
-    cnt = u.agg(F.count(F.lit(1)).alias("n_uids"),
-                F.count(F.when(F.col("txn_count") > 1, 1)).alias("n_multi")).first()
-    return d.withColumns({"n_uids": F.lit(cnt["n_uids"]).cast("long"),
-                          "n_multi": F.lit(cnt["n_multi"]).cast("long")})
+    u = materialize(_uid_groups(_base(spark, sf)).select("txn_count", "fraud_rate"), "uids")
+    return P.describe(u, "fraud_rate", sums={"n_uids": F.lit(1),
+                                             "n_multi": F.when(F.col("txn_count") > 1, 1).otherwise(0)})
 
 
 _UID = ("u AS (SELECT card1, addr1, count(isFraud) AS txn_count, avg(isFraud) AS fraud_rate "
@@ -342,9 +343,8 @@ reg("eda_uid_bins", lambda s, sf: (
 
 
 def _std_by_class(spark, sf):
-    b = _base(spark, sf)
-    rows = P.group_stat(b, "card1", "card1_std", F.stddev_samp(AMT))
-    return P.describe(rows, "card1_std", by=Y)
+    cards = P.key_classes(_base(spark, sf), "card1", F.stddev_samp(AMT), Y)
+    return P.describe(cards, "stat", by=Y, groups=P.CLASSES, weight="n")
 
 
 reg("eda_std_by_class", _std_by_class, ctes(
@@ -354,10 +354,14 @@ reg("eda_std_by_class", _std_by_class, ctes(
 
 
 # ---- E19-E25 ------------------------------------------------------------------------------
+def _degrees(spark, sf, key, other):
+    return P.key_degrees(_base(spark, sf), key, other, Y)
+
+
 def _degree_rate(spark, sf, key, other, name, having, limit=None):
-    b = P.distinct_degree(_base(spark, sf), key, other, name)
-    out = (b.where(F.col(name).isNotNull()).groupBy(name)
-           .agg(F.avg(Y).alias("fraud_rate"), F.count(F.lit(1)).alias("n"))
+    out = (_degrees(spark, sf, key, other).groupBy(F.col("degree").alias(name))
+           .agg(F.try_divide(F.sum("pos").cast("double"), F.sum("labelled")).alias("fraud_rate"),
+                F.sum("n").alias("n"))
            .where(F.col("n") > having))
     if limit:
         out = out.orderBy(name).limit(limit)
@@ -385,13 +389,12 @@ reg("eda_addr_degree",
 
 
 def _email_card_degree(spark, sf):
-    b = P.distinct_degree(_base(spark, sf), "P_emaildomain", "card1", "email_card_degree")
-    b = b.withColumn("email_card_degree", F.col("email_card_degree").cast("double"))
-    qs = exact_quantiles(b, "email_card_degree", [i / 5 for i in range(6)])
-    edges = sorted(set(qs))
-    inner = edges[1:-1]
-    bucket = fxf.right_closed_bucket("email_card_degree", inner)
-    return P.rate_by(b.where(F.col("email_card_degree").isNotNull()), bucket, Y, "bucket")
+    per = materialize(_degrees(spark, sf, "P_emaildomain", "card1"), "degrees")
+    (st,) = weighted_stats(per, F.col("degree"), F.col("n"), probs=[i / 5 for i in range(6)])
+    bucket = fxf.right_closed_bucket("degree", sorted(set(st.quantiles))[1:-1])
+    return (per.withColumn("degree", F.col("degree").cast("double")).groupBy(bucket.alias("bucket"))
+            .agg(F.try_divide(F.sum("pos").cast("double"), F.sum("labelled")).alias("fraud_rate"),
+                 F.sum("n").alias("n")))
 
 
 reg("eda_email_card_degree", _email_card_degree, ctes(
@@ -405,15 +408,17 @@ reg("eda_email_card_degree", _email_card_degree, ctes(
     "AS fraud_rate, count(*) AS n FROM d GROUP BY 1"), ["fraud_rate"])
 
 
-def _device_rows(spark, sf):
-    b = _base(spark, sf)
-    return P.group_stat(b, "DeviceInfo", "device_txn_count", F.count(Y))
+def _devices(spark, sf):
+    """One row per device, the rows without one included: its labelled rows as
+    value (NULL without a device), rows, labelled rows and positives."""
+    return _base(spark, sf).groupBy("DeviceInfo").agg(
+        F.count(F.lit(1)).alias("n"), F.count(Y).alias("labelled"), F.sum(Y).alias("pos")).withColumn(
+        "device_txn_count", F.when(F.col("DeviceInfo").isNotNull(), F.col("labelled")))
 
 
 def _device_count(spark, sf):
-    return P.describe(_device_rows(spark, sf).withColumn(
-        "device_txn_count", F.col("device_txn_count").cast("double")), "device_txn_count",
-        percentiles=[0.25, 0.5, 0.75, 0.9, 0.99])
+    return P.describe(materialize(_devices(spark, sf), "devices"), "device_txn_count",
+                      percentiles=[0.25, 0.5, 0.75, 0.9, 0.99], weight="n")
 
 
 _DEV = ("dv AS (SELECT b.isFraud, CAST(g.n AS DOUBLE) AS v FROM base b LEFT JOIN "
@@ -424,27 +429,24 @@ reg("eda_device_count", _device_count, ctes(
     "quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS "
     "q75, quantile_cont(v, 0.9) AS q90, quantile_cont(v, 0.99) AS q99, max(v) AS max FROM dv"),
     ["mean", "std", "min", "q25", "q50", "q75", "q90", "q99", "max"])
-reg("eda_device_count_bins", lambda s, sf: P.rate_by(
-    _device_rows(s, sf), P.right_closed_bins(F.col("device_txn_count"), *DEV_BINS), Y,
-    "count_bin"),
+reg("eda_device_count_bins", lambda s, sf: _devices(s, sf).groupBy(
+    P.right_closed_bins(F.col("device_txn_count"), *DEV_BINS).alias("count_bin")).agg(
+    F.try_divide(F.sum("pos").cast("double"), F.sum("labelled")).alias("fraud_rate"), F.sum("n").alias("n")),
     ctes(_DEV, f"SELECT {_sql_bins('v', DEV_BINS)} AS count_bin, avg(isFraud) AS fraud_rate, "
          "count(*) AS n FROM dv GROUP BY 1"), ["fraud_rate"])
 
 
-def _pair_rows(spark, sf, other):
-    b = _base(spark, sf)
-    rates = b.groupBy("card1", other).agg(F.avg(Y).alias("pair_rate"))
-    return b.join(rates, b["card1"].eqNullSafe(rates["card1"])
-                  & b[other].eqNullSafe(rates[other]), "left").select(b[Y], "pair_rate")
+def _pairs(spark, sf, other):
+    """One row per pair of card and ``other`` (NULL is a value): rate and rows."""
+    return _base(spark, sf).groupBy("card1", other).agg(F.avg(Y).alias("pair_rate"), F.count(F.lit(1)).alias("n"))
 
 
 def _pair_rate(spark, sf):
-    rows = _pair_rows(spark, sf, "P_emaildomain")
-    d = P.describe(rows, "pair_rate")
-    c = rows.agg(F.count(F.when(F.col("pair_rate") == 1.0, 1)).alias("n_rows_at_1"),
-                 F.count(F.when(F.col("pair_rate") == 0.0, 1)).alias("n_rows_at_0")).first()
-    return d.withColumns({"n_rows_at_1": F.lit(c[0]).cast("long"),
-                          "n_rows_at_0": F.lit(c[1]).cast("long")})
+    pairs = materialize(_pairs(spark, sf, "P_emaildomain").select("pair_rate", "n"), "pairs")
+
+    def rows_at(rate):
+        return F.when(F.col("pair_rate") == rate, F.col("n")).otherwise(0)
+    return P.describe(pairs, "pair_rate", weight="n", sums={"n_rows_at_1": rows_at(1.0), "n_rows_at_0": rows_at(0.0)})
 
 
 reg("eda_pair_rate", _pair_rate, ctes(
@@ -457,9 +459,11 @@ reg("eda_pair_rate", _pair_rate, ctes(
 
 
 def _uid_rate(spark, sf):
-    rows = _pair_rows(spark, sf, "addr1")
-    return rows.agg((F.avg((F.col("pair_rate") == 1.0).cast("double")) * 100).alias("pct_rows_at_1"),
-                    (F.avg((F.col("pair_rate") == 0.0).cast("double")) * 100).alias("pct_rows_at_0"))
+    known = _pairs(spark, sf, "addr1").where(F.col("pair_rate").isNotNull())
+
+    def share(rate):
+        return F.try_divide(F.sum(F.when(F.col("pair_rate") == rate, F.col("n")).otherwise(0)).cast("double"), F.sum("n")) * 100
+    return known.agg(share(1.0).alias("pct_rows_at_1"), share(0.0).alias("pct_rows_at_0"))
 
 
 reg("eda_uid_rate", _uid_rate, ctes(
@@ -487,31 +491,30 @@ def _profile_sql() -> str:
         for c in _PROFILE_COLS)
     nums = " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, avg({c}) AS mean, stddev_samp({c}) AS std, "
-        f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM base"
+        f"CAST(min({c}) AS DOUBLE) AS min, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25, "
+        f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q50, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75, "
+        f"CAST(max({c}) AS DOUBLE) AS max FROM base"
         for c in _PROFILE_NUM)
+    texts = ", ".join(f"'{c}'" for c in _PROFILE_COLS if c not in _PROFILE_NUM)
     return ctes(
         f"st AS ({stacked}),\npv AS (SELECT column_name, value, count(*) AS n, avg(y) AS rate "
         "FROM st GROUP BY column_name, value),\n"
         "pc AS (SELECT column_name, sum(n) AS n_rows, sum(CASE WHEN value IS NULL THEN n ELSE 0 END) "
-        "AS n_null, count(value) AS n_distinct FROM pv GROUP BY column_name),\n"
+        f"AS n_null, count(value) AS n_distinct, min(value) FILTER (WHERE column_name IN ({texts})) AS min_text, "
+        f"max(value) FILTER (WHERE column_name IN ({texts})) AS max_text FROM pv GROUP BY column_name),\n"
         "tp AS (SELECT column_name, value AS top_value, n AS top_count, rate AS top_fraud_rate FROM "
         "(SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rn FROM pv "
         "WHERE value IS NOT NULL) t WHERE rn = 1),\n"
         f"nm AS ({nums})",
         "SELECT pc.column_name, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_null AS BIGINT) AS n_null, "
-        "n_distinct, mean, std, min, max, top_value, top_count, top_fraud_rate FROM pc "
+        "n_distinct, mean, std, min, q25, q50, q75, max, min_text, max_text, top_value, top_count, top_fraud_rate FROM pc "
         "LEFT JOIN tp USING (column_name) LEFT JOIN nm USING (column_name)")
 
 
-reg("profile_table", _profile, _profile_sql(), ["mean", "std", "min", "max", "top_fraud_rate"])
+reg("profile_table", _profile, _profile_sql(), ["mean", "std", "min", "q25", "q50", "q75", "max", "top_fraud_rate"])
 
 
 # ---- E19 / E20 extra outputs: value counts and describe of the row degrees --------------
-def _deg_rows(spark, sf, key, other, name):
-    b = P.distinct_degree(_base(spark, sf), key, other, name)
-    return b.where(F.col(name).isNotNull()).withColumn(name, F.col(name).cast("double"))
-
-
 def _deg_sql(key, other, name):
     return (f"dg AS (SELECT CAST(d.{name} AS DOUBLE) AS v FROM base b JOIN (SELECT {key}, "
             f"count(DISTINCT {other}) AS {name} FROM base WHERE {key} IS NOT NULL GROUP BY {key}) d "
@@ -519,18 +522,18 @@ def _deg_sql(key, other, name):
 
 
 reg("eda_card_email_degree_top10", lambda s, sf: (
-    _deg_rows(s, sf, "card1", "P_emaildomain", "card_email_degree")
-    .groupBy("card_email_degree").agg(F.count(F.lit(1)).alias("n"))
+    _degrees(s, sf, "card1", "P_emaildomain")
+    .groupBy(F.col("degree").cast("double").alias("card_email_degree")).agg(F.sum("n").alias("n"))
     .orderBy(F.col("n").desc(), "card_email_degree").limit(10)),
     ctes(_deg_sql("card1", "P_emaildomain", "card_email_degree"),
          "SELECT v AS card_email_degree, count(*) AS n FROM dg GROUP BY v "
          "ORDER BY n DESC, v LIMIT 10"), ["card_email_degree"])
 reg("eda_card_email_degree_describe", lambda s, sf: P.describe(
-    _deg_rows(s, sf, "card1", "P_emaildomain", "card_email_degree"), "card_email_degree"),
+    materialize(_degrees(s, sf, "card1", "P_emaildomain"), "degrees"), "degree", weight="n"),
     ctes(_deg_sql("card1", "P_emaildomain", "card_email_degree"), _sql_describe("v", "dg")),
     _DESC_FLOATS)
 reg("eda_email_card_degree_describe", lambda s, sf: P.describe(
-    _deg_rows(s, sf, "P_emaildomain", "card1", "email_card_degree"), "email_card_degree"),
+    materialize(_degrees(s, sf, "P_emaildomain", "card1"), "degrees"), "degree", weight="n"),
     ctes(_deg_sql("P_emaildomain", "card1", "email_card_degree"), _sql_describe("v", "dg")),
     _DESC_FLOATS)
 
