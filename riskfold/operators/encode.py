@@ -163,12 +163,14 @@ def select_final(df: DataFrame, top_raw: list[str] | None, raw_columns: list[str
 def select_features(df: DataFrame, mode: str, top_raw: list[str] | None = None,
                     target: str = TARGET, split_col: str = "split") -> DataFrame:
     """P5: "all" -> unchanged; "top50" -> top raw + 15 engineered + target,
-    order-preserving de-duplication."""
+    order-preserving de-duplication. "top50" needs the list of top raw columns."""
     if mode == "all":
         return df
     if mode != "top50":
         raise ValueError(f"mode must be 'all' or 'top50', got {mode!r}")
-    wanted = list(top_raw or []) + TOP50_ENGINEERED + [target]
+    if not top_raw:
+        raise FileNotFoundError("mode 'top50' needs the list of top features: rank a V1 model first, or use 'all'")
+    wanted = list(top_raw) + TOP50_ENGINEERED + [target]
     present = [c for c in dict.fromkeys(wanted) if c in df.columns]
     absent = [c for c in wanted if c not in df.columns]
     if absent:

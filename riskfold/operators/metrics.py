@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import SWEEP_THRESHOLDS
 from ..session import materialize
-from .prefix import running_totals_with_sums
+from .prefix import grouped_running_totals, running_totals_with_sums
 
 
 def evaluated(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -121,6 +121,20 @@ def average_precision(scores: DataFrame, y: str = "y", p: str = "p") -> DataFram
     return s.select(F.try_divide(F.col("s"), F.col("P")).alias("average_precision"))
 
 
+def grouped_ranking(scores: DataFrame, by: str, y: str = "y", p: str = "p") -> DataFrame:
+    """ROC-AUC and step-wise AP of many score columns at once: one row per group
+    ``by`` (an iteration, a permuted feature) from one grouped running total."""
+    g = evaluated(scores, y, p).where(F.col(by).isNotNull()).groupBy(by, F.col(p).alias("score")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
+    g = grouped_running_totals(materialize(g, "score-groups"), by, "score", ["n", "pos"], descending=True)
+    neg = F.col("n") - F.col("pos")
+    s = g.groupBy(by).agg(F.sum(neg * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)).alias("a"),
+                          F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("b"),
+                          F.sum("pos").alias("P"), F.sum(neg).alias("N"))
+    return s.select(by, F.try_divide("a", F.col("P").cast("double") * F.col("N")).alias("auc_roc"),
+                    F.try_divide("b", F.col("P").cast("double")).alias("average_precision"))
+
+
 def roc_points(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(threshold, fpr, tpr) per distinct score plus the origin (threshold
     NULL); collinear points are kept."""

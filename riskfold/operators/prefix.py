@@ -47,3 +47,24 @@ def running_totals_with_sums(df: DataFrame, order_col: str, cols: list[str],
         f"{prefix}{c}": (F.sum(c).over(w) + F.col(f"_off_{c}")) for c in cols
     }).drop("_rng", *[f"_off_{c}" for c in cols])
     return out, dict(acc)
+
+
+def grouped_running_totals(df: DataFrame, by: str, order_col: str, cols: list[str], descending: bool = True,
+                           ranges: int | None = None, prefix: str = "cum_") -> DataFrame:
+    """``cum_<c>`` per group ``by``: the running totals of every group from one
+    range partitioning by (group, order value). A group may span many ranges and a
+    range hold many groups; the offsets are one row per (group, range), at most
+    as many as there are ranges and groups together. (``by``, ``order_col``) must
+    be unique per row and not NULL."""
+    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    ranges = ranges or df.count() // RANGE_ROWS + 1
+    ranged = materialize(df.repartitionByRange(ranges, F.col(by), o).withColumn("_rng", F.spark_partition_id()),
+                         "group-ranges")
+    before = Window.partitionBy(by).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    off = (ranged.groupBy(by, "_rng").agg(*[F.sum(c).alias(c) for c in cols])
+           .select(F.col(by).alias("_by"), F.col("_rng").alias("_r"),
+                   *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in cols]))
+    w = Window.partitionBy(by, "_rng").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.join(off, (F.col(by) == F.col("_by")) & (F.col("_rng") == F.col("_r")))
+    return out.withColumns({f"{prefix}{c}": F.sum(c).over(w) + F.col(f"_off_{c}") for c in cols}).drop(
+        "_by", "_r", "_rng", *[f"_off_{c}" for c in cols])

@@ -114,3 +114,27 @@ FROM bcm"""), ["auc_roc", "auprc", "f1", "precision", "recall", "threshold_used"
 reg("class_weight", lambda s, sf: M.class_weight(fixture(s, sf).train),
     duckdb_prefix() + "SELECT sum(1 - isFraud) / CAST(sum(isFraud) AS DOUBLE) AS class_weight "
     "FROM train", ["class_weight"])
+
+
+# ---- staged margins: the ranking metrics of every iteration ------------------------------
+#: Margins of eight stages over the val rows: each stage adds a number that follows
+#: from the row, as a tree's leaf would.
+_STAGES = """stage AS (SELECT TransactionID AS id, isFraud AS y, i AS iteration,
+  CAST(((TransactionID * 13 + k * (7 + i)) % 50) + isFraud * (i % 4) * 8 AS BIGINT) AS step
+  FROM {base} CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) t(i) WHERE split = 'val'),
+margins AS (SELECT id, y, iteration,
+  CAST(sum(step) OVER (PARTITION BY id ORDER BY iteration) AS DOUBLE) / 100 AS margin FROM stage)"""
+
+
+def _staged(spark, sf):
+    margins = spark.sql("WITH " + _STAGES.format(base="{base}") + " SELECT * FROM margins", base=fixture(spark, sf).base)
+    return M.grouped_ranking(margins, "iteration", p="margin")
+
+
+reg("staged_auc", _staged, duckdb_prefix(_STAGES.format(base="base") + """,
+sg AS (SELECT iteration, margin, count(*) AS n, sum(y) AS pos FROM margins GROUP BY iteration, margin),
+sc AS (SELECT *, n - pos AS neg, sum(n) OVER w AS cum_n, sum(pos) OVER w AS cum_pos FROM sg
+  WINDOW w AS (PARTITION BY iteration ORDER BY margin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
+    + "SELECT iteration, sum(neg * (cum_pos - pos + pos / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS auc_roc, "
+      "sum(pos * CAST(cum_pos AS DOUBLE) / cum_n) / sum(pos) AS average_precision FROM sc GROUP BY iteration",
+    ["auc_roc", "average_precision"])

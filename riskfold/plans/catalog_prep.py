@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import ALL_ENGINEERED_FEATURES, BINARY_FLAGS, TOP50_ENGINEERED
 from ..operators import encode as E
@@ -10,6 +13,7 @@ from ..operators import validate as V
 from ..sources.fixtures import BASE_COLUMNS
 from .catalog_core import ENRICHED_FLOATS, plain, with_params
 from .fixture import fixture
+from ..session import ensure_checkpoint_dir
 from .prep_jobs import prepare_categorical, prepare_indexed
 
 Q: dict = {}
@@ -113,7 +117,11 @@ reg("select_final", _final, with_final("SELECT * FROM final"), ENRICHED_FLOATS)
 
 
 def _top50(spark, sf):
-    return E.select_features(_final(spark, sf), "top50", TOP_RAW)
+    """The list comes from a document, as V1's ranking writes it."""
+    from ..sources import io
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-tables/top-{uuid.uuid4().hex[:12]}"
+    io.write_json_doc(spark, path, {"top_features": TOP_RAW})
+    return E.select_features(_final(spark, sf), "top50", io.load_top_features(spark, path))
 
 
 _TOP50_COLS = list(dict.fromkeys(TOP_RAW + [c for c in TOP50_ENGINEERED
@@ -208,6 +216,53 @@ def _manifest(spark, sf):
 
 
 _N_FINAL = len(RAW) + len(ALL_ENGINEERED_FEATURES) + 1
+
+
+def _published(spark, sf):
+    """The enriched splits written once, checked as written, published and read back."""
+    from ..sources import io
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-tables/published-{uuid.uuid4().hex[:12]}"
+    io.publish_splits(_final(spark, sf), path, V.validate_output)
+    return io.read_published(spark, path)
+
+
+reg("publish_splits", _published, with_final("SELECT * FROM final"), ENRICHED_FLOATS)
+
+
+# ---- S1: a CSV with malformed lines -------------------------------------------------------
+_LINE = ("CASE WHEN event_id % 11 = 0 THEN concat(event_id, ',', user_id, ',', event_type, ',extra') "
+         "WHEN event_id % 13 = 0 THEN concat(event_id, ',', user_id) "
+         "WHEN event_id % 17 = 0 THEN concat(event_id, ',u', user_id, ',', event_type) "
+         "WHEN event_id % 19 = 0 THEN concat(event_id, ',NA,', event_type) "
+         "ELSE concat(event_id, ',', user_id, ',', event_type) END")
+
+
+def _quarantine(spark, sf):
+    """Every event as a line of a CSV, some broken by rule: rows read and set aside."""
+    from ..sources import io
+    from ..sources.fixtures import read_table
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-tables/lines-{uuid.uuid4().hex[:12]}"
+    lines = read_table(spark, sf, "events").select(F.expr(_LINE).alias("event_id,user_id,event_type"))
+    lines.write.option("header", True).option("sep", "\u0001").csv(path)
+    rows, bad = io.read_csv_quarantine(spark, path, T.StructType.fromDDL(
+        "event_id LONG, user_id LONG, event_type STRING"))
+    good = rows.agg(F.lit("read").alias("outcome"), F.lit(None).cast("string").alias("column_name"),
+                    F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.count("user_id").alias("users"))
+    aside = bad.groupBy(F.col("reason").alias("outcome"), F.col("column").alias("column_name")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.substring_index("line", ",", 1).cast("long")).alias("ids"),
+        F.lit(0).cast("long").alias("users"))
+    return good.unionByName(aside)
+
+
+reg("csv_quarantine", _quarantine, """
+SELECT CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'fields' WHEN event_id % 17 = 0 THEN 'value'
+       ELSE 'read' END AS outcome,
+       CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 = 0 THEN 'user_id' END AS column_name,
+       count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids,
+       CAST(sum(CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0 OR event_id % 19 = 0 THEN 0
+                ELSE 1 END) AS BIGINT) AS users
+FROM events GROUP BY 1, 2
+""")
 reg("split_manifest", _manifest, with_final(
     f"SELECT split, count(*) AS n_rows, CASE WHEN split = 'test' THEN {_N_FINAL - 1} "
     f"ELSE {_N_FINAL} END AS n_cols FROM final GROUP BY split"))

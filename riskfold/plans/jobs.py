@@ -45,8 +45,8 @@ def run_feature_pipeline(spark: SparkSession, base_path: str, out_path: str, par
                          cfg: FeatureConfig = FeatureConfig(), top_features_path: str | None = None,
                          target: str = TARGET) -> dict:
     """O3: load splits -> check inputs -> fit on train, apply to all ->
-    select final columns -> validate (raise on failure) -> write splits with
-    manifest -> save parameters."""
+    select final columns -> write them once, validate what was written and only
+    then publish it with its manifest -> save parameters."""
     base = io.read_splits(spark, base_path)
     absent = V.require_columns(base, REQUIRED_INPUTS + [target], OPTIONAL_INPUTS)
     params = fj.fit(base, cfg)
@@ -58,9 +58,8 @@ def run_feature_pipeline(spark: SparkSession, base_path: str, out_path: str, par
     exempt = [f for f, src in (("device_txn_count", "DeviceInfo"), ("addr_is_unique", "addr1"),
                                ("card_device_is_high", "DeviceInfo"),
                                ("uid_fraud_rate", "addr1")) if src in absent]
-    checks = V.validate_output(final, exempt_all_null=exempt)
-    V.raise_failures(checks)
-    manifest = io.write_splits_with_manifest(final, out_path, target=target)
+    manifest = io.publish_splits(final, out_path, lambda rows: V.validate_output(rows, exempt_all_null=exempt),
+                                 target=target)
     summary = {r["param_table"]: r["n_entries"] for r in io.save_params(params, params_path)
                .collect()}
     return {"manifest": manifest, "params": summary, "absent_optional": absent}
@@ -68,22 +67,37 @@ def run_feature_pipeline(spark: SparkSession, base_path: str, out_path: str, par
 
 def run_v2(spark: SparkSession, enriched_path: str, out_dir: str, mode: str = "all",
            trials: int = 50, search_iter: int = 500, final_iter: int = 5000,
-           timer: StageTimer | None = None) -> DataFrame:
-    """O5 + O6 + O7: categorical matrix, seeded search on val AUC, final fit,
-    val scoring, report, importances, model. Returns the report row."""
+           timer: StageTimer | None = None, top_features_path: str | None = None,
+           patience: int = 100) -> DataFrame:
+    """O5 + O6 + O7: categorical matrix, seeded search on val AUC, final fit
+    stopped by the val AUC, val scoring, report, importances, model. Mode "top50"
+    takes its raw columns from the document at ``top_features_path`` (V1 writes
+    one); each mode has its own matrix folder. Returns the report row."""
     t = timer or StageTimer(spark)
-    enriched = spark.read.parquet(enriched_path)
-    mat, cats, checks = t.run("prep", prepare_categorical, enriched, mode)
-    V.raise_failures(checks)
-    t.run("save_matrix", io.write_splits_with_manifest, mat, os.path.join(out_dir, "matrix"), mode)
+    top = None
+    if mode == "top50":
+        top = io.load_top_features(spark, top_features_path) if top_features_path else None
+        if not top:
+            raise FileNotFoundError(f"mode 'top50' needs a top-feature document, none at {top_features_path}")
+    enriched = io.read_published(spark, enriched_path)
+    mat, cats, _ = t.run("prep", prepare_categorical, enriched, mode, top)
+    names = [c for c in mat.columns if c not in (TARGET, "split")]
+    matrix_path = os.path.join(out_dir, f"matrix_{mode}")
+    t.run("save_matrix", io.publish_splits, mat, matrix_path,
+          lambda rows: V.validate_ready(rows, cats, E.numeric_columns(rows, (TARGET,)), TARGET), mode)
+    mat = io.read_published(spark, matrix_path).select("split", *names, TARGET)
     io.save_cat_features(spark, cats, os.path.join(out_dir, "cat_features"), mode=mode)
     numeric = E.numeric_columns(mat, (TARGET,))
     labelled = mat.where(F.col("split").isin("train", "val"))
     best, trial_df = t.run("search", ml.random_search, labelled, numeric, trials,
                            42, search_iter)
     trial_df.write.mode("overwrite").parquet(os.path.join(out_dir, "trials"))
-    best = dict(best, max_iter=final_iter)
-    model = t.run("train", ml.train_categorical, labelled, cats, numeric, **best)
+    best = {k: v for k, v in best.items() if k != "max_iter"}
+    trained = t.run("train", ml.train_staged, labelled, numeric, cats, patience=patience, metric="auc_roc",
+                    max_iter=final_iter, **best)
+    io.write_json_doc(spark, os.path.join(out_dir, "best_params"), dict(best, iterations=trained.iterations))
+    io.write_report(trained.curve, os.path.join(out_dir, "curve"))
+    model = trained.model
     io.save_model(model, os.path.join(out_dir, "model"))
     model = io.load_model(os.path.join(out_dir, "model"))   # evaluate the saved model
     scores = ml.score(model, mat.where(F.col("split") == "val"))
@@ -95,23 +109,28 @@ def run_v2(spark: SparkSession, enriched_path: str, out_dir: str, mode: str = "a
 
 
 def run_v1(spark: SparkSession, base_path: str, out_dir: str, max_iter: int = 1000,
-           rank_top: int = 50, timer: StageTimer | None = None) -> DataFrame:
-    """O4 + O8: indexed matrix, weighted GBT with val early stopping, test
-    scoring, AUC/AP/PR curve, permutation ranking of all features, cut to the top."""
+           rank_top: int = 50, timer: StageTimer | None = None, patience: int = 50) -> DataFrame:
+    """O4 + O8: indexed matrix, weighted GBT stopped by the val AP, test scoring,
+    AUC/AP/PR curve, permutation ranking of all features: the full table, and the
+    names of the best ``rank_top`` as ``top_features.json`` for V2's mode "top50"."""
     t = timer or StageTimer(spark)
     base = io.read_splits(spark, base_path)
-    mat, codes = t.run("prep", prepare_indexed, base)
-    mat = mat.withColumn("TransactionID", F.monotonically_increasing_id())
+    mat, codes = t.run("prep", prepare_indexed, base, keep_id=True)
     feats = [c for c in E.split_xy(mat)[0] if c != "TransactionID"]
-    model = t.run("train", ml.train_numeric, mat, feats, max_iter=max_iter)
+    trained = t.run("train", ml.train_staged, mat, feats, patience=patience, max_iter=max_iter)
+    model = trained.model
+    io.write_report(trained.curve, os.path.join(out_dir, "curve"))
     io.save_model(model, os.path.join(out_dir, "model"))
     test = mat.where(F.col("split") == "test")
     scores = ml.score(model, test)
     metrics = t.run("evaluate", lambda: M.auc_roc(scores).first()[0])
     ap = M.average_precision(scores).first()[0]
     io.write_report(M.pr_points(scores), os.path.join(out_dir, "pr_curve"))
-    ranking = t.run("rank", ml.permutation_importance, model, test, feats)   # all, then the top
-    ranking.limit(rank_top).write.mode("overwrite").option("header", True).csv(os.path.join(out_dir, "ranking"))
+    tested = trained.matrix.where(F.col("split") == "test")
+    ranking = t.run("rank", ml.permutation_importance, model, tested, feats)
+    ranking.write.mode("overwrite").option("header", True).csv(os.path.join(out_dir, "ranking"))
+    top = [r["feature"] for r in ranking.limit(rank_top).collect()]
+    io.write_json_doc(spark, os.path.join(out_dir, "top_features.json"), {"top_features": top})
     return spark.createDataFrame([(metrics, ap)], "auc_roc double, average_precision double")
 
 

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import json
 import os
+import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,19 @@ from pyspark.sql import types as T
 from ..config import NA_TOKENS, TARGET
 
 
+def path_kind(spark: SparkSession, path: str) -> str | None:
+    """"file" or "folder", None if nothing is there; asked of the path's own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    return "folder" if fs.getFileStatus(p).isDirectory() else "file"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return path_kind(spark, path) is not None
+
+
 # ---- S1 ----------------------------------------------------------------------------
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              na_tokens=NA_TOKENS) -> DataFrame:
@@ -26,14 +42,58 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     (explicit ``schema`` casts, else a parse-share rule like pandas').
 
     Raises FileNotFoundError / ValueError like the reference loader."""
-    if not path.endswith(".csv") and not os.path.isdir(path):
+    _check_csv_path(spark, path)
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return _typed(_without_na(raw, na_tokens), schema, path)
+
+
+def _check_csv_path(spark: SparkSession, path: str) -> None:
+    kind = path_kind(spark, path)
+    if not path.endswith(".csv") and kind != "folder":
         raise ValueError(f"not a .csv path: {path}")
-    if not os.path.exists(path) and "://" not in path:
+    if kind is None:
         raise FileNotFoundError(path)
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+
+def _without_na(raw: DataFrame, na_tokens) -> DataFrame:
     tokens = F.array(*[F.lit(t) for t in na_tokens])
-    clean = raw.select(*[F.when(F.array_contains(tokens, F.col(c)), None)
-                         .otherwise(F.col(c)).alias(c) for c in raw.columns])
+    return raw.select(*[F.when(F.array_contains(tokens, F.col(f"`{c}`")), None)
+                        .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_quarantine(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                        na_tokens=NA_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """``read_csv`` that keeps going over malformed lines: (rows, quarantine). A
+    line with more or fewer fields than the header is set aside whole, as is one
+    whose text is no value of its ``schema`` column; quarantine is (line, reason,
+    column). Neither is read twice: the parsed lines are written once."""
+    from ..session import materialize
+
+    _check_csv_path(spark, path)
+    names = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    raw = (spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    parsed = materialize(raw, "csv-lines")
+    whole = _without_na(parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT), na_tokens)
+    bad = parsed.where(F.col(CORRUPT).isNotNull()).select(
+        F.col(CORRUPT).alias("line"), F.lit("fields").alias("reason"), F.lit(None).cast("string").alias("column"))
+    if schema is not None:
+        wrong = F.array_compact(F.array(*[
+            F.when(F.col(f"`{f.name}`").isNotNull() & F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()}) IS NULL"),
+                   F.lit(f.name)) for f in schema.fields]))
+        whole = whole.withColumn("_wrong", wrong)
+        line = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names])
+        bad = bad.unionByName(whole.where(F.size("_wrong") > 0).select(
+            line.alias("line"), F.lit("value").alias("reason"), F.element_at("_wrong", 1).alias("column")))
+        whole = whole.where(F.size("_wrong") == 0).drop("_wrong")
+    return _typed(whole, schema, path), bad
+
+
+def _typed(clean: DataFrame, schema: T.StructType | None, path: str) -> DataFrame:
     if schema is not None:
         clean = clean.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})")
                                .alias(f.name) for f in schema.fields])
@@ -72,7 +132,7 @@ def infer_numeric(df: DataFrame) -> DataFrame:
 def read_splits(spark: SparkSession, path: str, splits=("train", "val", "test"),
                 split_col: str = "split") -> DataFrame:
     """Partitioned split table; checks that every named split is present."""
-    df = spark.read.parquet(path)
+    df = nan_to_null(spark.read.parquet(path))
     found = {r[0] for r in df.select(split_col).distinct().collect()}
     missing = [s for s in splits if s not in found]
     if missing:
@@ -80,6 +140,14 @@ def read_splits(spark: SparkSession, path: str, splits=("train", "val", "test"),
     return df.where(F.col(split_col).isin(*splits))
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in floating columns as NULL: the one missing value of the engine."""
+    kinds = (T.DoubleType, T.FloatType)
+    fix = {f.name: F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`"))
+           for f in df.schema.fields if isinstance(f.dataType, kinds)}
+    return df.withColumns(fix) if fix else df
+
+
 # ---- S5 / S6 / S7 -------------------------------------------------------------------------
 def write_table(df: DataFrame, path: str, partition_by: str | None = None,
                 fmt: str = "parquet") -> None:
@@ -104,6 +172,61 @@ def split_manifest(df: DataFrame, target: str = TARGET, split_col: str = "split"
         .otherwise(F.lit(n_cols)))
 
 
+def publish_splits(df: DataFrame, path: str, check: Callable[[DataFrame], DataFrame] | None = None,
+                   mode: str | None = None, target: str = TARGET, split_col: str = "split") -> dict:
+    """Publish a table partitioned by split, after checks of what was written.
+
+    ``df`` is computed once, into a folder of its own under ``path/versions``.
+    ``check`` gives the check table (a boolean or 0/1 column ``ok``) of the written
+    rows; any failure raises, and the version that was live stays so. Otherwise a
+    line of ``path/_published`` names the new version together with the manifest
+    (rows, columns, dtype classes, target placement); appending that line is the
+    only step a reader can see."""
+    from ..operators.validate import raise_failures
+
+    spark = df.sparkSession
+    out = df.withColumn(target, F.when(F.col(split_col) != "test", F.col(target))) \
+        if target in df.columns else df
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    staged = os.path.join(path, "versions", version)
+    out.write.partitionBy(split_col).parquet(staged)
+    written = spark.read.schema(_split_last(out, split_col)).parquet(staged)
+    man = {r[split_col]: {"rows": r["n_rows"], "cols": r["n_cols"]}
+           for r in split_manifest(written, target, split_col).collect()}
+    if not man:
+        raise ValueError(f"refusing to publish an empty table to {path}")
+    if check is not None:
+        raise_failures(check(written))
+    manifest = _manifest(df, man, mode, split_col) | {"version": version}
+    spark.createDataFrame([(version, json.dumps(manifest))], "version string, manifest string").coalesce(1) \
+        .write.mode("append").json(os.path.join(path, "_published"))
+    return manifest
+
+
+def _split_last(df: DataFrame, split_col: str) -> T.StructType:
+    return T.StructType([f for f in df.schema.fields if f.name != split_col] + [df.schema[split_col]])
+
+
+def live_version(spark: SparkSession, path: str) -> dict:
+    """The manifest of the version published last."""
+    if not path_exists(spark, os.path.join(path, "_published")):
+        raise FileNotFoundError(f"nothing was published under {path}")
+    row = spark.read.schema("version string, manifest string").json(os.path.join(path, "_published")) \
+        .orderBy(F.desc("version")).first()
+    return json.loads(row["manifest"])
+
+
+def read_published(spark: SparkSession, path: str, splits=("train", "val", "test"),
+                   split_col: str = "split") -> DataFrame:
+    """The live version of a published table, every named split checked to be there."""
+    manifest = live_version(spark, path)
+    missing = [s for s in splits if s not in manifest["splits"]]
+    if missing:
+        raise FileNotFoundError(f"splits missing under {path}: {missing}")
+    df = nan_to_null(spark.read.parquet(os.path.join(path, "versions", manifest["version"])))
+    return df.where(F.col(split_col).isin(*splits))
+
+
 def write_splits_with_manifest(df: DataFrame, path: str, mode: str | None = None,
                                target: str = TARGET, split_col: str = "split") -> dict:
     """One table partitioned by split + ``manifest.json`` (rows,
@@ -113,6 +236,12 @@ def write_splits_with_manifest(df: DataFrame, path: str, mode: str | None = None
     write_table(out, path, partition_by=split_col)
     man = {r[split_col]: {"rows": r["n_rows"], "cols": r["n_cols"]}
            for r in split_manifest(df, target, split_col).collect()}
+    manifest = _manifest(df, man, mode, split_col)
+    _write_json(df.sparkSession, os.path.join(path, "_manifest"), manifest)
+    return manifest
+
+
+def _manifest(df: DataFrame, man: dict, mode: str | None, split_col: str) -> dict:
     classes = {"numeric": [], "categorical": [], "other": []}
     for f in df.schema.fields:
         if f.name == split_col:
@@ -120,11 +249,13 @@ def write_splits_with_manifest(df: DataFrame, path: str, mode: str | None = None
         k = ("numeric" if isinstance(f.dataType, T.NumericType) else
              "categorical" if isinstance(f.dataType, T.StringType) else "other")
         classes[k].append(f.name)
-    manifest = {"splits": man, "columns": [c for c in df.columns if c != split_col],
-                "dtype_classes": classes, "has_target": {s: s != "test" for s in man},
-                "mode": mode}
-    _write_json(df.sparkSession, os.path.join(path, "_manifest"), manifest)
-    return manifest
+    return {"splits": man, "columns": [c for c in df.columns if c != split_col],
+            "dtype_classes": classes, "has_target": {s: s != "test" for s in man}, "mode": mode}
+
+
+def write_json_doc(spark: SparkSession, path: str, obj) -> None:
+    """A small document (parameters, a list of names) as one JSON text."""
+    _write_json(spark, path, obj)
 
 
 def _write_json(spark: SparkSession, path: str, obj) -> None:
@@ -198,7 +329,7 @@ def load_top_features(spark: SparkSession, path: str) -> list[str]:
     dict with the list under one of four keys (not empty), a plain list, or a list of
     dicts with the name under one of four keys. Missing file -> [] (keep
     all). The document is a small driver-side list (tens of names)."""
-    if "://" not in path and not os.path.exists(path):
+    if not path_exists(spark, path):
         return []
     doc = read_json_doc(spark, path)
     if isinstance(doc, dict):

@@ -20,7 +20,7 @@ def test_every_query_has_an_oracle_or_is_rows_only():
     assert set(o) <= set(q)
     rows_only = set(q) - set(o)
     assert rows_only <= {"score_v1", "score_v2", "importance_table", "feature_ranking",
-                         "hyper_search", "stream_scores"}
+                         "hyper_search", "stream_scores", "training_curve"}
 
 
 @pytest.mark.parametrize("key", ["enriched_features", "unseen_keys", "eval_report",

@@ -19,6 +19,9 @@ def test_select_features_modes(spark):
     assert top.columns == ["split", "c", "a", "amt_log", "isFraud"]     # order kept, deduped
     with pytest.raises(ValueError):
         E.select_features(df, "top10")
+    for nothing in (None, []):
+        with pytest.raises(FileNotFoundError):
+            E.select_features(df, "top50", nothing)
 
 
 def test_label_encode_unknown_rules(spark):
