@@ -52,9 +52,12 @@ class BasePlan:
         self.dropped, self.numeric, self.cuts, self.cfg = dropped, numeric, cuts, cfg
 
     def replay(self, txn: DataFrame, identity: DataFrame) -> DataFrame:
-        """Apply the same decisions to new rows (no action; stream-safe;
-        deduplication is left to the source's exactly-once delivery)."""
-        merged = ops.merge_identity(txn, identity, self.cfg.id_col).drop(*self.dropped)
+        """Apply the same decisions to new rows (no action)."""
+        return self.finish(ops.drop_duplicates(ops.merge_identity(txn, identity, self.cfg.id_col)))
+
+    def finish(self, merged: DataFrame) -> DataFrame:
+        """The decisions after merge and deduplication, row by row (stream-safe)."""
+        merged = merged.drop(*self.dropped)
         if self.numeric:
             merged = merged.withColumns({c: ops.as_number(c) for c in self.numeric})
         return ops.assign_split(merged, self.cuts, self.cfg.time_col, self.cfg.id_col)

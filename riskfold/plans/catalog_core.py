@@ -187,14 +187,13 @@ reg("stream_features", _stream_features,
 
 
 def _stream_features_batches(spark, sf):
-    """R1 with a zero broadcast limit: micro-batches applied in foreachBatch
-    with the key-combination plan (the path for tables beyond broadcast)."""
+    """R1 with a zero broadcast limit: the same path and schema, each batch with
+    the key-combination plan (fitted tables beyond broadcast)."""
     from dataclasses import replace
     from ..streaming.apply_stream import stream_features
     fxt = fixture(spark, sf)
     fxt.base
-    out = stream_features(spark, sf, fxt.base_plan, replace(fxt.params, broadcast_limit=0))
-    return out.drop("batch")
+    return stream_features(spark, sf, fxt.base_plan, replace(fxt.params, broadcast_limit=0))
 
 
 reg("stream_features_batches", _stream_features_batches,

@@ -30,14 +30,14 @@ _TXN = """SELECT event_id AS TransactionID,
        ELSE CAST((user_id * 37 + k * 11) % 2500 AS DOUBLE) END AS addr1,
   CASE WHEN (event_id * 31 + user_id * 17) % 100
             < (CASE WHEN k >= 80 THEN 10 ELSE 2 END) THEN 1 ELSE 0 END AS isFraud,
-  k
+  k{extra}
 FROM ({ev}) ev"""
 
 _IDT = """SELECT event_id AS TransactionID, CAST(k AS DOUBLE) AS id_01,
   CASE WHEN event_id % 12 = 0 THEN NULL ELSE CAST(k % 10 AS DOUBLE) END AS id_13,
   CASE WHEN event_id % 16 = 0 THEN NULL ELSE 'Found' END AS id_16,
   CASE WHEN event_id % 8 = 0 THEN CAST(1.0 AS DOUBLE) ELSE NULL END AS id_25,
-  concat('dev-', CAST(k AS STRING)) AS DeviceInfo
+  concat('dev-', CAST(k AS STRING)) AS DeviceInfo{extra}
 FROM ({ev}) ev
 WHERE k >= 75"""
 
@@ -58,9 +58,9 @@ _SCORES = """SELECT TransactionID AS id, isFraud AS y,
 FROM {splits} WHERE split = 'val'"""
 
 
-def _render(template: str, events: str, seconds: str) -> str:
+def _render(template: str, events: str, seconds: str, extra: str = "") -> str:
     ev = _EV.format(events=events)
-    return template.format(ev=ev, seconds=seconds)
+    return template.format(ev=ev, seconds=seconds, extra=extra)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,15 +1,20 @@
-"""Apply fitted features (and a model) to a stream.
-
-The stream side carries only row-local expressions and stream-static left
-joins against the fitted parameter tables, so it is stateless: no
-watermark, no state store, and each micro-batch is independent. The sink is
-a Parquet folder with its own checkpoint, both under the shared checkpoint
-directory, so a restarted query resumes exactly once.
+"""Transactions and identities as streams, features and scores applied.
+
+Both tables arrive as files, in any order within the watermark's delay. Repeated
+deliveries of a row are dropped by keyed state that expires with the watermark;
+the identity of a transaction is found by a stream-stream left join whose state
+expires too: a transaction without one leaves as soon as the watermark says that
+none can come. What leaves the state is applied as a batch in ``foreachBatch``:
+the fitted tables, whatever their size, meet it as in the batch job, with one
+output schema. Each batch overwrites its own folder, so a retried one is written
+once; state and sink live under the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,85 +23,116 @@ from ..plans import features_job as fj
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 
-
-def stream_events(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The events table as a file stream: the table folder, filtered to the
-    events files (new files landing there become new micro-batches)."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
-
-
-def stream_transactions(spark: SparkSession, events: DataFrame) -> DataFrame:
-    return spark.sql(fx._render(fx._TXN, "{events}", fx.SPARK_SECONDS), events=events)
-
-
-def base_stream(spark: SparkSession, sf_dir: str, base_plan) -> DataFrame:
-    """Streaming base rows: events -> transactions -> identity (static) ->
-    the base build's replayed decisions (dropped columns, dtypes, split)."""
-    txn = stream_transactions(spark, stream_events(spark, sf_dir))
-    return base_plan.replay(txn, fx.identity(spark, sf_dir))
+EVENT_TIME = "event_time"
+#: Id of the rows that only move the watermark on.
+HEARTBEAT = -1
 
 
-def enriched_stream(spark: SparkSession, sf_dir: str, base_plan, params) -> DataFrame:
-    """Streaming DataFrame of enriched rows (stream-static joins)."""
-    return fj.apply(base_stream(spark, sf_dir, base_plan), params)
+# ---- streams of the two tables ------------------------------------------------------------
+def merged_stream(txn: DataFrame, identity: DataFrame, key: str = "TransactionID",
+                  bound: str = "1 hour") -> DataFrame:
+    """U1 + J1 on streams: both sides without repeated rows, then the left join.
 
+    Both have a watermark on ``event_time``. A row that repeats within the
+    watermark's delay is dropped (all columns equal, as in the batch job); an
+    identity belongs to a transaction at most ``bound`` away in time."""
+    left = txn.dropDuplicatesWithinWatermark()
+    right = identity.dropDuplicatesWithinWatermark().withColumnsRenamed({key: "_id", EVENT_TIME: "_time"})
+    near = F.col("_time").between(F.col(EVENT_TIME) - F.expr(f"INTERVAL {bound}"),
+                                  F.col(EVENT_TIME) + F.expr(f"INTERVAL {bound}"))
+    return left.join(right, (F.col(key) == F.col("_id")) & near, "left").drop("_id", "_time")
 
-def run_to_parquet(stream_df: DataFrame, name: str = "stream") -> str:
-    """Run ``stream_df`` with an available-now trigger into a Parquet sink
-    under the checkpoint folder; returns the sink path."""
-    spark = stream_df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    run = f"{root}/riskfold-{name}-{uuid.uuid4().hex[:12]}"
-    q = (stream_df.writeStream.format("parquet").outputMode("append")
-         .option("path", f"{run}/out").option("checkpointLocation", f"{run}/chk")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return f"{run}/out"
 
+@dataclass
+class Sink:
+    """A stream's output: one folder a batch, all of one schema."""
 
-def stream_features(spark: SparkSession, sf_dir: str, base_plan, params) -> DataFrame:
-    """The enriched rows produced by the streaming query, read back.
+    path: str
+    batches: int
 
-    With every fitted table under the broadcast limit the stream applies the
-    features itself (stream-static broadcast joins, file sink). Otherwise
-    each micro-batch is applied as a batch inside ``foreachBatch``, where the
-    key-combination plan is available without streaming state."""
-    probe = base_stream(spark, sf_dir, base_plan)
-    if any(lk.est_bytes > params.broadcast_limit for lk in params.lookups.values()):
-        return spark.read.parquet(run_batches_to_parquet(probe, params, "features-batches"))
-    out = run_to_parquet(fj.apply(probe, params), "features")
-    return spark.read.parquet(out)
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/batch-*")
 
 
-def run_batches_to_parquet(stream_df: DataFrame, params, name: str) -> str:
-    """Apply the features to each micro-batch as a batch DataFrame and write
-    it to ``<sink>/batch=<id>`` with overwrite: a retried batch rewrites its
-    own folder, so the output stays exactly-once. Returns the sink path."""
-    spark = stream_df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    run = f"{root}/riskfold-{name}-{uuid.uuid4().hex[:12]}"
+def run_batches(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], name: str = "stream") -> Sink:
+    """Run ``stream`` over all that is available; ``apply`` turns what leaves the
+    state of a micro-batch into the rows written."""
+    spark = stream.sparkSession
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-{name}-{uuid.uuid4().hex[:12]}"
+    done = []
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        fj.apply(batch, params).write.mode("overwrite").parquet(f"{run}/out/batch={batch_id}")
+    def write_batch(batch: DataFrame, number: int) -> None:
+        rows = batch.where(F.col("TransactionID") != HEARTBEAT).drop(EVENT_TIME)
+        apply(rows).write.mode("overwrite").parquet(f"{run}/out/batch-{number:08d}")
+        done.append(number)
 
-    q = (stream_df.writeStream.foreachBatch(write_batch)
+    q = (stream.writeStream.foreachBatch(write_batch).outputMode("append")
          .option("checkpointLocation", f"{run}/chk").trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return f"{run}/out"
+    return Sink(f"{run}/out", len(done))
 
 
-def stream_scores(spark: SparkSession, sf_dir: str, base_plan, params, model,
-                  prepare=None) -> DataFrame:
-    """R2: R1 + model scoring on the stream -> (id, split, y, p)."""
+def feature_sink(merged: DataFrame, base_plan, params, name: str = "features") -> Sink:
+    """Base decisions and features applied to what leaves the join."""
+    return run_batches(merged, lambda rows: fj.apply(base_plan.finish(rows), params), name)
+
+
+def score_sink(merged: DataFrame, base_plan, params, model, prepare=None, name: str = "scores") -> Sink:
+    """R2: R1 and a fitted model: (id, split, y, p)."""
     from ..operators import ml
-    s = enriched_stream(spark, sf_dir, base_plan, params)
-    if prepare is not None:
-        s = prepare(s)
-    scored = ml.score(model, s)
-    return spark.read.parquet(run_to_parquet(scored, "scores"))
+
+    def score(rows: DataFrame) -> DataFrame:
+        enriched = fj.apply(base_plan.finish(rows), params)
+        return ml.score(model, prepare(enriched) if prepare else enriched)
+    return run_batches(merged, score, name)
+
+
+# ---- the fixture's streams ----------------------------------------------------------------
+def deliver(spark: SparkSession, sf_dir: str, files: int = 3) -> tuple[str, str]:
+    """The events as files in order of arrival: cut by time, one row in 23 a file
+    late, one in 29 delivered again with the next file; at last a heartbeat far
+    ahead, which lets everything leave the state. Returns the folder and the
+    watermark's delay, which covers the lateness."""
+    events = fx.read_table(spark, sf_dir, "events")
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    span = max((hi - lo).total_seconds(), 1.0) / files
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-tables/arrivals-{uuid.uuid4().hex[:12]}"
+    at = F.floor(F.timestamp_diff("SECOND", F.lit(lo), F.col("ts")) / F.lit(span))
+    first = F.least(F.greatest(at, F.lit(0)), F.lit(files - 1)) + (F.col("event_id") % 23 == 0).cast("int")
+    # the file numbers that a row comes with
+    dealt = events.withColumn("_file", F.explode(F.when(F.col("event_id") % 29 == 0, F.array(first, first + 1))
+                                                 .otherwise(F.array(first))))
+    for k in range(files + 2):              # one write a file: the source takes files by their time
+        dealt.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    ahead = events.limit(1).withColumns({"event_id": F.lit(HEARTBEAT).cast(events.schema["event_id"].dataType),
+                                         "props": F.lit('{"k": 99}'),
+                                         "ts": F.lit(hi) + F.make_dt_interval(secs=F.lit(span * 20 + 86400.0))})
+    ahead.write.mode("append").parquet(folder)
+    return folder, f"{int(span * 3) + 3600} seconds"
+
+
+def delivered_streams(spark: SparkSession, folder: str, delay: str, files_per_trigger: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Transactions and identities of a delivery folder as two streams."""
+    schema = spark.read.parquet(folder).schema
+
+    def stream(template: str) -> DataFrame:
+        events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+                  .withColumn("_t", F.col("ts").cast("timestamp")).withWatermark("_t", delay))
+        return spark.sql(fx._render(template, "{events}", fx.SPARK_SECONDS, f", _t AS {EVENT_TIME}"), events=events)
+    return stream(fx._TXN), stream(fx._IDT)
+
+
+def stream_features(spark: SparkSession, sf_dir: str, base_plan, params, files: int = 3,
+                    files_per_trigger: int = 3) -> DataFrame:
+    """R1 over the events delivered as files: the enriched rows, read back."""
+    txn, identity = delivered_streams(spark, *deliver(spark, sf_dir, files), files_per_trigger)
+    return feature_sink(merged_stream(txn, identity), base_plan, params).read(spark)
+
+
+def stream_scores(spark: SparkSession, sf_dir: str, base_plan, params, model, prepare=None, files: int = 3,
+                  files_per_trigger: int = 3) -> DataFrame:
+    """R2 over the events delivered as files: (id, split, y, p)."""
+    txn, identity = delivered_streams(spark, *deliver(spark, sf_dir, files), files_per_trigger)
+    return score_sink(merged_stream(txn, identity), base_plan, params, model, prepare).read(spark)
