@@ -8,18 +8,22 @@ the largest by inner product; queries are scaled to norm M.
   2-means until each part stands for at most ``LIST_ROWS`` rows of the table or
   ``MAX_LISTS`` lists are reached. The centroids and a graph that links each to
   its ``DEGREE`` nearest go to the tasks by broadcast: at most ``MAX_LISTS`` rows.
-* Index: every vector goes to its nearest list, found by a beam search in the
-  graph, and, if it lies near a boundary, to up to ``REPLICAS`` lists within the
-  distance ratio ``1 + BOUNDARY`` that no list already chosen is nearer to.
+* Index: every vector goes to its nearest list, found in the graph, and, if it
+  lies near a boundary, also to the next ones, up to ``REPLICAS`` lists within the
+  distance ratio ``1 + BOUNDARY``. The graph search takes rows with the same
+  nearest entry point together: one product gives their distances to the nodes
+  that none of them has seen, and only nodes in some row's beam are expanded.
 * Reach: how far a query looks is a distance ratio, fitted for each table: the
   true nearest of ``CALIBRATION`` queries (by a hash; a documented bound) are
   found by brute force over all rows, and the ratio is the smallest that reads
   the lists of ``RECALL`` of them. Nothing bounds the number of lists read.
-* Search: a query takes the lists within that ratio of its nearest; where they
-  may go beyond the beam, its distances to all centroids are taken. Long lists are split into blocks of ``BLOCK`` rows and the
-  queries of a list likewise, so equal vectors by the million make more blocks,
-  not larger ones; nothing is dropped. A block gives its best ids per query,
-  exact in double precision on the original vectors, and they are merged.
+* Search in two rounds: a query's nearest lists first; their k-th score is a floor,
+  and the other lists within the ratio give only what reaches it, told by one
+  product and one comparison a list. Where the ratio may go beyond the beam, the
+  distances to all centroids are taken. Lists are put together in groups of about
+  ``GROUP_ROWS`` rows; a longer list is split, and queries likewise come in blocks
+  of ``BLOCK``, so equal vectors by the million make more blocks, not larger ones;
+  nothing is dropped. Scores are exact, in double precision on the vectors.
 
 A query whose lists hold too few rows takes further ones, and one that found
 fewer ids than there are searches all lists.
@@ -40,8 +44,10 @@ from pyspark.sql import functions as F
 from .common import materialize, ship_code
 
 TOP, SAMPLE, LIST_ROWS, MAX_LISTS, DEGREE, BEAM = 20, 20_000, 256, 4096, 16, 32
-BOUNDARY, REPLICAS, RECALL, CALIBRATION = 0.15, 4, 0.95, 256
-BLOCK = 4096
+BOUNDARY, REPLICAS, RECALL, CALIBRATION = 0.15, 2, 0.95, 256
+BLOCK, GROUP_ROWS, SLICE = 4096, 8192, 1024
+#: Nodes where a search enters the graph.
+ENTRIES = 16
 #: Least squared distance to a nearest centroid, as ratios to it are taken.
 NEAR = 1e-12
 
@@ -88,34 +94,41 @@ class Centroids:
                 d = self._distance(points[a:a + 512], points)
                 d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
                 self.links[a:a + 512] = np.argpartition(d, k - 1, 1)[:, :k]
-        self.starts = np.unique(np.linspace(0, n - 1, min(n, BEAM)).astype(np.int64))
+        self.starts = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))
 
     @staticmethod
     def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
     def search(self, x: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, squared distances) of near centroids, nearest first: a beam
-        search for all rows at once, until no beam changes."""
+        """(ids, squared distances) of near centroids, nearest first: a beam search
+        in the graph. Rows with one nearest entry point share their visited nodes."""
         n = len(self.points)
         width = min(width, n)
-        beam = np.tile(self.starts, (len(x), 1))
-        dist = self._distance(x, self.points[self.starts])
-        while True:
-            nxt = np.concatenate([beam, self.links[beam].reshape(len(x), -1)], 1)
-            nxt.sort(1)
-            again = np.zeros(nxt.shape, bool)
-            again[:, 1:] = nxt[:, 1:] == nxt[:, :-1]
-            d = np.empty(nxt.shape, np.float32)
-            for a in range(0, len(x), 64):
-                p = self.points[nxt[a:a + 64]]
-                d[a:a + 64] = ((p - x[a:a + 64, None]) ** 2).sum(2)
-            d[again] = np.inf
+        ids, dist = np.empty((len(x), width), np.int64), np.empty((len(x), width), np.float32)
+        entry = self._distance(x, self.points[self.starts]).argmin(1) if len(x) else np.zeros(0, np.int64)
+        for e in np.unique(entry):
+            rows = np.flatnonzero(entry == e)
+            y = x[rows]
+            unseen, unexpanded = np.ones(n, bool), np.ones(n, bool)
+            nodes, new, d = np.zeros(0, np.int64), self.starts, np.zeros((len(rows), 0), np.float32)
+            while len(new):
+                unseen[new] = False
+                nodes, d = np.concatenate([nodes, new]), np.concatenate([d, self._distance(y, self.points[new])], 1)
+                if len(nodes) <= width:
+                    beam = nodes
+                else:
+                    beam = nodes[np.unique(np.argpartition(d, width - 1, 1)[:, :width])]
+                beam = beam[unexpanded[beam]]
+                unexpanded[beam] = False
+                new = np.unique(self.links[beam])
+                new = new[unseen[new]]
+            if len(nodes) < width:          # a graph in parts: the rest is looked at too
+                rest = np.flatnonzero(unseen)
+                nodes, d = np.concatenate([nodes, rest]), np.concatenate([d, self._distance(y, self.points[rest])], 1)
             order = np.argsort(d, 1, kind="stable")[:, :width]
-            new, nd = np.take_along_axis(nxt, order, 1), np.take_along_axis(d, order, 1)
-            if new.shape == beam.shape and (np.sort(new, 1) == np.sort(beam, 1)).all():
-                return new, nd
-            beam, dist = new, nd
+            ids[rows], dist[rows] = nodes[order], np.take_along_axis(d, order, 1)
+        return ids, dist
 
     def lists_read(self, x: np.ndarray, size: np.ndarray, ratio: float, need: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists that the queries read: those within ``ratio``
@@ -134,6 +147,28 @@ class Centroids:
         return np.concatenate(rows), np.concatenate(lists)
 
 
+def _hits(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+    """(query id, vec id, score) of one list's rows (by id) that reach the queries'
+    floors, and of these the k best ids of each query with all that tie; an id
+    counts once, with its best row."""
+    s = q @ x.T
+    s[qid[:, None] == ids[None]] = -np.inf
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    top = s if len(first) == len(ids) else np.maximum.reduceat(s, first, axis=1)
+    least = floor.copy()
+    many = np.flatnonzero((top >= floor[:, None]).sum(1) > k)
+    if len(many):
+        least[many] = np.maximum(floor[many], -np.partition(-top[many], k - 1, 1)[:, k - 1])
+    slack = np.where(np.isfinite(least), 1e-9 * (1 + np.abs(least)), 0)
+    r, c = np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
+    score = (x[c] * q[r]).sum(1)                 # row by row: equal vectors get equal scores
+    order = np.lexsort((-score, c if len(first) == len(ids) else ids[c], r))
+    r, c, score = r[order], c[order], score[order]
+    one = np.ones(len(r), bool)
+    one[1:] = (r[1:] != r[:-1]) | (ids[c[1:]] != ids[c[:-1]])
+    return qid[r[one]], ids[c[one]], score[one]
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -240,17 +275,11 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
     def index(batches):
         g = graph.value
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
+            for a in range(0, b.num_rows, 4 * SLICE):
+                part = b.slice(a, 4 * SLICE)
                 ids, d = g.search(lifted(_matrix(part.column(1), dim)))
-                take = d <= (1 + BOUNDARY) ** 2 * d[:, :1] + 1e-12
-                chosen = np.zeros(take.shape, bool)
-                chosen[:, 0] = True
-                for j in range(1, take.shape[1]):
-                    # a list joins if no chosen list is nearer to it than the vector is
-                    gap = ((g.points[ids[:, j]][:, None] - g.points[ids[:, :j]]) ** 2).sum(2)
-                    free = ~((gap < d[:, j:j + 1]) & chosen[:, :j]).any(1)
-                    chosen[:, j] = take[:, j] & free & (chosen[:, :j].sum(1) < REPLICAS)
+                chosen = d <= (1 + BOUNDARY) ** 2 * d[:, :1] + NEAR
+                chosen[:, REPLICAS:] = False
                 row, col = np.nonzero(chosen)
                 yield pa.record_batch([pa.array(ids[row, col]), part.column(0).take(pa.array(row)),
                                        part.column(1).take(pa.array(row))], names=["list", "vec_id", "v"])
@@ -269,67 +298,98 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
             F.broadcast(true_nearest(base, tried, tried_id, k)), "key").toArrow()   # at most CALIBRATION * k * REPLICAS
         reach = fitted_ratio(centroids, scaled(tried), size, need, *(held.column(c).to_numpy() for c in ("query", "key", "list")))
 
-    def probe(batches):
-        g = graph.value
-        for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
-                q = scaled(_matrix(part.column(1), dim))
-                row, lists = g.lists_read(q, size, reach, need)
-                yield pa.record_batch([pa.array(lists), part.column(0).take(pa.array(row)),
-                                       part.column(1).take(pa.array(row))], names=["list", "query_id", "q"])
-
-    probes = materialize(asked.mapInArrow(probe, "list long, query_id long, q array<float>"), "op8-probes")
-    def best(qt: pa.Table, vt: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if qt.num_rows and vt.num_rows:
-            ids = vt.column("vec_id").to_numpy()
-            x = _matrix(vt.column("v").combine_chunks(), dim).astype(np.float64)
-            q = _matrix(qt.column("q").combine_chunks(), dim).astype(np.float64)
-            qid = qt.column("query_id").to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            ids, x = ids[by_id], x[by_id]
-            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            for a in range(0, len(q), 256):
-                s = q[a:a + 256] @ x.T
-                s[qid[a:a + 256, None] == ids[None]] = -np.inf
-                top_of = np.maximum.reduceat(s, first, axis=1)     # an id counts once, with its best row
-                last = min(k, len(first)) - 1
-                kth = -np.partition(-top_of, last, 1)[:, last]
-                for j in range(len(s)):
-                    slack = 1e-9 * (1 + abs(kth[j])) if np.isfinite(kth[j]) else 0
-                    c = np.flatnonzero((s[j] >= kth[j] - slack) & (s[j] > -np.inf))
-                    exact = (x[c] * q[a + j]).sum(1)       # row by row: equal vectors get equal scores
-                    c, exact = c[order := np.lexsort((ids[c], -exact))], exact[order]
-                    _, one = np.unique(ids[c], return_index=True)
-                    one = np.sort(one)[:k]
-                    out[0].extend([qid[a + j]] * len(one))
-                    out[1].extend(ids[c[one]])
-                    out[2].extend(exact[one])
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()),
-                         "score": pa.array(out[2], pa.float64())})
-
-    def search(probes: DataFrame) -> DataFrame:
-        # blocks: rows of a list by hash of the row, queries of a list likewise
-        rows = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("row_blocks"))
-        qs = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("query_blocks"))
-        blocks = F.broadcast(rows.join(qs, "list"))            # one row per list: at most MAX_LISTS
-        left = (probes.join(blocks, "list")
-                .withColumn("qb", F.pmod(F.xxhash64("query_id", "q"), F.col("query_blocks")))
-                .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_blocks") - 1)))
-                .select("list", "qb", "rb", "query_id", "q"))
+    # lists in groups of about GROUP_ROWS rows; a longer list is a group of its own, in blocks of rows
+    group = np.zeros(len(size), np.int64)
+    held = 0
+    for li in range(1, len(size)):
+        held += size[li - 1]
+        new = held + size[li] > GROUP_ROWS
+        group[li] = group[li - 1] + new
+        held = 0 if new else held
+    row_blocks = np.maximum(1, -(-np.bincount(group, size) // (2 * GROUP_ROWS))).astype(np.int64)
+    groups = spark.createDataFrame(pa.table({"list": np.arange(len(size)), "g": group, "row_blocks": row_blocks[group]}))
+    blocks = F.broadcast(groups)                               # one row per list: at most MAX_LISTS
+
+    def search(asked: DataFrame, lists_of, count: int) -> DataFrame:
+        """(query_id, vec_id, score) from the lists that ``lists_of`` names for
+        (vec_id, v, floor) rows; scores below a query's floor stay out."""
+        query_blocks = max(1, -(-count // BLOCK))
+
+        def probe(batches):
+            for b in batches:
+                for a in range(0, b.num_rows, SLICE):
+                    part = b.slice(a, SLICE)
+                    q = _matrix(part.column(1), dim)
+                    row, li = lists_of(scaled(q))
+                    order = np.argsort(group[li], kind="stable")
+                    row, li = row[order], li[order]
+                    cuts = np.flatnonzero(np.diff(group[li], prepend=-1))
+                    for r, ls in zip(np.split(row, cuts[1:]), np.split(li, cuts[1:])):
+                        if not len(r):
+                            continue
+                        mine, at = np.unique(r, return_inverse=True)
+                        take = part.take(pa.array(mine))
+                        yield pa.record_batch(
+                            [pa.array([group[ls[0]]], pa.int64()), pa.array([row_blocks[group[ls[0]]]], pa.int64()),
+                             pa.array([abs(hash((int(mine[0]), take.column(0)[0].as_py(), a))) % query_blocks], pa.int64()),
+                             *[pa.array([v], pa.list_(t)) for v, t in (
+                                 (take.column(0).to_numpy(), pa.int64()), (q[mine].ravel(), pa.float32()),
+                                 (take.column(2).to_numpy(), pa.float64()), (at, pa.int32()), (ls, pa.int32()))]],
+                            names=["g", "rbs", "qb", "ids", "q", "floors", "at", "lists"])
+
+        packed = asked.select("vec_id", "v", "floor").mapInArrow(
+            probe, "g long, rbs long, qb long, ids array<long>, q array<float>, floors array<double>, at array<int>, lists array<int>")
+        packed = materialize(packed, "op8-probes")
+        left = packed.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rbs") - 1))).drop("rbs")
         right = (postings.join(blocks, "list")
                  .withColumn("rb", F.pmod(F.xxhash64("vec_id", "v"), F.col("row_blocks")))
-                 .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
-                 .select("list", "qb", "rb", "vec_id", "v"))
-        keys = ["list", "qb", "rb"]
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
+                 .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+                 .select("g", "rb", "qb", "list", "vec_id", "v"))
+        keys = ["g", "rb", "qb"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
+
+    def best(qt: pa.Table, vt: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if qt.num_rows and vt.num_rows:
+            ids, lists = vt.column("vec_id").to_numpy(), vt.column("list").to_numpy()
+            order = np.lexsort((ids, lists))
+            ids, lists = ids[order], lists[order]
+            x = _matrix(vt.column("v").combine_chunks(), dim).astype(np.float64)[order]
+            for p in range(qt.num_rows):
+                qid, floor, at, wanted = (np.array(qt.column(c)[p].as_py()) for c in ("ids", "floors", "at", "lists"))
+                q = np.array(qt.column("q")[p].as_py(), np.float32).astype(np.float64).reshape(-1, dim)
+                by_list = np.argsort(wanted, kind="stable")
+                at, wanted = at[by_list], wanted[by_list]
+                cuts = np.flatnonzero(np.diff(wanted, prepend=-1))
+                for rows, li in zip(np.split(at, cuts[1:]), wanted[cuts]):
+                    lo, hi = np.searchsorted(lists, (li, li + 1))
+                    if lo < hi:
+                        for z, part in zip(out, _hits(qid[rows], q[rows], floor[rows], ids[lo:hi], x[lo:hi], k)):
+                            z.append(part)
+        return pa.table({n: np.concatenate(z) for n, z in zip(("query_id", "vec_id", "score"), out)})
+
+    def ranked(found: DataFrame) -> DataFrame:
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return (found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
                 .select("query_id", "rank", "vec_id", "score"))
 
-    found = materialize(search(probes), "op8-found")
+    def nearest_lists(q: np.ndarray):
+        return graph.value.lists_read(q, size, 1.0, need)
+
+    def other_lists(q: np.ndarray):
+        row, li = graph.value.lists_read(q, size, reach, need)
+        first = np.zeros((len(q), len(size)), bool)
+        first[nearest_lists(q)] = True
+        other = ~first[row, li]
+        return row[other], li[other]
+
+    n_asked = asked.count()
+    first = materialize(ranked(search(asked.withColumn("floor", F.lit(float("-inf"))), nearest_lists, n_asked)), "op8-first")
+    floors = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    rest = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    second = search(rest, other_lists, n_asked)
+    found = materialize(ranked(first.select("query_id", "vec_id", "score").unionByName(second)), "op8-found")
     # an id with many vectors can fill a query's lists: such queries search all
     own = asked.select("vec_id").distinct().join(base.select("vec_id").distinct().withColumn("own", F.lit(1)), "vec_id", "left")
     whole = (own.join(found.groupBy(F.col("query_id").alias("vec_id")).count(), "vec_id", "left")
@@ -338,8 +398,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
     whole = materialize(whole, "op8-short")
     if whole.isEmpty():
         return found
-    every = spark.createDataFrame([(int(li),) for li in np.flatnonzero(size)], "list long")
-    again = (asked.join(whole, "vec_id", "left_semi").crossJoin(F.broadcast(every))
-             .select("list", F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    whole = whole.withColumnRenamed("vec_id", "query_id")
-    return found.join(whole, "query_id", "left_anti").unionByName(search(materialize(again, "op8-again")))
+    again = asked.join(whole, "vec_id", "left_semi").withColumn("floor", F.lit(float("-inf")))
+
+    def all_lists(q: np.ndarray):
+        row, li = np.nonzero(np.tile(size > 0, (len(q), 1)))
+        return row, li
+    again = ranked(search(again, all_lists, whole.count()))
+    return found.join(whole.withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti").unionByName(again)
