@@ -17,9 +17,11 @@ the largest by inner product; queries are scaled to norm M.
   true nearest of ``CALIBRATION`` queries (by a hash; a documented bound) are
   found by brute force over all rows, and the ratio is the smallest that reads
   the lists of ``RECALL`` of them. Nothing bounds the number of lists read.
-* Search in two rounds: a query's nearest lists first; their k-th score is a floor,
-  and the other lists within the ratio give only what reaches it, told by one
-  product and one comparison a list. Where the ratio may go beyond the beam, the
+* Search in rounds: a query's nearest lists first; the k-th score so far is a floor,
+  and a next round reads further lists within the ratio, ``STEP`` times the rows of
+  all rounds before, and gives only what reaches the floor, told by one product and
+  one comparison a list. So a query gives rows by the number of rounds, which grows
+  with the logarithm of the table. Where the ratio may go beyond the beam, the
   distances to all centroids are taken. Lists are put together in groups of about
   ``GROUP_ROWS`` rows; a longer list is split, and queries likewise come in blocks
   of ``BLOCK``, so equal vectors by the million make more blocks, not larger ones;
@@ -45,7 +47,7 @@ from .common import materialize, ship_code
 
 TOP, SAMPLE, LIST_ROWS, MAX_LISTS, DEGREE, BEAM = 20, 20_000, 256, 4096, 16, 32
 BOUNDARY, REPLICAS, RECALL, CALIBRATION = 0.15, 2, 0.95, 256
-BLOCK, GROUP_ROWS, SLICE = 4096, 8192, 1024
+BLOCK, GROUP_ROWS, SLICE, STEP = 4096, 8192, 1024, 8
 #: Nodes where a search enters the graph.
 ENTRIES = 16
 #: Least squared distance to a nearest centroid, as ratios to it are taken.
@@ -130,21 +132,22 @@ class Centroids:
             ids[rows], dist[rows] = nodes[order], np.take_along_axis(d, order, 1)
         return ids, dist
 
-    def lists_read(self, x: np.ndarray, size: np.ndarray, ratio: float, need: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists that the queries read: those within ``ratio``
-        of the nearest, and further ones while they hold under ``need`` rows."""
+    def lists_read(self, x: np.ndarray, size: np.ndarray, ratio: float, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, rows in nearer lists) of the lists that the queries read: those
+        within ``ratio`` of the nearest, and further ones while they hold under ``need`` rows."""
         ids, d = self.search(x)
         far = ((d[:, -1] <= ratio ** 2 * np.maximum(d[:, 0], NEAR)) | (size[ids].sum(1) < need)) & (ids.shape[1] < len(self.points))
         every = self._distance(x[far], self.points)
         order = np.argsort(every, 1, kind="stable")
-        rows, lists = [], []
+        rows, lists, before = [], [], []
         for at, i, e in ((~far, ids[~far], d[~far]), (far, order, np.take_along_axis(every, order, 1))):
             held = np.cumsum(size[i], 1) - size[i]
             take = (e <= ratio ** 2 * np.maximum(e[:, :1], NEAR)) | (held < need)
             row, col = np.nonzero(take & (size[i] > 0))
             rows.append(np.flatnonzero(at)[row])
             lists.append(i[row, col])
-        return np.concatenate(rows), np.concatenate(lists)
+            before.append(held[row, col])
+        return np.concatenate(rows), np.concatenate(lists), np.concatenate(before)
 
 
 def _hits(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
@@ -169,6 +172,19 @@ def _hits(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x:
     return qid[r[one]], ids[c[one]], score[one]
 
 
+def _best_ids(qid: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """Of each query the k best distinct ids, ties to the smaller id."""
+    order = np.lexsort((-score, ids, qid))
+    qid, ids, score = qid[order], ids[order], score[order]
+    one = np.ones(len(qid), bool)
+    one[1:] = (qid[1:] != qid[:-1]) | (ids[1:] != ids[:-1])
+    qid, ids, score = qid[one], ids[one], score[one]
+    order = np.lexsort((ids, -score, qid))
+    qid, ids, score = qid[order], ids[order], score[order]
+    rank = np.arange(len(qid)) - np.searchsorted(qid, qid)
+    return qid[rank < k], ids[rank < k], score[rank < k]
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -226,7 +242,7 @@ def fitted_ratio(centroids: Centroids, x: np.ndarray, size: np.ndarray, need: in
     while True:
         reach = max(1.0, float(least[at])) * (1 + 1e-5)
         read = np.zeros(d.shape, bool)
-        read[centroids.lists_read(x, size, reach, need)] = True
+        read[centroids.lists_read(x, size, reach, need)[:2]] = True
         # the beam may miss a list: then the ratio grows
         if at == len(least) - 1 or len(np.unique(one[read[query, lists]])) >= RECALL * len(least):
             return reach
@@ -349,7 +365,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
 
     def best(qt: pa.Table, vt: pa.Table) -> pa.Table:
-        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if qt.num_rows and vt.num_rows:
             ids, lists = vt.column("vec_id").to_numpy(), vt.column("list").to_numpy()
             order = np.lexsort((ids, lists))
@@ -361,12 +377,14 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
                 by_list = np.argsort(wanted, kind="stable")
                 at, wanted = at[by_list], wanted[by_list]
                 cuts = np.flatnonzero(np.diff(wanted, prepend=-1))
+                of_lists = []
                 for rows, li in zip(np.split(at, cuts[1:]), wanted[cuts]):
                     lo, hi = np.searchsorted(lists, (li, li + 1))
                     if lo < hi:
-                        for z, part in zip(out, _hits(qid[rows], q[rows], floor[rows], ids[lo:hi], x[lo:hi], k)):
-                            z.append(part)
-        return pa.table({n: np.concatenate(z) for n, z in zip(("query_id", "vec_id", "score"), out)})
+                        of_lists.append(_hits(qid[rows], q[rows], floor[rows], ids[lo:hi], x[lo:hi], k))
+                if of_lists:
+                    found.append(_best_ids(*(np.concatenate(z) for z in zip(*of_lists)), k))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(z) for z in zip(*found)))))
 
     def ranked(found: DataFrame) -> DataFrame:
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -374,22 +392,28 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
         return (found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
                 .select("query_id", "rank", "vec_id", "score"))
 
-    def nearest_lists(q: np.ndarray):
-        return graph.value.lists_read(q, size, 1.0, need)
-
-    def other_lists(q: np.ndarray):
-        row, li = graph.value.lists_read(q, size, reach, need)
-        first = np.zeros((len(q), len(size)), bool)
-        first[nearest_lists(q)] = True
-        other = ~first[row, li]
-        return row[other], li[other]
+    def lists_between(least: float, most: float):
+        """The lists that a query reads with ``least`` to ``most`` rows in nearer ones."""
+        def lists_of(q: np.ndarray):
+            row, li, before = graph.value.lists_read(q, size, reach, need)
+            now = (before >= least) & (before < most)
+            return row[now], li[now]
+        return lists_of
 
     n_asked = asked.count()
-    first = materialize(ranked(search(asked.withColumn("floor", F.lit(float("-inf"))), nearest_lists, n_asked)), "op8-first")
-    floors = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    rest = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    second = search(rest, other_lists, n_asked)
-    found = materialize(ranked(first.select("query_id", "vec_id", "score").unionByName(second)), "op8-found")
+    found, least, most = None, 0, need
+    while least < size.sum():
+        now = asked.withColumn("floor", F.lit(float("-inf")))
+        if found is not None:
+            floors = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+            now = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        more = search(now, lists_between(least, most), n_asked)
+        if found is not None:
+            more = found.select("query_id", "vec_id", "score").unionByName(more)
+        found = materialize(ranked(more), "op8-found")
+        least, most = most, most * STEP
+    if found is None:
+        return ranked(spark.createDataFrame([], "query_id long, vec_id long, score double"))
     # an id with many vectors can fill a query's lists: such queries search all
     own = asked.select("vec_id").distinct().join(base.select("vec_id").distinct().withColumn("own", F.lit(1)), "vec_id", "left")
     whole = (own.join(found.groupBy(F.col("query_id").alias("vec_id")).count(), "vec_id", "left")
