@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import gc
 import math
@@ -90,6 +91,27 @@ def tidy(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system: a worker lives on
+    after its task, beside those of the next stages."""
+    import pyarrow as pa
+
+    _powers.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # other C libraries give memory back themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(run):
+    """The batch function ``run``, which releases memory at its task's end."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+    return wrapped
+
+
 # ---------------------------------------------------------------- byte work
 
 _WS = np.zeros(256, bool)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, long_of, materialize, mix64, settings, ship_code, text_chunks, tidy, word_table
+from .common import Scratch, long_of, materialize, mix64, releasing, settings, ship_code, text_chunks, tidy, word_table
 from .components import components
 
 K = 64
@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return docs.mapInArrow(run, f"doc_id {kind}, text_key long, node long, n long, sketch array<long>")
+    return docs.mapInArrow(releasing(run), f"doc_id {kind}, text_key long, node long, n long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -136,7 +136,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                     yield pa.record_batch([pa.array([_signature(s) for s in sets], pa.int64()), _lists(sets)],
                                           names=["node", "members"])
 
-    return docs.select("text").mapInArrow(run, "node long, members array<long>")
+    return docs.select("text").mapInArrow(releasing(run), "node long, members array<long>")
 
 
 def _with_bitmap(sets: DataFrame) -> DataFrame:

@@ -19,12 +19,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WS, materialize, ship_code, text_chunks, word_table
+from .common import _WS, materialize, release, releasing, ship_code, text_chunks, word_table
 
 THRESHOLD = 0.3
 #: Shrinkage of a class covariance towards its diagonal, and a ridge on that.
@@ -194,7 +196,7 @@ def document_statistics(docs: DataFrame, keep: list[str], text_col: str = "text"
                                       names=[*keep, "x"])
 
     schema = src.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("array<double>").alias("x")).schema
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(releasing(run), schema)
 
 
 def held_out(id_col):
@@ -230,18 +232,19 @@ def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier predicts 1, all columns as they
-    are: the texts pass the scorer once more, none is shuffled."""
+    are: the texts alone pass the scorer once more, nothing is shuffled."""
     ids = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     marks = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("label"))
     stats = materialize(document_statistics(ids, ["doc_id"]), "op10-statistics")
     model = fit_model(stats.filter(~held_out(F.col("doc_id"))).join(marks, "doc_id"))
-    at = docs.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for a, data, off in text_chunks(b.column(at)):
+    @F.arrow_udf("boolean")
+    def accepted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            keep = np.zeros(len(t), bool)
+            for a, data, off in text_chunks(t):
                 keep[a:a + len(off) - 1] = model.score(statistics(data, off)) >= THRESHOLD
-            yield b.filter(pa.array(keep))
+            yield pa.array(keep)
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(accepted(F.col(f"`{text_col}`").cast("string")))
