@@ -6,6 +6,7 @@ import os
 import tempfile
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from riskfold.llm import bpe, mixing
@@ -14,25 +15,52 @@ from .test_operators import brute_components, prose
 
 
 def brute_mix(rows):
-    size = lambda r: len(r[1].split())
-    total = collections.Counter()
-    for r in rows:
-        total[r[3]] += size(r)
-    order = sorted(total)
-    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(order)}
-    left, budget, target = set(order), mixing.BUDGET * sum(total.values()), {}
-    while left:
-        w = sum(weight[s] for s in left)
-        over = {s for s in left if budget * weight[s] / w > mixing.REPEATS * total[s]}
-        target |= {s: mixing.REPEATS * total[s] if over else budget * weight[s] / w for s in over or left}
-        budget -= sum(target[s] for s in over)
-        left = left - over if over else set()
+    """Weighted fair queueing replayed: always serve the flow whose next copy ends first."""
+    size = lambda r: len((r[1] or "").split())
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
-    out, upto = collections.Counter(), collections.Counter()
-    for r in sorted(rows, key=lambda r: md5(f"{r[0]}|{md5(r[1])}")):
-        upto[r[3]] += size(r)
-        out[r] += sum(upto[r[3]] + k * total[r[3]] - size(r) / 2 <= target[r[3]] for k in range(mixing.REPEATS))
-    return +out
+    order = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    queues = {s: [] for s in order}
+    for r in sorted(rows, key=lambda r: (md5(f"{'' if r[0] is None else r[0]}|{md5(r[1] or '')}"), r[0] or 0)):
+        if size(r):
+            queues[r[3]].append(r)
+    queues = {s: q * mixing.REPEATS for s, q in queues.items()}
+    served, spent, out = collections.Counter(), 0, collections.Counter()
+    budget = mixing.BUDGET * sum(size(r) for r in rows)
+    while any(queues.values()):
+        ends = {s: (served[s] + size(queues[s][0])) / mixing.WEIGHTS[k % 3] for k, s in enumerate(order) if queues[s]}
+        s = min(ends, key=lambda s: (ends[s], order.index(s)))
+        r = queues[s].pop(0)
+        if spent + size(r) / 2 > budget:
+            break
+        served[s], spent = served[s] + size(r), spent + size(r)
+        out[r] += 1
+    return out
+
+
+@pytest.mark.parametrize("copies_a_range", [1_000_000, 9])
+def test_mix_replays_the_queues(spark, monkeypatch, copies_a_range):
+    monkeypatch.setattr(mixing, "RANGE_COPIES", copies_a_range)     # the budget ends in one of many ranges
+    rows = [(i, prose(1 + i * 7 % 40, i) if i % 11 else None, "x", f"s{i % 4}" if i % 4 else None) for i in range(120)]
+    rows += [(200, "w " * 700, "x", "s1"), (201, "", "x", "s2"), (202, "one", "x", "lone"), (203, " \t", "x", "blank")]
+    rows += [rows[5]] * 3 + [(None, "no id here", "x", "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size string, source string")     # a clashing name
+    want = brute_mix(rows)
+    assert collections.Counter(tuple(r) for r in mixing.mixed_documents(docs).collect()) == want
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows) and all(r.taken == r.size * r.copies for r in got)
+    copies = collections.Counter()
+    for r in got:
+        copies[r.doc_id] += r.copies
+    assert +copies == collections.Counter({i: sum(n for r, n in want.items() if r[0] == i) for i in {r[0] for r in want}})
+    longest = max(r.size for r in got)
+    for (target,), mine in {(r.target,): [x for x in got if x.target == r.target and x.source_size == r.source_size] for r in got}.items():
+        assert abs(sum(x.taken for x in mine) - target) <= 2 * longest
+
+
+def test_mix_without_words(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert [(r.size, r.target, r.taken) for r in mixing.mix_sources(docs).collect()] == [(0, 0.0, 0)] * 2
+    assert mixing.mixed_documents(docs).count() == 0
 
 
 def test_pipeline(spark, monkeypatch):
