@@ -13,7 +13,7 @@ The sort is over light rows (finish time, source's place, size). Ranges are
 written with their number; one sum per range tells in which the budget ends,
 and only that range needs a running sum. The last copy served is a cut in the
 order, so each document's copies compare with it where they are and nothing is
-joined back. Cumulative sizes are sums over (source, digest range) tables plus
+joined back. A range of very many copies is sorted into ranges again first. Cumulative sizes are sums over (source, digest range) tables plus
 a window inside each range: a source with a third of all rows is spread over
 ``16 ** RANGE_DIGITS`` ranges.
 
@@ -38,8 +38,9 @@ BUDGET, REPEATS = 1.5, 2
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hex digits of the digest that name a range: 16^3 ranges of each source.
 RANGE_DIGITS = 3
-#: Copies of one range of the global order; the ranges follow the rows.
-RANGE_COPIES = 1_000_000
+#: Copies of one range of the global order, and ranges of one sort: where more copies
+#: would stand in a range, that in which the budget ends is sorted into ranges again.
+RANGE_COPIES, RANGES = 20_000, 4_096
 
 
 def source_targets(sizes: DataFrame, budget: float = BUDGET, repeats: int = REPEATS,
@@ -72,23 +73,30 @@ def source_targets(sizes: DataFrame, budget: float = BUDGET, repeats: int = REPE
 def budget_cut(copies: DataFrame, budget: float) -> tuple[float, int] | None:
     """The last copy served, as its place (finish, flow) in the global order of
     ``copies`` (finish, flow, size); None if none is. The places are unique."""
-    copies = materialize(copies, "op1-copies")
-    ranges = copies.count() // RANGE_COPIES + 1
-    ordered = materialize(copies.repartitionByRange(ranges, "finish", "flow")
-                          .withColumn("range", F.spark_partition_id()), "op1-order")
+    part = materialize(copies, "op1-copies")
+    n, spent, last = part.count(), 0, None
     place = F.struct("finish", "flow")
-    # one row per range
-    totals = ordered.groupBy("range").agg(F.sum("size").alias("range_size"), F.max(place).alias("last"))
     served = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (totals.withColumn("before", F.coalesce(F.sum("range_size").over(served), F.lit(0).cast("long")))
-              .withColumn("previous", F.lag("last").over(Window.orderBy("range"))))
-    at = totals.filter(F.col("before") < budget).orderBy(F.col("range").desc()).first()
-    if at is None:
-        return None
-    upto = F.sum("size").over(Window.orderBy("finish", "flow").rowsBetween(Window.unboundedPreceding, 0))
-    inside = ordered.filter(F.col("range") == at["range"]).withColumn("upto", upto + at["before"])
-    last = inside.filter(F.col("upto") - F.col("size") / 2 <= budget).agg(F.max(place).alias("last")).first()["last"]
-    last = last or at["previous"]
+    while True:
+        ranges = min(RANGES, n // RANGE_COPIES + 1)
+        ordered = materialize(part.repartitionByRange(ranges, "finish", "flow")
+                              .withColumn("range", F.spark_partition_id()), "op1-order")
+        # one row per range, at most RANGES
+        totals = ordered.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("range_size"),
+                                              F.max(place).alias("end"))
+        totals = (totals.withColumn("before", F.coalesce(F.sum("range_size").over(served), F.lit(0).cast("long")) + spent)
+                  .withColumn("previous", F.lag("end").over(Window.orderBy("range"))))
+        at = totals.filter(F.col("before") < budget).orderBy(F.col("range").desc()).first()
+        if at is None:
+            return None
+        last = at["previous"] or last
+        part = ordered.filter(F.col("range") == at["range"]).drop("range")
+        n, spent = at["n"], at["before"]
+        if ranges == 1 or n <= 2 * RANGE_COPIES:
+            break
+    upto = F.sum("size").over(Window.orderBy("finish", "flow").rowsBetween(Window.unboundedPreceding, 0)) + spent
+    fits = part.withColumn("upto", upto).filter(F.col("upto") - F.col("size") / 2 <= budget)
+    last = fits.agg(F.max(place).alias("last")).first()["last"] or last
     return None if last is None else (last["finish"], last["flow"])
 
 

@@ -37,9 +37,10 @@ def brute_mix(rows):
     return out
 
 
-@pytest.mark.parametrize("copies_a_range", [1_000_000, 9])
-def test_mix_replays_the_queues(spark, monkeypatch, copies_a_range):
-    monkeypatch.setattr(mixing, "RANGE_COPIES", copies_a_range)     # the budget ends in one of many ranges
+@pytest.mark.parametrize("copies_a_range, ranges", [(20_000, 4_096), (9, 4_096), (2, 3)])
+def test_mix_replays_the_queues(spark, monkeypatch, copies_a_range, ranges):
+    monkeypatch.setattr(mixing, "RANGE_COPIES", copies_a_range)     # the budget ends in one of many ranges,
+    monkeypatch.setattr(mixing, "RANGES", ranges)                   # or in a range of ranges
     rows = [(i, prose(1 + i * 7 % 40, i) if i % 11 else None, "x", f"s{i % 4}" if i % 4 else None) for i in range(120)]
     rows += [(200, "w " * 700, "x", "s1"), (201, "", "x", "s2"), (202, "one", "x", "lone"), (203, " \t", "x", "blank")]
     rows += [rows[5]] * 3 + [(None, "no id here", "x", "s3")]
