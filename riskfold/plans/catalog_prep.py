@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..config import ALL_ENGINEERED_FEATURES, BINARY_FLAGS, TOP50_ENGINEERED
 from ..operators import encode as E
+from ..operators import target_encode as TE
 from ..operators import validate as V
 from ..sources.fixtures import BASE_COLUMNS
 from .catalog_core import ENRICHED_FLOATS, plain, with_params
@@ -140,6 +141,32 @@ _V2 = ("SELECT * REPLACE (coalesce(DeviceInfo, 'missing') AS DeviceInfo, "
 reg("v2_matrix", lambda s, sf: _v2(s, sf)[0], with_final(_V2), ENRICHED_FLOATS)
 
 
+# ---- T2: out-of-fold rates of text columns and of a key column ----------------------------
+ENCODED = ["DeviceInfo", "P_emaildomain", "id_16", "card1"]
+
+
+def _target_encoding(spark, sf):
+    final = _final(spark, sf)
+    enc = TE.fit_target_encoding(final, ENCODED, ["TransactionID"])
+    return enc.apply(final).select("TransactionID", "split", *[c + TE.SUFFIX for c in ENCODED])
+
+
+def _rate_sql(col):
+    def lab(what, part):
+        return f"coalesce({what} FILTER (split = 'train') OVER ({part}), 0)"
+    value, fold, both = f"PARTITION BY {col}", "PARTITION BY fold", f"PARTITION BY {col}, fold"
+    s, n = "sum(isFraud)", "count(isFraud)"
+    return (f"CASE WHEN split = 'train' THEN ({lab(s, value)} - {lab(s, both)} + 20.0::DOUBLE * "
+            f"({lab(s, '')} - {lab(s, fold)}) / ({lab(n, '')} - {lab(n, fold)})) / ({lab(n, value)} - {lab(n, both)} + 20) "
+            f"ELSE ({lab(s, value)} + 20.0::DOUBLE * {lab(s, '')} / {lab(n, '')}) / ({lab(n, value)} + 20) END AS {col}__rate")
+
+
+reg("target_encoding", _target_encoding, with_final(
+    "SELECT TransactionID, split, " + ", ".join(_rate_sql(c) for c in ENCODED) + " FROM (SELECT *, "
+    "CASE WHEN split = 'train' THEN CAST('0x' || substr(md5(CAST(TransactionID AS VARCHAR)), 1, 8) AS BIGINT) % 5 END "
+    "AS fold FROM final) t"), [c + TE.SUFFIX for c in ENCODED])
+
+
 def _v2_cats(spark, sf):
     cats = _v2(spark, sf)[1]
     return spark.createDataFrame([(i, c) for i, c in enumerate(cats)], "position int, name string")

@@ -15,7 +15,9 @@ from ..config import (ALL_ENGINEERED_FEATURES, OPTIONAL_INPUTS, REQUIRED_INPUTS,
 from ..operators import encode as E
 from ..operators import metrics as M
 from ..operators import ml
+from ..operators import target_encode as TE
 from ..operators import validate as V
+from ..session import materialize
 from ..sources import io
 from . import features_job as fj
 from .prep_jobs import prepare_categorical, prepare_indexed
@@ -68,9 +70,11 @@ def run_feature_pipeline(spark: SparkSession, base_path: str, out_path: str, par
 def run_v2(spark: SparkSession, enriched_path: str, out_dir: str, mode: str = "all",
            trials: int = 50, search_iter: int = 500, final_iter: int = 5000,
            timer: StageTimer | None = None, top_features_path: str | None = None,
-           patience: int = 100) -> DataFrame:
+           patience: int = 100, wide_values: int = TE.WIDE_VALUES, parallelism: int = 4) -> DataFrame:
     """O5 + O6 + O7: categorical matrix, seeded search on val AUC, final fit
-    stopped by the val AUC, val scoring, report, importances, model. Mode "top50"
+    stopped by the val AUC, val scoring, report, importances, model. Text columns
+    of more than ``wide_values`` training values enter search and training as
+    out-of-fold target rates, saved beside the model for later rows. Mode "top50"
     takes its raw columns from the document at ``top_features_path`` (V1 writes
     one); each mode has its own matrix folder. Returns the report row."""
     t = timer or StageTimer(spark)
@@ -87,13 +91,18 @@ def run_v2(spark: SparkSession, enriched_path: str, out_dir: str, mode: str = "a
           lambda rows: V.validate_ready(rows, cats, E.numeric_columns(rows, (TARGET,)), TARGET), mode)
     mat = io.read_published(spark, matrix_path).select("split", *names, TARGET)
     io.save_cat_features(spark, cats, os.path.join(out_dir, "cat_features"), mode=mode)
+    key = ["TransactionID"] if "TransactionID" in names else names
+    mat, narrow, encoding = t.run("encode", TE.encode_wide, mat, cats, key, TARGET, wide_values)
+    if encoding:
+        io.save_target_encoding(encoding, os.path.join(out_dir, "target_encoding"))
+        mat = materialize(mat, "encoded-matrix")
     numeric = E.numeric_columns(mat, (TARGET,))
     labelled = mat.where(F.col("split").isin("train", "val"))
-    best, trial_df = t.run("search", ml.random_search, labelled, numeric, trials,
-                           42, search_iter)
+    best, trial_df = t.run("search", ml.random_search, labelled, numeric, narrow, trials,
+                           42, search_iter, parallelism=parallelism)
     trial_df.write.mode("overwrite").parquet(os.path.join(out_dir, "trials"))
     best = {k: v for k, v in best.items() if k != "max_iter"}
-    trained = t.run("train", ml.train_staged, labelled, numeric, cats, patience=patience, metric="auc_roc",
+    trained = t.run("train", ml.train_staged, labelled, numeric, narrow, patience=patience, metric="auc_roc",
                     max_iter=final_iter, **best)
     io.write_json_doc(spark, os.path.join(out_dir, "best_params"), dict(best, iterations=trained.iterations))
     io.write_report(trained.curve, os.path.join(out_dir, "curve"))

@@ -362,3 +362,16 @@ def save_model(model, path: str) -> None:
 def load_model(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
+
+
+def save_target_encoding(encoding, path: str) -> None:
+    """The rates as a Parquet table, the rest as a document beside it."""
+    encoding.table.write.mode("overwrite").parquet(f"{path}/rates")
+    write_json_doc(encoding.table.sparkSession, f"{path}/encoding",
+                   {"priors": encoding.priors, "sizes": encoding.sizes, "columns": encoding.columns,
+                    "fold_by": encoding.fold_by, "folds": encoding.folds})
+
+
+def load_target_encoding(spark: SparkSession, path: str):
+    from ..operators.target_encode import TargetEncoding
+    return TargetEncoding(spark.read.parquet(f"{path}/rates"), **read_json_doc(spark, f"{path}/encoding"))

@@ -82,10 +82,13 @@ def test_queries_train_and_rank_whole(spark, monkeypatch):
     monkeypatch.setattr(C, "_MODELS", {})
     monkeypatch.setattr(ml, "train_staged", train)
     monkeypatch.setattr(ml, "permutation_importance", lambda model, df, feats, **kw: feats)
-    monkeypatch.setattr(ml, "random_search", lambda df, feats, **kw: (None, kw))
+    monkeypatch.setattr(ml, "random_search", lambda df, numeric, cats, **kw: (None, (sorted([*numeric, *cats]), kw)))
     ranked = C._ranking(spark, SMOKE)
     assert sorted(ranked) == sorted(set(calls["df"].columns) - {"TransactionID", "isFraud", "split"})
     assert not E.string_columns(calls["df"].select(*ranked)) and "P_emaildomain" in ranked
-    assert calls["kw"] == {"max_iter": 1000, "patience": 50} and C._search(spark, SMOKE) == {}
+    assert calls["kw"] == {"max_iter": 1000, "patience": 50}
+    searched, kw = C._search(spark, SMOKE)
+    assert kw == {} and "P_emaildomain" in searched
     C._v2_model(spark, SMOKE)
+    assert searched == sorted(calls["feats"])                                      # the trained columns
     assert calls["kw"] == {"max_iter": 5000, "patience": 100, "metric": "auc_roc"}
