@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import logging
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,7 +167,3 @@ def split_summary(df: DataFrame, time_col: str = "TransactionDT",
     return per.select(split_col, "n_rows", "min_time", "max_time",
                       F.round(rate, 6).alias("fraud_rate"),
                       (F.abs(rate - overall) > drift_warn).cast("int").alias("drift_flag"))
-
-
-def persist(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import ALL_ENGINEERED_FEATURES
 from ..operators import base as ops
+from ..sources.bucketed import co_bucketed
 from ..sources.fixtures import BASE_COLUMNS, MERGED_COLUMNS, duckdb_prefix
 from .fixture import fixture
 
@@ -303,6 +304,28 @@ reg("matched_identity", _matched,
           "(SELECT TransactionID FROM txn)"))
 
 
+def _co_bucketed(spark, sf):
+    """The transactions and identities in buckets of the id, written once per session and folder."""
+    fxt = fixture(spark, sf)
+    if fxt.bucketed is None:
+        fxt.bucketed = co_bucketed(fxt.txn, fxt.idt, "TransactionID")
+    return [t.read() for t in fxt.bucketed]
+
+
+reg("merge_co_bucketed", lambda spark, sf: ops.merge_identity(*_co_bucketed(spark, sf)),
+    plain("SELECT * FROM merged"))
+
+
+def _matched_co_bucketed(spark, sf):
+    m = ops.matched_identity(*_co_bucketed(spark, sf))
+    return m.agg(F.count(F.lit(1)).alias("n_matched"))
+
+
+reg("matched_co_bucketed", _matched_co_bucketed,
+    plain("SELECT count(*) AS n_matched FROM idt WHERE TransactionID IN "
+          "(SELECT TransactionID FROM txn)"))
+
+
 def _drop_high_null(spark, sf):
     from ..config import FIXTURE_BASE
     return ops.drop_high_null(fixture(spark, sf).merged, FIXTURE_BASE.null_threshold)

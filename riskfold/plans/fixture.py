@@ -22,7 +22,7 @@ _STATE: dict = {}
 class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._base = self._params = self._enriched = None
+        self._base = self._params = self._enriched = self.bucketed = None
 
     @property
     def txn(self) -> DataFrame:
