@@ -3,6 +3,10 @@
 1. Every text becomes the set of its distinct word shingles, as 64-bit hashes;
    a sketch is the set's ``K`` smallest values. Texts with equal sets are one
    *class* from here on, so copies cost nothing further.
+   Sets of up to ``SHORT`` values meet partners that differ in at most two values
+   by what is left of them without one or two of their own: exact, at most 92
+   rows a class and one link a row, however many short texts look alike. Smaller
+   sets than ``DELETED`` have no other partners and enter nothing further.
 2. Inverted lists of retained values: two sets with similarity >= 0.8 share at
    least ``overlap_floor`` of their retained values (all of 0.8 n for sets that
    are retained whole; for larger ones but for a chance of ``MISS`` a link,
@@ -16,7 +20,9 @@
    no link is lost, and a group of thousands of near copies, which a pivot has
    joined, gives no further pairs. Members of lists longer than ``LONG_LIST``
    that are apart are first listed anew by their full sets, where the bounds on
-   what two sets can share are exact and leave few to compare.
+   what two sets can share are exact and leave few to compare; sets of up to
+   ``PAIRED`` values are then listed by pairs of rare values, of which linked ones
+   share one.
 4. The sketch of the union filters candidates; the full sets confirm them.
 5. Connected components by minimum labels.
 
@@ -51,6 +57,13 @@ BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 #: Lists up to this length compare what is apart by sketches; the members of
 #: longer ones are listed anew by their full sets.
 LONG_LIST = 64
+#: Similar sets differ in at most a quarter of what they share, so sets that share
+#: fewer than 12 values differ in at most two: smaller sets than this have no other
+#: partners, and those have at most ``SHORT`` values.
+DELETED, SHORT = 12, 13
+#: Long lists: sets up to this size are listed by pairs of values; those too small
+#: for a larger partner (80% of 65 values) are listed by pairs only.
+PAIRED = 64
 #: A sketch length that retains sets whole.
 WHOLE = 1 << 30
 #: 64-bit words of a full set's bitmap.
@@ -158,6 +171,33 @@ def _with_bitmap(sets: DataFrame) -> DataFrame:
     return sets.select("node", "members").mapInArrow(run, f"node long, n long, sketch array<long>, {words}")
 
 
+def short_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b) that join every two similar sets of up to ``SHORT`` values, which
+    sketches hold whole, to one component. ``core`` is what is left of a set without
+    none, one or two (``gone``) of its values. Similar are: a core of four or more
+    values and the sets of one more; from eight on also the sets of two more, and
+    the sets of one more among themselves. All of a core's sets are linked with the
+    core itself if it is a set, and otherwise with the first of one more."""
+    s = F.col("sketch")
+    without = lambda x: F.array_remove(s, x)
+    none = F.array(F.struct(F.lit(0).alias("gone"), s.alias("core")))
+    one = F.transform(s, lambda x: F.struct(F.lit(1).alias("gone"), without(x).alias("core")))
+    two = F.flatten(F.transform(s, lambda x: F.transform(
+        F.filter(s, lambda y: y > x), lambda y: F.struct(F.lit(2).alias("gone"), F.array_remove(without(x), y).alias("core")))))
+    cores = (classes.filter((F.col("n") >= 4) & (F.col("n") <= SHORT))
+             .select("node", F.explode(F.when(F.col("n") >= 10, F.concat(none, one, two))
+                                       .when(F.col("n") >= 5, F.concat(none, one)).otherwise(none)).alias("c"))
+             .select("node", "c.gone", "c.core"))
+    centre = (cores.groupBy("core").agg(
+        F.max(F.when(F.col("gone") == 0, F.col("node"))).alias("itself"),
+        F.min(F.when((F.col("gone") == 1) & (F.size("core") >= 8), F.col("node"))).alias("first"),
+        F.count(F.lit(1)).alias("members"))
+        .filter((F.col("members") > 1) & F.coalesce("itself", "first").isNotNull()))
+    return (cores.join(centre, "core").filter(F.col("itself").isNotNull() | (F.col("gone") == 1))
+            .select(F.coalesce("itself", "first").alias("a"), F.col("node").alias("b"))
+            .filter("a <> b").distinct())
+
+
 def posting_lists(classes: DataFrame, k: int) -> DataFrame:
     """(value, node, n, free, central): the lists that each class enters.
     ``free`` counts the retained values that another class retains too;
@@ -170,16 +210,29 @@ def posting_lists(classes: DataFrame, k: int) -> DataFrame:
         least = F.when(F.col("n") * SIMILARITY <= k * SIMILARITY * SIMILARITY / 100, least).otherwise(F.lit(overlap_floor(k)))
     sizes = classes.select("node", "n", *[c for c in classes.columns if c.startswith("bits")])
     # values that no other class retains come first in rarity and need no list
-    return (values.join(shared, "value").groupBy("node")
-            .agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("by_rarity"))
-            .join(sizes, "node").withColumn("free", F.size("by_rarity"))
-            .withColumn("places", (F.col("free") - least + 1).cast("int"))
-            .filter("places > 0")
-            .withColumn("central", F.aggregate("by_rarity", F.lit(0).cast("long"), lambda a, x: a + x.c))
-            .select("*", F.posexplode(F.slice("by_rarity", F.lit(1), F.col("places"))).alias("at", "e"))
-            .select(F.col("e.value").alias("value"), "node", "n", "free", "central",
-                    *([F.transform(F.slice("by_rarity", F.lit(1), F.col("at")), lambda x: x.value).alias("before"),
-                       *[c for c in classes.columns if c.startswith("bits")]] if k >= WHOLE else [])))
+    ranked = (values.join(shared, "value").groupBy("node")
+              .agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("by_rarity"))
+              .join(sizes, "node").withColumn("free", F.size("by_rarity"))
+              .withColumn("places", (F.col("free") - least + 1).cast("int"))
+              .filter("places > 0")
+              .withColumn("central", F.aggregate("by_rarity", F.lit(0).cast("long"), lambda a, x: a + x.c)))
+    bits = [c for c in classes.columns if c.startswith("bits")]
+    placed = lambda rows: (
+        rows.select("*", F.posexplode(F.slice("by_rarity", F.lit(1), F.col("places"))).alias("at", "e"))
+        .select(F.col("e.value").alias("value"), "node", "n", "free", "central",
+                *([F.transform(F.slice("by_rarity", F.lit(1), F.col("at")), lambda x: x.value).alias("before"), *bits]
+                  if k >= WHOLE else [])))
+    if k < WHOLE:
+        return placed(ranked)
+    # similar sets share two values of their places and one more (they share at least two, so all places but
+    # the last hold one): a list for each two of them
+    first = F.transform(F.slice("by_rarity", F.lit(1), F.col("places") + 1), lambda x: x.value)
+    twos = F.flatten(F.transform(first, lambda x, i: F.transform(
+        F.slice(first, i + 2, F.size(first)), lambda y: F.xxhash64(x, y))))
+    paired = (ranked.filter(F.col("n") <= PAIRED)
+              .select(F.explode(twos).alias("value"), "node", "n", "free", "central",
+                      F.array().cast("array<long>").alias("before"), *bits))
+    return placed(ranked.filter(F.col("n") * 100 > PAIRED * SIMILARITY)).unionByName(paired)
 
 
 def _alike(a: str, b: str, k: int):
@@ -279,7 +332,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     classes = scratch.keep(t1.filter("n > 0").groupBy("node")
                            .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"),
                                 F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")), "op5-classes")
-    lists = scratch.keep(posting_lists(classes, k), "op5-lists")
+    short = k >= SHORT
+    links = scratch.keep(short_links(classes), "op5-links") if short else None
+    lists = scratch.keep(posting_lists(classes.filter(F.col("n") >= DELETED) if short else classes, k), "op5-lists")
     tidy(spark)
     # members of lists with company
     crowd = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
@@ -308,7 +363,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
         tidy(spark)
         return out
 
-    links = confirm(pivot_pairs(lists, k))
+    found = confirm(pivot_pairs(lists, k))
+    links = links.unionByName(found) if short else found
     label = label_of(links)
     member = scratch.keep(apart(lists, label), "op5-apart")
     links = links.unionByName(confirm(cross_pairs(member.filter(F.col("length") <= LONG_LIST), k)))
@@ -321,7 +377,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     label = label_of(links)
     member = scratch.keep(apart(lists, label), "op5-apart")
     last = scratch.keep(_confirmed(cross_pairs(member, WHOLE), full), "op5-links")
-    label = label_of(links.unionByName(last))
+    if not last.isEmpty():
+        label = label_of(links.unionByName(last))
 
     # smallest id of each component
     least = (label.join(classes.select("node", "least"), "node")
