@@ -111,6 +111,24 @@ def dense_codes(vocab: DataFrame, part: str, value: str,
     return materialize(codes, "label-codes")
 
 
+def _codes_by_combination(df: DataFrame, mapping: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with the code of every column of ``cols`` as ``_code_<column>`` (NULL:
+    no such value). The distinct combinations of the columns are stacked as
+    (combination, column, value), joined with the code table once, and joined
+    back to the rows once, NULL-safely: one shuffle of the wide rows for all columns.
+    Stacked rows are narrow, and adaptive execution splits a frequent value."""
+    text = {c: F.col(f"`{c}`").cast("string") for c in cols}
+    combos = df.select(*[text[c].alias(f"_v_{c}") for c in cols]).distinct()
+    key = [f"_v_{c}" for c in cols]
+    stacked = combos.select(*key, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`_v_{c}`").alias("value")) for c in cols])).alias("cell"))
+    coded = (stacked.select(*key, "cell.column", "cell.value")
+             .join(mapping.where(F.col("column").isin(cols)).select("column", "value", "code"), ["column", "value"])
+             .groupBy(*key).agg(*[F.max(F.when(F.col("column") == c, F.col("code"))).alias(f"_code_{c}") for c in cols]))
+    on = [text[c].eqNullSafe(F.col(f"`_v_{c}`")) for c in cols]
+    return df.join(coded, on, "left").drop(*key)
+
+
 def label_encode(df: DataFrame, mapping: DataFrame, cats: list[str],
                  unknown: str = CAT_UNKNOWN, check: bool = True,
                  broadcast_limit: int = 64 * 1024 * 1024) -> DataFrame:
@@ -121,17 +139,18 @@ def label_encode(df: DataFrame, mapping: DataFrame, cats: list[str],
     # vocabulary sizes (one row per column) decide which mappings are broadcast
     sizes = {r["column"]: (r["n"], r["w"] or 0) for r in mapping.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("w")).collect()}
-    out = df
+    wide = [c for c in cats if (lambda n, w: n * 24 + w)(*sizes.get(c, (0, 0))) > broadcast_limit]
+    # one wide vocabulary is joined directly; several share one join of the rows
+    out = _codes_by_combination(df, mapping, wide) if len(wide) > 1 else df
     for c in cats:
-        m = mapping.where(F.col("column") == c).select(
-            F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_code_{c}"))
-        n, w = sizes.get(c, (0, 0))
-        if n * 24 + w <= broadcast_limit:
-            m = F.broadcast(m)
-        out = out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
         default = F.lit(unk.get(c)).cast("long")
-        out = out.withColumn(c, F.coalesce(F.col(f"_code_{c}"), default)).drop(
-            f"_v_{c}", f"_code_{c}")
+        if len(wide) < 2 or c not in wide:
+            m = mapping.where(F.col("column") == c).select(
+                F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_code_{c}"))
+            if c not in wide:
+                m = F.broadcast(m)
+            out = out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+        out = out.withColumn(c, F.coalesce(F.col(f"_code_{c}"), default)).drop(f"_code_{c}")
     if check:
         missing_unknown = [c for c in cats if c not in unk]
         if missing_unknown:
