@@ -39,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import release, releasing, ship_code
 
-CACHE_WORDS, CACHE_CHARS, PAIRS = 1 << 19, 48, 1 << 20
+CACHE_WORDS, CACHE_CHARS, PAIRS = 1 << 16, 48, 1 << 17
 
 
 def byte_symbols() -> list[str]:
@@ -212,10 +212,8 @@ class Vocabulary:
             ids = cache.get(w)
             if ids is None:
                 ids = self._bytes_ids(w.encode())
-                if len(w) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[w] = ids
+                if len(w) <= CACHE_CHARS and len(cache) < CACHE_WORDS:
+                    cache[w] = ids           # the words met first are mostly the frequent ones
             out.append(ids)
         return b"".join(out)
 
@@ -256,7 +254,9 @@ class Vocabulary:
 
 @functools.lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    v = Vocabulary(path)
+    release()                 # what only its building needed
+    return v
 
 
 def default_path() -> str:
@@ -285,7 +285,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
                                   names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(releasing(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
@@ -303,4 +303,4 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                                        pa.array([v.decode(ids).decode()])], names=["doc_id", "ids", "decoded"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return src.mapInArrow(releasing(run), f"doc_id {kind}, ids array<int>, decoded string")
