@@ -24,8 +24,10 @@ the largest by inner product; queries are scaled to norm M.
   with the logarithm of the table. Where the ratio may go beyond the beam, the
   distances to all centroids are taken. Lists are put together in groups of about
   ``GROUP_ROWS`` rows; a longer list is split, and queries likewise come in blocks
-  of ``BLOCK``, so equal vectors by the million make more blocks, not larger ones;
-  nothing is dropped. Scores are exact, in double precision on the vectors.
+  of ``BLOCK``, as many for a group as its queries fill (told by a hash sample of
+  ``BLOCK`` queries), so equal vectors by the million make more blocks, not larger
+  ones; nothing is dropped. Distances and scores are taken ``CELLS`` at a time.
+  Scores are exact, in double precision on the vectors.
 
 A query whose lists hold too few rows takes further ones, and one that found
 fewer ids than there are searches all lists.
@@ -48,6 +50,8 @@ from .common import materialize, ship_code
 TOP, SAMPLE, LIST_ROWS, MAX_LISTS, DEGREE, BEAM = 20, 20_000, 256, 4096, 16, 32
 BOUNDARY, REPLICAS, RECALL, CALIBRATION = 0.15, 2, 0.95, 256
 BLOCK, GROUP_ROWS, SLICE, STEP = 4096, 8192, 1024, 8
+#: Most elements of a matrix of distances or scores that a task holds at a time.
+CELLS = 1 << 20
 #: Nodes where a search enters the graph.
 ENTRIES = 16
 #: Least squared distance to a nearest centroid, as ratios to it are taken.
@@ -110,31 +114,43 @@ class Centroids:
         ids, dist = np.empty((len(x), width), np.int64), np.empty((len(x), width), np.float32)
         entry = self._distance(x, self.points[self.starts]).argmin(1) if len(x) else np.zeros(0, np.int64)
         for e in np.unique(entry):
-            rows = np.flatnonzero(entry == e)
-            y = x[rows]
-            unseen, unexpanded = np.ones(n, bool), np.ones(n, bool)
-            nodes, new, d = np.zeros(0, np.int64), self.starts, np.zeros((len(rows), 0), np.float32)
-            while len(new):
-                unseen[new] = False
-                nodes, d = np.concatenate([nodes, new]), np.concatenate([d, self._distance(y, self.points[new])], 1)
-                if len(nodes) <= width:
-                    beam = nodes
-                else:
-                    beam = nodes[np.unique(np.argpartition(d, width - 1, 1)[:, :width])]
-                beam = beam[unexpanded[beam]]
-                unexpanded[beam] = False
-                new = np.unique(self.links[beam])
-                new = new[unseen[new]]
-            if len(nodes) < width:          # a graph in parts: the rest is looked at too
-                rest = np.flatnonzero(unseen)
-                nodes, d = np.concatenate([nodes, rest]), np.concatenate([d, self._distance(y, self.points[rest])], 1)
-            order = np.argsort(d, 1, kind="stable")[:, :width]
-            ids[rows], dist[rows] = nodes[order], np.take_along_axis(d, order, 1)
+            every = np.flatnonzero(entry == e)
+            step = max(1, CELLS // n)
+            for a in range(0, len(every), step):
+                rows = every[a:a + step]
+                ids[rows], dist[rows] = self._beam(x[rows], width)
         return ids, dist
 
+    def _beam(self, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The search of rows that visit the same nodes."""
+        n = len(self.points)
+        unseen, unexpanded = np.ones(n, bool), np.ones(n, bool)
+        nodes, new, d = np.zeros(0, np.int64), self.starts, np.zeros((len(y), 0), np.float32)
+        while len(new):
+            unseen[new] = False
+            nodes, d = np.concatenate([nodes, new]), np.concatenate([d, self._distance(y, self.points[new])], 1)
+            if len(nodes) <= width:
+                beam = nodes
+            else:
+                beam = nodes[np.unique(np.argpartition(d, width - 1, 1)[:, :width])]
+            beam = beam[unexpanded[beam]]
+            unexpanded[beam] = False
+            new = np.unique(self.links[beam])
+            new = new[unseen[new]]
+        if len(nodes) < width:          # a graph in parts: the rest is looked at too
+            rest = np.flatnonzero(unseen)
+            nodes, d = np.concatenate([nodes, rest]), np.concatenate([d, self._distance(y, self.points[rest])], 1)
+        order = np.argsort(d, 1, kind="stable")[:, :width]
+        return nodes[order], np.take_along_axis(d, order, 1)
+
     def lists_read(self, x: np.ndarray, size: np.ndarray, ratio: float, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, list, rows in nearer lists) of the lists that the queries read: those
         within ``ratio`` of the nearest, and further ones while they hold under ``need`` rows."""
+        step = max(1, CELLS // len(self.points))
+        parts = [self._read(x[a:a + step], size, ratio, need, a) for a in range(0, len(x), step)]
+        return tuple(np.concatenate(z) for z in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+
+    def _read(self, x: np.ndarray, size: np.ndarray, ratio: float, need: int, first: int):
         ids, d = self.search(x)
         far = ((d[:, -1] <= ratio ** 2 * np.maximum(d[:, 0], NEAR)) | (size[ids].sum(1) < need)) & (ids.shape[1] < len(self.points))
         every = self._distance(x[far], self.points)
@@ -144,13 +160,20 @@ class Centroids:
             held = np.cumsum(size[i], 1) - size[i]
             take = (e <= ratio ** 2 * np.maximum(e[:, :1], NEAR)) | (held < need)
             row, col = np.nonzero(take & (size[i] > 0))
-            rows.append(np.flatnonzero(at)[row])
+            rows.append(first + np.flatnonzero(at)[row])
             lists.append(i[row, col])
             before.append(held[row, col])
         return np.concatenate(rows), np.concatenate(lists), np.concatenate(before)
 
 
 def _hits(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+    """``_part_hits`` of all queries, as many at a time as ``CELLS`` scores allow."""
+    step = max(1, CELLS // max(1, len(ids)))
+    parts = [_part_hits(qid[a:a + step], q[a:a + step], floor[a:a + step], ids, x, k) for a in range(0, len(qid), step)]
+    return tuple(np.concatenate(z) for z in zip(*parts))
+
+
+def _part_hits(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
     """(query id, vec id, score) of one list's rows (by id) that reach the queries'
     floors, and of these the k best ids of each query with all that tie; an id
     counts once, with its best row."""
@@ -306,10 +329,12 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
         size[r["list"]] = r["count"]
     need = 4 * (k + 1) * REPLICAS
 
-    tried = asked.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(CALIBRATION).toArrow()
+    tried = asked.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(max(CALIBRATION, BLOCK)).toArrow()
     reach = 1.0
+    some = np.zeros((0, dim), np.float32)
     if tried.num_rows:
-        tried_id, tried = tried.column("vec_id").to_numpy(), _matrix(tried.column("v").combine_chunks(), dim)
+        some = _matrix(tried.column("v").combine_chunks(), dim)
+        tried_id, tried = tried.column("vec_id").to_numpy()[:CALIBRATION], some[:CALIBRATION]
         held = postings.select("list", F.xxhash64("vec_id", "v").alias("key")).join(
             F.broadcast(true_nearest(base, tried, tried_id, k)), "key").toArrow()   # at most CALIBRATION * k * REPLICAS
         reach = fitted_ratio(centroids, scaled(tried), size, need, *(held.column(c).to_numpy() for c in ("query", "key", "list")))
@@ -323,13 +348,18 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
         group[li] = group[li - 1] + new
         held = 0 if new else held
     row_blocks = np.maximum(1, -(-np.bincount(group, size) // (2 * GROUP_ROWS))).astype(np.int64)
-    groups = spark.createDataFrame(pa.table({"list": np.arange(len(size)), "g": group, "row_blocks": row_blocks[group]}))
-    blocks = F.broadcast(groups)                               # one row per list: at most MAX_LISTS
 
     def search(asked: DataFrame, lists_of, count: int) -> DataFrame:
         """(query_id, vec_id, score) from the lists that ``lists_of`` names for
         (vec_id, v, floor) rows; scores below a query's floor stay out."""
-        query_blocks = max(1, -(-count // BLOCK))
+        # of each group the queries that read it, from the sample of queries
+        readers = np.zeros(len(size), np.int64)
+        for a in range(0, len(some), 256):
+            row, li = lists_of(scaled(some[a:a + 256]))
+            readers += np.bincount(np.unique(row * len(size) + group[li]) % len(size), minlength=len(size))
+        query_blocks = np.maximum(1, np.ceil(readers / max(1, len(some)) * count / BLOCK)).astype(np.int64)
+        blocks = F.broadcast(spark.createDataFrame(pa.table({         # one row per list: at most MAX_LISTS
+            "list": np.arange(len(size)), "g": group, "row_blocks": row_blocks[group], "query_blocks": query_blocks[group]})))
 
         def probe(batches):
             for b in batches:
@@ -347,7 +377,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
                         take = part.take(pa.array(mine))
                         yield pa.record_batch(
                             [pa.array([group[ls[0]]], pa.int64()), pa.array([row_blocks[group[ls[0]]]], pa.int64()),
-                             pa.array([abs(hash((int(mine[0]), take.column(0)[0].as_py(), a))) % query_blocks], pa.int64()),
+                             pa.array([abs(hash((int(mine[0]), take.column(0)[0].as_py(), a))) % int(query_blocks[group[ls[0]]])], pa.int64()),
                              *[pa.array([v], pa.list_(t)) for v, t in (
                                  (take.column(0).to_numpy(), pa.int64()), (q[mine].ravel(), pa.float32()),
                                  (take.column(2).to_numpy(), pa.float64()), (at, pa.int32()), (ls, pa.int32()))]],
@@ -355,11 +385,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
 
         packed = asked.select("vec_id", "v", "floor").mapInArrow(
             probe, "g long, rbs long, qb long, ids array<long>, q array<float>, floors array<double>, at array<int>, lists array<int>")
-        packed = materialize(packed, "op8-probes")
         left = packed.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rbs") - 1))).drop("rbs")
         right = (postings.join(blocks, "list")
                  .withColumn("rb", F.pmod(F.xxhash64("vec_id", "v"), F.col("row_blocks")))
-                 .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+                 .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
                  .select("g", "rb", "qb", "list", "vec_id", "v"))
         keys = ["g", "rb", "qb"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
@@ -372,8 +401,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP,
             ids, lists = ids[order], lists[order]
             x = _matrix(vt.column("v").combine_chunks(), dim).astype(np.float64)[order]
             for p in range(qt.num_rows):
-                qid, floor, at, wanted = (np.array(qt.column(c)[p].as_py()) for c in ("ids", "floors", "at", "lists"))
-                q = np.array(qt.column("q")[p].as_py(), np.float32).astype(np.float64).reshape(-1, dim)
+                qid, floor, at, wanted, q = (qt.column(c)[p].values.to_numpy() for c in ("ids", "floors", "at", "lists", "q"))
+                q = q.astype(np.float64).reshape(-1, dim)
                 by_list = np.argsort(wanted, kind="stable")
                 at, wanted = at[by_list], wanted[by_list]
                 cuts = np.flatnonzero(np.diff(wanted, prepend=-1))

@@ -56,3 +56,38 @@ def test_hits_keep_ties_and_count_ids_once():
     q, i, s = ann._hits(np.array([9, 3]), np.array([[1.0], [1.0]]), np.array([-np.inf, 1.5]), ids, x, 2)
     assert [(a, b, c) for a, b, c in zip(q, i, s)] == [(9, 1, 3.0), (9, 2, 2.0), (9, 3, 2.0), (9, 4, 2.0),
                                                        (3, 1, 3.0), (3, 2, 2.0), (3, 4, 2.0)]
+
+
+def _peak_mb(run):
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 2 ** 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_few_distances_whatever_the_lists():
+    """4,096 lists and long lists, as tables of millions of rows have them."""
+    rng = np.random.default_rng(3)
+    graph = ann.Centroids(rng.normal(size=(4096, 24)).astype(np.float32))
+    x = rng.normal(size=(2048, 24)).astype(np.float32)
+    assert _peak_mb(lambda: graph.search(x)) < 80
+    size = np.full(4096, 5000)
+    assert _peak_mb(lambda: graph.lists_read(x[:1024], size, 1.01, 100)) < 80
+    rows, lists, before = graph.lists_read(x[:600], size, 1.2, 100)
+    d = graph._distance(x[:600], graph.points)
+    near = d <= 1.2 ** 2 * d.min(1)[:, None]
+    assert (np.bincount(rows, minlength=600) >= 1).all() and near[rows, lists].mean() > 0.99 and (before % 5000 == 0).all()
+
+
+def test_scores_of_a_long_list_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-3, 4, (16_000, 8)).astype(float), rng.integers(-3, 4, (1000, 8)).astype(float)
+    ids, qid, floor = np.arange(16_000), np.arange(1000), np.full(1000, 40.0)
+    whole = [sorted(zip(*ann._best_ids(*ann._hits(qid, q, floor, ids, x, 5), 5)))]
+    assert _peak_mb(lambda: ann._hits(qid, q, floor, ids, x, 5)) < 100
+    monkeypatch.setattr(ann, "CELLS", 1 << 30)
+    whole.append(sorted(zip(*ann._best_ids(*ann._hits(qid, q, floor, ids, x, 5), 5))))
+    assert len(whole[0]) > 100 and whole[0] == whole[1]
