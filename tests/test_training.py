@@ -88,3 +88,26 @@ def test_permutation_is_one_and_repeats(spark, trained):
     assert sum(values[i, f] != v for i, f, v in one) > 150
     ranked = ml.permutation_importance(trained.model, test, ["a", "b", "c"]).collect()
     assert {r["feature"] for r in ranked} == {"a", "b", "c"} and ranked[0]["feature"] == "a" and ranked[0]["auc_drop"] > 0
+
+
+def test_model_is_cut_from_the_last_fit(spark, monkeypatch):
+    """No fit after the stop is found, and no point of the curve twice."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x), int(rng.random() < 1 / (1 + np.exp(-x))), "train" if i % 3 else "val")
+            for i, x in enumerate(rng.normal(size=600))]
+    df = spark.createDataFrame(rows, "TransactionID long, a double, isFraud int, split string")
+    fits, after = [], []
+    gbt, staged = ml.gbt, ml.staged_margins
+    monkeypatch.setattr(ml, "gbt", lambda n, **kw: fits.append(n) or gbt(n, **kw))
+    monkeypatch.setattr(ml, "staged_margins", lambda *a, **kw: after.append(kw.get("after", 0)) or staged(*a, **kw))
+    monkeypatch.setattr(ml, "stop_iteration", lambda curve, patience: (3, len(curve) >= 4))
+    got = ml.train_staged(df, ["a"], patience=1, max_iter=8, depth=2)
+    assert fits == [2, 4] and after == [0, 2] and got.iterations == 3
+    assert [r["iteration"] for r in got.curve.orderBy("iteration").collect()] == [1, 2, 3, 4]
+    model = got.model.stages[-1]
+    train = got.matrix.where("split = 'train'")
+    again = gbt(3, label="y", stop_on_loss=False, depth=2).fit(train)
+    assert model.treeWeights == again.treeWeights and model.numFeatures == again.numFeatures
+    assert model.featureImportances == again.featureImportances
+    by = lambda m: {r["id"]: r["probability"] for r in m.transform(got.matrix).select("id", "probability").collect()}
+    assert by(model) == by(again)
