@@ -77,3 +77,15 @@ def test_stream_scores_equal_batch_scores(spark):
     batch = ml.score(model, f.enriched)
     stream = S.stream_scores(spark, SMOKE, f.base_plan, f.params, model)
     assert _rows(stream) == _rows(batch)
+
+
+def test_large_arrivals_come_as_several_files(spark, monkeypatch):
+    f = Fixture(spark, SMOKE)
+    f.base  # builds the replayable base plan
+    few, _ = S.deliver(spark, SMOKE)
+    monkeypatch.setattr(S, "FILE_ROWS", 100)
+    folder, _ = S.deliver(spark, SMOKE)
+    read = spark.read.parquet(folder)
+    assert len(read.inputFiles()) > 12
+    assert _rows(read) == _rows(spark.read.parquet(few))
+    assert _rows(S.stream_features(spark, SMOKE, f.base_plan, f.params)) == _rows(f.enriched)
