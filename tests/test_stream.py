@@ -89,3 +89,23 @@ def test_large_arrivals_come_as_several_files(spark, monkeypatch):
     assert len(read.inputFiles()) > 12
     assert _rows(read) == _rows(spark.read.parquet(few))
     assert _rows(S.stream_features(spark, SMOKE, f.base_plan, f.params)) == _rows(f.enriched)
+
+
+def test_planner_does_not_broadcast_tables_measured_above_its_threshold(spark, monkeypatch):
+    """A fitted table beyond the limit is small as compressed files, and was sent
+    through the driver for that."""
+    from riskfold.operators import lookup as L
+    rows = [(i, i % 7, "v") for i in range(300)]
+    keys = spark.createDataFrame(rows, "k long, a long, s string").withColumn("k", F.when(F.col("a") != 0, F.col("k")))
+    stats = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for nulls in ("default", "value"):
+        lk = L.Lookup.materialise("t", ["k"], stats, nulls)
+        monkeypatch.setattr(L, "PLANNER_BYTES", lk.est_bytes)
+        small = L.join_lookup(keys, lk, broadcast_limit=0)            # the planner may choose
+        monkeypatch.setattr(L, "PLANNER_BYTES", lk.est_bytes - 1)
+        large = L.join_lookup(keys, lk, broadcast_limit=0)
+        assert _rows(large) == _rows(small) and large.columns == small.columns
+        large.collect()
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert "BroadcastHashJoin" in L.join_lookup(keys, lk)._jdf.queryExecution().executedPlan().toString()
