@@ -23,7 +23,10 @@
    what two sets can share are exact and leave few to compare; sets of up to
    ``PAIRED`` values are then listed by pairs of rare values, of which linked ones
    share one.
-4. The sketch of the union filters candidates; the full sets confirm them.
+4. Bitmaps of 32 bytes drop candidates that have too little in common (exact bound:
+   bits that differ stand for values that differ), so that sketches are fetched for
+   likely pairs only. The sketch of the union filters these, bitmaps of the full sets
+   what is left, and the full sets confirm.
 5. Connected components by minimum labels.
 
 Defined results: null or wordless texts have an empty set, are their own
@@ -66,8 +69,8 @@ DELETED, SHORT = 12, 13
 PAIRED = 64
 #: A sketch length that retains sets whole.
 WHOLE = 1 << 30
-#: 64-bit words of a full set's bitmap.
-BIT_WORDS = 16
+#: 64-bit words of a full set's bitmap, and of a sketch's.
+BIT_WORDS, SIGN_WORDS = 16, 4
 
 
 @functools.lru_cache(16)
@@ -122,53 +125,63 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(off, long_of(np.concatenate(sets)) if sets else np.zeros(0, np.int64))
 
 
+def _bitmaps(sets: list[np.ndarray], words: int) -> list[pa.Array]:
+    """Bitmaps of the sets, by 64-bit word: every value sets one bit."""
+    bits = np.zeros((len(sets), words), np.uint64)
+    if sets:
+        flat = np.concatenate(sets)
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        np.bitwise_or.at(bits, (rows, (flat >> np.uint64(6)) % np.uint64(words)),
+                         np.uint64(1) << (flat & np.uint64(63)))
+    return [pa.array(long_of(np.ascontiguousarray(bits[:, w]))) for w in range(words)]
+
+
+def _words(prefix: str, words: int) -> list[str]:
+    return [f"{prefix}{w}" for w in range(words)]
+
+
+def _differ(a: str, b: str, names: list[str]):
+    """How many bits of two bitmaps differ: at most as many as values, of which one set has none."""
+    return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in names), F.lit(0))
+
+
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, text_key, node (the set's name), n (its size), sketch."""
+    """doc_id, text_key, node (the set's name), n (its size), sketch and its bitmap (sign0, ...)."""
+    signs = _words("sign", SIGN_WORDS)
+
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
                 for a, data, off in text_chunks(b.column(2)):
                     sets = shingle_sets(data, off, width)
+                    least = [s[:k] for s in sets]
                     yield pa.record_batch([b.column(0).slice(a, len(sets)), b.column(1).slice(a, len(sets)),
                                            pa.array([_signature(s) for s in sets], pa.int64()),
                                            pa.array([len(s) for s in sets], pa.int64()),
-                                           _lists([s[:k] for s in sets])], names=["doc_id", "text_key", "node", "n", "sketch"])
+                                           _lists(least), *_bitmaps(least, SIGN_WORDS)],
+                                          names=["doc_id", "text_key", "node", "n", "sketch", *signs])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return docs.mapInArrow(releasing(run), f"doc_id {kind}, text_key long, node long, n long, sketch array<long>")
+    return docs.mapInArrow(releasing(run), f"doc_id {kind}, text_key long, node long, n long, sketch array<long>, "
+                           + ", ".join(f"{c} long" for c in signs))
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """node, members (the whole sorted set)."""
+    """node, n, members (the whole sorted set) and its bitmap (bits0, ...)."""
+    bits = _words("bits", BIT_WORDS)
+
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
                 for _, data, off in text_chunks(b.column(0)):
                     sets = shingle_sets(data, off, width)
-                    yield pa.record_batch([pa.array([_signature(s) for s in sets], pa.int64()), _lists(sets)],
-                                          names=["node", "members"])
-
-    return docs.select("text").mapInArrow(releasing(run), "node long, members array<long>")
+                    yield pa.record_batch([pa.array([_signature(s) for s in sets], pa.int64()),
+                                           pa.array([len(s) for s in sets], pa.int64()), _lists(sets),
+                                           *_bitmaps(sets, BIT_WORDS)], names=["node", "n", "members", *bits])
 
-
-def _with_bitmap(sets: DataFrame) -> DataFrame:
-    """node, n, sketch (the full set) and its bitmap, for ``posting_lists``."""
-    def run(batches):
-        for b in batches:
-            lists = b.column(1)
-            flat = lists.flatten().to_numpy().view(np.uint64)
-            size = np.diff(lists.offsets.to_numpy())
-            rows = np.repeat(np.arange(len(size)), size)
-            bits = np.zeros((len(size), BIT_WORDS), np.uint64)
-            np.bitwise_or.at(bits, (rows, (flat >> np.uint64(6)) % np.uint64(BIT_WORDS)),
-                             np.uint64(1) << (flat & np.uint64(63)))
-            yield pa.record_batch([b.column(0), pa.array(size.astype(np.int64)), lists,
-                                   *[pa.array(long_of(np.ascontiguousarray(bits[:, w]))) for w in range(BIT_WORDS)]],
-                                  names=["node", "n", "sketch", *[f"bits{w}" for w in range(BIT_WORDS)]])
-
-    words = ", ".join(f"bits{w} long" for w in range(BIT_WORDS))
-    return sets.select("node", "members").mapInArrow(run, f"node long, n long, sketch array<long>, {words}")
+    return docs.select("text").mapInArrow(releasing(run), "node long, n long, members array<long>, "
+                                          + ", ".join(f"{c} long" for c in bits))
 
 
 def short_links(classes: DataFrame) -> DataFrame:
@@ -198,19 +211,24 @@ def short_links(classes: DataFrame) -> DataFrame:
             .filter("a <> b").distinct())
 
 
-def posting_lists(classes: DataFrame, k: int) -> DataFrame:
+def posting_lists(classes: DataFrame, k: int, scratch: Scratch | None = None) -> DataFrame:
     """(value, node, n, free, central): the lists that each class enters.
+    With ``scratch`` the counts of values are written first and their shuffle files dropped.
     ``free`` counts the retained values that another class retains too;
     ``central`` says how often the corpus has them, so that of a group of near
     copies the one with the fewest changes of its own has most."""
     values = classes.select("node", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    if scratch is not None:
+        shared = scratch.keep(shared, "op5-shared")
+        tidy(classes.sparkSession)
     least = F.ceil(F.col("n") * SIMILARITY / 100)
     if k < WHOLE:
         least = F.when(F.col("n") * SIMILARITY <= k * SIMILARITY * SIMILARITY / 100, least).otherwise(F.lit(overlap_floor(k)))
     sizes = classes.select("node", "n", *[c for c in classes.columns if c.startswith("bits")])
-    # values that no other class retains come first in rarity and need no list
-    ranked = (values.join(shared, "value").groupBy("node")
+    # values that no other class retains come first in rarity and need no list; a class has few values in a
+    # task that goes by value, so they are shuffled as they are and gathered afterwards
+    ranked = (values.join(shared, "value").repartition("node").groupBy("node")
               .agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("by_rarity"))
               .join(sizes, "node").withColumn("free", F.size("by_rarity"))
               .withColumn("places", (F.col("free") - least + 1).cast("int"))
@@ -244,8 +262,7 @@ def _alike(a: str, b: str, k: int):
         total = size(a, "n") + size(b, "n")
         ok &= F.least(size(a, "free"), size(b, "free")) * (100 + SIMILARITY) >= total * SIMILARITY
         # bits that differ stand for values of which one set has none
-        apart = sum((F.bit_count(size(a, f"bits{w}").bitwiseXOR(size(b, f"bits{w}"))) for w in range(BIT_WORDS)), F.lit(0))
-        ok &= apart * (100 + SIMILARITY) <= total * (100 - SIMILARITY)
+        ok &= _differ(a, b, _words("bits", BIT_WORDS)) * (100 + SIMILARITY) <= total * (100 - SIMILARITY)
         # a pair meets in the first list that both enter
         ok &= ~F.arrays_overlap(size(a, "before"), size(b, "before"))
     return ok
@@ -253,15 +270,17 @@ def _alike(a: str, b: str, k: int):
 
 def _member(k: int):
     """What a list's row tells of a class."""
-    return ["node", "n", "free", *(["before", *[f"bits{w}" for w in range(BIT_WORDS)]] if k >= WHOLE else [])]
+    return ["node", "n", "free", *(["before", *_words("bits", BIT_WORDS)] if k >= WHOLE else [])]
 
 
 def pivot_pairs(lists: DataFrame, k: int) -> DataFrame:
     """Every member against its list's pivots: the most central one and any other."""
     me = F.struct(*_member(k))
-    pivot = lists.groupBy("value").agg(F.max_by(me, F.struct("central", "node")).alias("p0"),
-                                       F.min_by(me, F.xxhash64("node")).alias("p1"))
-    pivot = pivot.select("value", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p"))
+    # the member follows what it is chosen by in one struct, which is half the state of max_by
+    pivot = lists.groupBy("value").agg(F.max(F.struct("central", *_member(k))).alias("p0"),
+                                       F.min(F.struct(F.xxhash64("node").alias("h"), *_member(k))).alias("p1"))
+    pivot = pivot.select("value", F.explode(F.array_distinct(F.array(
+        F.col("p0").dropFields("central"), F.col("p1").dropFields("h")))).alias("p"))
     return (lists.select("value", me.alias("x")).join(pivot, "value")
             .filter((F.col("x.node") != F.col("p.node")) & _alike("x", "p", k))
             .select(F.col("p.node").alias("a"), F.col("x.node").alias("b")).distinct())
@@ -269,7 +288,7 @@ def pivot_pairs(lists: DataFrame, k: int) -> DataFrame:
 
 def apart(lists: DataFrame, label: DataFrame) -> DataFrame:
     """The lists whose members are in several components, with their length."""
-    member = lists.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    member = lists.drop("central").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = (member.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("length"))
              .filter("lo <> hi").select("value", "length"))
     return member.join(mixed, "value")
@@ -283,11 +302,34 @@ def cross_pairs(member: DataFrame, k: int) -> DataFrame:
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
 
+def _close(pairs: DataFrame, maps: DataFrame, most) -> DataFrame:
+    """Pairs (a, b) whose bitmaps in ``maps`` (node, m, words) differ in ``most(m of both)`` bits at most."""
+    names = [c for c in maps.columns if c not in ("node", "m")]
+    side = lambda x: maps.select(F.col("node").alias(x), F.struct("m", *names).alias(f"x{x}"))
+    return (pairs.join(side("b"), "b").join(side("a"), "a")
+            .filter(_differ("xa", "xb", names) <= most(F.col("xa.m") + F.col("xb.m"))).select("a", "b"))
+
+
+def _signed(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) that ``_filtered`` may keep, by the bitmaps of their sketches. It asks
+    for 80% of the union in both, or ``overlap_floor`` values if the union has ``k``."""
+    maps = classes.select("node", F.least("n", F.lit(k)).alias("m"), *_words("sign", SIGN_WORDS))
+    return _close(pairs, maps, lambda total: F.greatest(total * ((100 - SIMILARITY) / (100 + SIMILARITY)) + 1e-6,
+                                                        (total - 2 * overlap_floor(k)).cast("double")))
+
+
+def _alike_in_full(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that ``_confirmed`` may keep, by the bitmaps of their full sets."""
+    maps = sets.select("node", F.col("n").alias("m"), *_words("bits", BIT_WORDS))
+    return _close(pairs, maps, lambda total: total * ((100 - SIMILARITY) / (100 + SIMILARITY)) + 1e-6)
+
+
 def _filtered(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) whose union sketch holds enough shared values. ``a`` may be
     a pivot of many pairs; skewed joins are split."""
     s = classes.select("node", "sketch")
-    both = (pairs.join(s.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    # the filter, which holds for all, tells the optimizer that the pairs select (``BLOOM``)
+    both = (pairs.filter("a <> b").join(s.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
             .join(s.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     size = F.size("u")
@@ -299,7 +341,7 @@ def _filtered(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are linked."""
-    both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
+    both = (pairs.filter("a <> b").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a"))
     inter = F.size(F.array_intersect("ma", "mb"))
     return (both.withColumn("i", inter)
@@ -328,17 +370,20 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     ship_code(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     scratch = Scratch()
-    t1 = materialize(sketches(rows, width, k), "op5-sketches")
+    sketched = Scratch()
+    t1 = sketched.keep(sketches(rows, width, k), "op5-sketches")
     classes = scratch.keep(t1.filter("n > 0").groupBy("node")
                            .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"),
-                                F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")), "op5-classes")
+                                F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"),
+                                *[F.first(c).alias(c) for c in _words("sign", SIGN_WORDS)]), "op5-classes")
+    # documents need their class's name from here on, and only classes their sketches
+    t1 = materialize(t1.select("doc_id", "text_key", "node", "n"), "op5-documents")
+    sketched.free(spark)
+    tidy(spark)
     short = k >= SHORT
     links = scratch.keep(short_links(classes), "op5-links") if short else None
-    lists = scratch.keep(posting_lists(classes.filter(F.col("n") >= DELETED) if short else classes, k), "op5-lists")
+    lists = scratch.keep(posting_lists(classes.filter(F.col("n") >= DELETED) if short else classes, k, scratch), "op5-lists")
     tidy(spark)
-    # members of lists with company
-    crowd = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
-    lists = scratch.keep(lists.join(crowd, "value", "left_semi"), "op5-lists2")
     sets = None
 
     def sets_for(nodes: DataFrame) -> DataFrame:
@@ -352,11 +397,22 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
         return sets
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs: by the sketch of the union, then in full."""
-        likely = scratch.keep(_filtered(pairs, classes, k), "op5-pairs")
+        """Links among candidate pairs: by the sketch of the union, then in full, each after its bitmaps."""
+        near = scratch.keep(_signed(pairs, classes, k), "op5-near")
         tidy(spark)
+        with settings(spark, BLOOM):
+            likely = scratch.keep(_filtered(near, classes, k), "op5-pairs")
+        tidy(spark)
+        first = sets is None
         full = sets_for(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        return scratch.keep(_confirmed(likely, full), "op5-links")
+        return confirm_in_full(scratch.keep(_alike_in_full(likely, full), "op5-near"), full, first)
+
+    def confirm_in_full(pairs: DataFrame, full: DataFrame, most: bool = False) -> DataFrame:
+        """``most``: the pairs need most of the sets, so one shuffle of them all serves both sides."""
+        with settings(spark, {} if most else BLOOM):
+            found = scratch.keep(_confirmed(pairs, full), "op5-links")
+        tidy(spark)
+        return found
 
     def label_of(found: DataFrame) -> DataFrame:
         out = scratch.keep(components(found).select("node", F.col("component").alias("comp")), "op5-labels")
@@ -367,16 +423,21 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     links = links.unionByName(found) if short else found
     label = label_of(links)
     member = scratch.keep(apart(lists, label), "op5-apart")
+    tidy(spark)
     links = links.unionByName(confirm(cross_pairs(member.filter(F.col("length") <= LONG_LIST), k)))
     # long lists: their members again, listed by their full sets, where every bound is exact
-    crowd = member.filter(F.col("length") > LONG_LIST).select("node").distinct()
-    full = sets_for(crowd)
-    crowd = scratch.keep(_with_bitmap(full.join(crowd, "node", "left_semi")), "op5-crowd")
+    crowd = scratch.keep(member.filter(F.col("length") > LONG_LIST).groupBy("node").agg(F.max("length").alias("length")),
+                         "op5-crowd-nodes")
+    full = sets_for(crowd.select("node"))
+    with settings(spark, BLOOM):
+        crowd = scratch.keep(full.join(crowd.filter("length > 0"), "node", "left_semi")
+                             .withColumnRenamed("members", "sketch"), "op5-crowd")
+    tidy(spark)
     lists = scratch.keep(posting_lists(crowd, WHOLE), "op5-crowd-lists")
-    links = links.unionByName(scratch.keep(_confirmed(pivot_pairs(lists, WHOLE), full), "op5-links"))
+    links = links.unionByName(confirm_in_full(scratch.keep(pivot_pairs(lists, WHOLE), "op5-pairs"), full))
     label = label_of(links)
     member = scratch.keep(apart(lists, label), "op5-apart")
-    last = scratch.keep(_confirmed(cross_pairs(member, WHOLE), full), "op5-links")
+    last = confirm_in_full(scratch.keep(cross_pairs(member, WHOLE), "op5-pairs"), full)
     if not last.isEmpty():
         label = label_of(links.unionByName(last))
 
