@@ -53,10 +53,12 @@ K = 64
 #: Chance that the union sketch of a linked pair holds fewer shared values than the floor.
 MISS = 1e-8
 SIMILARITY = 80      # percent
-#: Spark's runtime Bloom filter of wanted keys, at every input and list size: 1 MB, whatever it is built from.
+#: Spark's runtime Bloom filter of wanted keys, at every input and list size.
 BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
          "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
          "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t"}
+#: Its size: bits a wanted key, and 1 MB at most.
+KEY_BITS, MOST_BITS = 16, 1 << 23
 #: Lists up to this length compare what is apart by sketches; the members of
 #: longer ones are listed anew by their full sets.
 LONG_LIST = 64
@@ -328,7 +330,7 @@ def _filtered(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) whose union sketch holds enough shared values. ``a`` may be
     a pivot of many pairs; skewed joins are split."""
     s = classes.select("node", "sketch")
-    # the filter, which holds for all, tells the optimizer that the pairs select (``BLOOM``)
+    # the filter, which holds for all, tells the optimizer that the pairs select (``_bloom``)
     both = (pairs.filter("a <> b").join(s.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
             .join(s.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
@@ -349,16 +351,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b"))
 
 
+def _bloom(wanted: DataFrame) -> dict[str, str]:
+    """``BLOOM`` sized by the rows of ``wanted``, a written table of keys or pairs: the driver
+    holds every filter whole, as a result, in the plan and in the tasks of its stages."""
+    rows = max(1, wanted.count())
+    bits = min(MOST_BITS, 1 << (KEY_BITS * rows - 1).bit_length())
+    return BLOOM | {"spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": str(rows),
+                    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(bits)}
+
+
 def _sets_of(rows: DataFrame, reps: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """node, members of the classes that ``reps`` (id and text key, set size n)
     stand for. The texts are joined with the list of wanted ones; a Bloom filter
-    of the list (``BLOOM``, of fixed size) keeps most others out of the shuffle."""
+    of the list (``_bloom``) keeps most others out of the shuffle."""
     key = lambda i, t: F.concat_ws("|", i.cast("string"), t.cast("string"))
     wanted = scratch.keep(reps.select(key(F.col("rep.doc_id"), F.col("rep.text_key")).alias("key"), "n"), "op5-wanted")
     texts = rows.select(key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text")
     # the filter on n tells the optimizer that the list selects
     texts = texts.join(wanted.filter("n > 0"), "key", "left_semi").dropDuplicates(["key"])
-    with settings(rows.sparkSession, BLOOM):
+    with settings(rows.sparkSession, _bloom(wanted)):
         return scratch.keep(full_sets(texts, width), "op5-sets")
 
 
@@ -400,7 +411,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
         """Links among candidate pairs: by the sketch of the union, then in full, each after its bitmaps."""
         near = scratch.keep(_signed(pairs, classes, k), "op5-near")
         tidy(spark)
-        with settings(spark, BLOOM):
+        with settings(spark, _bloom(near)):
             likely = scratch.keep(_filtered(near, classes, k), "op5-pairs")
         tidy(spark)
         first = sets is None
@@ -409,7 +420,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
 
     def confirm_in_full(pairs: DataFrame, full: DataFrame, most: bool = False) -> DataFrame:
         """``most``: the pairs need most of the sets, so one shuffle of them all serves both sides."""
-        with settings(spark, {} if most else BLOOM):
+        with settings(spark, {} if most else _bloom(pairs)):
             found = scratch.keep(_confirmed(pairs, full), "op5-links")
         tidy(spark)
         return found
@@ -429,7 +440,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     crowd = scratch.keep(member.filter(F.col("length") > LONG_LIST).groupBy("node").agg(F.max("length").alias("length")),
                          "op5-crowd-nodes")
     full = sets_for(crowd.select("node"))
-    with settings(spark, BLOOM):
+    with settings(spark, _bloom(crowd)):
         crowd = scratch.keep(full.join(crowd.filter("length > 0"), "node", "left_semi")
                              .withColumnRenamed("members", "sketch"), "op5-crowd")
     tidy(spark)
